@@ -67,3 +67,40 @@ UNION ALL SELECT pair_id, path, 'full_hash' FROM both_sides WHERE d2
 UNION ALL SELECT pair_id, path, 'modified_at' FROM both_sides WHERE d3
 UNION ALL SELECT pair_id, path, 'rating' FROM both_sides WHERE d4
 """
+
+_KM = "2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))))"
+
+P1 = f"""
+WITH c AS (
+  SELECT DISTINCT cell_id AS id, lat, lon FROM map_cells
+  WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)
+    AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)
+), near AS (
+  SELECT p.id AS a_id, q.id AS b_id FROM c p JOIN c q ON q.lat BETWEEN p.lat - 0.001 AND p.lat + 0.001 AND p.id < q.id
+  WHERE {_KM} <= 0.1
+), poly AS (
+  SELECT region_id, code, level, bbox, generate_subscripts(polys, 1) AS pn, unnest(polys) AS rings FROM geo_regions
+), ring AS (
+  SELECT region_id, pn, unnest(rings) AS r FROM poly
+), vert AS (
+  SELECT region_id, pn, r, unnest(range(1, len(r) + 1)) AS i FROM ring
+), edge AS (
+  SELECT region_id, pn, r[i][1] AS ax, r[i][2] AS ay, r[i % len(r) + 1][1] AS bx, r[i % len(r) + 1][2] AS by FROM vert
+), box AS (
+  SELECT region_id, pn, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edge GROUP BY ALL
+), lies AS (
+  SELECT DISTINCT id, region_id FROM (
+    SELECT c.id, e.region_id, e.pn FROM c JOIN box b ON c.lon BETWEEN b.x0 AND b.x1 AND c.lat BETWEEN b.y0 AND b.y1
+    JOIN edge e ON e.region_id = b.region_id AND e.pn = b.pn
+    WHERE (e.ay > c.lat) <> (e.by > c.lat) AND c.lon < (e.bx - e.ax) * (c.lat - e.ay) / (e.by - e.ay) + e.ax
+    GROUP BY c.id, e.region_id, e.pn HAVING count(*) % 2 = 1)
+), reach AS (
+  SELECT p.id AS a_id, q.city_id AS b_id, q.population AS pop, {_KM} AS km FROM c p JOIN geo_cities q ON q.lat BETWEEN p.lat - 0.2 AND p.lat + 0.2
+  WHERE EXISTS (SELECT 1 FROM lies l JOIN geo_regions g USING (region_id) WHERE l.id = p.id AND g.level = 1 AND g.code = q.cc)
+), best AS (
+  SELECT a_id, b_id, row_number() OVER (PARTITION BY a_id ORDER BY km, pop DESC, b_id) AS n FROM reach WHERE km <= 20
+)
+SELECT 'near' AS rel, a_id, b_id FROM near
+UNION ALL SELECT 'in', id, region_id FROM lies
+UNION ALL SELECT 'city', a_id, b_id FROM best WHERE n = 1
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from silverfold.operators.diff import diff_copies, nfc
 from silverfold.operators.hierarchy import hierarchy
+from silverfold.operators.nearby import nearby
 from silverfold.operators.sessions import sessionize
 from silverfold.session import table
 
@@ -42,3 +43,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     path = F.when(F.coalesce(F.col("sub"), F.lit("")) == "", F.col("name")).otherwise(F.concat("sub", F.lit("/"), "name"))
     rows = rows.select("side", "pair_id", nfc(path).alias("path"), "size", "full_hash", "modified_at", "rating")
     return diff_copies(rows.where("side = 'a'"), rows.where("side = 'b'"), ["pair_id", "path"], ["size", "full_hash", "modified_at", "rating"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    cells = table(spark, d, "map_cells").where("not (lat = 0 and lon = 0)").select(F.col("cell_id").alias("id"), "lat", "lon")
+    cities = table(spark, d, "geo_cities").select(F.col("city_id").alias("id"), "lat", "lon", F.col("cc").alias("code"), F.col("population").alias("pop"))
+    regions = table(spark, d, "geo_regions").select(F.col("region_id").alias("id"), "code", "level", "bbox", "polys")
+    return nearby(cells, regions, cities).select("rel", "a_id", "b_id")

@@ -6,6 +6,7 @@ from silverfold.plans import problem_sql as ps
 from silverfold.plans import problems as p
 
 QUERIES = {
+    "p1_found": p.p1_found,
     "p3_found": p.p3_found,
     "p3_intervals": p.p3_intervals,
     "p4_found": p.p4_found,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_found": ps.P1,
     "p3_found": ps.P3,
     "p4_found": ps.P4,
     "p6_found": ps.P6,
