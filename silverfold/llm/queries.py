@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silverfold.llm.components import group_rows
+from silverfold.llm.survivor import current_values, survivors
 from silverfold.session import table
 
+#: Usable times, fixed values.
+USABLE_FROM, USABLE_TO = 946684800, 1798761599
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "phash_rows").select("file_id", "hash")
@@ -30,10 +34,45 @@ g AS (SELECT root, min(file_id) AS group_id FROM r JOIN low USING (hash) GROUP B
 SELECT file_id, group_id FROM r JOIN low USING (hash) JOIN g USING (root)
 """
 
+
+def usable_time(col: F.Column) -> F.Column:
+    return F.when(col.between(USABLE_FROM, USABLE_TO), col)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "member_rows")
+    taken = usable_time(F.col("taken_at"))
+    settled_last = (~F.coalesce(F.col("area").isin(1, 2), F.lit(False))).cast("int")
+    order = [settled_last, -F.coalesce("size", F.lit(-1).cast("long")), taken.isNull().cast("int"), F.coalesce(taken, F.lit(0).cast("long"))]
+    got = survivors(rows, "group_id", "file_id", order, {"taken_at": taken, "width": F.col("width")})
+    return got.select("group_id", "file_id", *(F.coalesce(F.col(c), F.lit(-1).cast("long")).alias(c) for c in ("taken_at", "width")))
+
+
+P5_SQL = """
+WITH r AS (
+  SELECT DISTINCT group_id, file_id, CASE WHEN area IN (1, 2) THEN 0 ELSE 1 END AS a, size, width,
+    CASE WHEN taken_at BETWEEN 946684800 AND 1798761599 THEN taken_at END AS t FROM member_rows
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY a, size DESC, t NULLS LAST, file_id) AS n FROM r
+)
+SELECT group_id, max(CASE WHEN n = 1 THEN file_id END) AS file_id, coalesce(arg_min(t, n), -1) AS taken_at, coalesce(arg_min(width, n), -1) AS width
+FROM k GROUP BY group_id HAVING count(DISTINCT file_id) > 1
+"""
+
+
+def p5_current(spark: SparkSession, d: str) -> DataFrame:
+    """The current area of each group, learned from the timed rows where times are missing."""
+    rows = table(spark, d, "member_rows").select("group_id", "file_id", "area", "taken_at").distinct()
+    return current_values(rows, "group_id", "area", usable_time(F.col("taken_at")))
+
+
 QUERIES = {
     "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_current": p5_current,
 }
 
 SQL = {
     "p2_found": P2_SQL,
+    "p5_found": P5_SQL,
 }
