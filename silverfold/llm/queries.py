@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from silverfold.llm.components import group_rows
 from silverfold.llm.survivor import current_values, survivors
+from silverfold.llm.tokens import encode
 from silverfold.session import table
 
 #: Usable times, fixed values.
@@ -66,10 +67,15 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
     return current_values(rows, "group_id", "area", usable_time(F.col("taken_at")))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_current": p5_current,
+    "p7_ids": p7_ids,
 }
 
 SQL = {
