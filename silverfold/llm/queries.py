@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silverfold.llm.components import group_rows
+from silverfold.llm.mix import mix, shares
 from silverfold.llm.survivor import current_values, survivors
 from silverfold.llm.tokens import encode
 from silverfold.session import table
@@ -71,11 +72,25 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every source of mix_targets that has documents gets its share."""
+    docs = table(spark, d, "documents")
+    sized = encode(docs.where("source is not null").withColumn("key", F.struct("doc_id", "source")), "key", "text", counts=True)
+    return mix(sized.select("key.doc_id", "key.source", "n_tokens"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares the mix reached, by source."""
+    return shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_current": p5_current,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 
 SQL = {
