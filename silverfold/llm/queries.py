@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from silverfold.llm.components import group_rows
 from silverfold.llm.mix import mix, shares
+from silverfold.llm.subjects import assign_subjects, subject_mixtures
 from silverfold.llm.survivor import current_values, survivors
 from silverfold.llm.tokens import encode
 from silverfold.session import table
@@ -84,6 +85,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return assign_subjects(*(table(spark, d, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p9_mixtures(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus composition behind p9_found: each document's weight in each subject."""
+    return subject_mixtures(*(table(spark, d, t) for t in ("documents", "subject_labels", "subjects")))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p5_found": p5_found,
@@ -91,6 +101,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_mixtures": p9_mixtures,
 }
 
 SQL = {
