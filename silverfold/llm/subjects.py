@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from silverfold.session import Stages
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+#: Markup around texts, which names no subject: tags, character entities and JSON objects.
+_MARKUP = regex.compile(r"""<[^<>]{0,2000}>|&\w{2,8};|\{\s*"[^{}]*\}""")
 #: Other names raters use for subjects (fixed values).
 ALIASES = {"legal": "law", "sw": "software"}
 
@@ -51,7 +53,7 @@ class Settings:
 
 
 def normal(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).casefold()
+    return unicodedata.normalize("NFKC", _MARKUP.sub(" | ", text)).casefold()
 
 
 def words_of(text: str, features: int, seen: dict):
@@ -121,7 +123,7 @@ def anchors(df: np.ndarray, by_lang: np.ndarray, n_lang: np.ndarray, nws: np.nda
     chance = nw[:, None] * prior * per_doc[:, None]
     deviation = (nws - chance) / np.sqrt(chance + 0.25)
     tested = nw >= s.known
-    good = np.where(tested[:, None], (deviation >= 2.5) & (lift >= 1.4), (nws >= 1) & (lift >= 2) & (share >= 0.2))
+    good = np.where(tested[:, None], (deviation >= 2.5) & (nws >= 1.6 * chance), (nws >= 1) & (lift >= 2) & (share >= 0.2))
     common = (by_lang / np.maximum(n_lang, 1)).max(axis=1) > s.common if by_lang.size else np.zeros(len(df), bool)
     good &= ~common[:, None]
     anchored, known = good.any(axis=1), tested | common
