@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silverfold.session import plain
+
 #: Rows over whose keys the rolling hash runs, and rows per chunk on average.
 WINDOW, CHUNK_ROWS = 4, 16
 
@@ -71,7 +73,7 @@ def _chunk_filter(chunk_rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
-            block = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            block = plain(batch) if held is None else pd.concat([held, plain(batch)], ignore_index=True)
             if not len(block):
                 continue
             # the last key may go on in the next batch; a block always ends between keys,

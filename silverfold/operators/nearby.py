@@ -8,18 +8,23 @@ One exchange serves all three relations.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverfold.operators.rtree import RTree
+from silverfold.session import plain
 
 RADIUS_KM = 6371.0088
 #: Points sampled to grow the quadtree, and points meant for a leaf.
 SAMPLE, LEAF_POINTS, MAX_DEPTH = 60_000, 20_000, 18
 HOME, COPY, CITY, REGION = 0, 1, 2, 3
-ROW = "leaf int, salt int, kind int, id long, x double, y double, lon double, pop long, code string, polys array<array<array<array<double>>>>"
+ROW = "leaf int, salt int, kind int, id long, x double, y double, lon double, pop long, code string, polys string"
+#: An empty answer; typed, as Spark can't take an empty text column of floats.
+NOTHING = pd.DataFrame({"rel": pd.Series([], dtype=object), "a_id": np.empty(0, np.int64), "b_id": np.empty(0, np.int64), "km": np.empty(0)})
 
 
 def haversine_km(lat1, lon1, lat2, lon2):
@@ -129,7 +134,7 @@ def _spread(leaves: Leaves, near_km: float, city_km: float):
                 all_salts(rows[at][~is_home], leaf[~is_home], COPY, x[at][~is_home])
                 shared = leaves.salts[home] > 1
                 all_salts(every[shared], home[shared], COPY, lon[shared], salt[shared])
-        return pd.concat(parts)[["leaf", "salt", "kind", "id", "x", "y", "lon", "pop", "code", "polys"]]
+        return plain(pd.concat(parts))[["leaf", "salt", "kind", "id", "x", "y", "lon", "pop", "code", "polys"]]
 
     def run(batches):
         for pdf in batches:
@@ -168,7 +173,7 @@ def _probe(near_km: float, city_km: float, near: bool):
         home = np.flatnonzero(kind == HOME)
         found = []
         if not len(home):
-            return pd.DataFrame({"rel": [], "a_id": [], "b_id": [], "km": []})
+            return NOTHING
 
         def hits(build, km):
             dy, dx = search_box(y[home], km)
@@ -186,7 +191,7 @@ def _probe(near_km: float, city_km: float, near: bool):
         codes = []
         reg = np.flatnonzero(kind == REGION)
         if len(reg):
-            polys = pdf["polys"].to_numpy()
+            polys = {r: json.loads(pdf["polys"].iat[r]) for r in reg}
             code, level = pdf["code"].to_numpy(), pdf["pop"].to_numpy()
             def box(r):
                 v = np.concatenate([np.stack([np.asarray(p, float) for p in ring]) for rings in polys[r] for ring in rings])
@@ -212,7 +217,7 @@ def _probe(near_km: float, city_km: float, near: bool):
                 # probes come in blocks, so a probe's candidates are all in one part
                 c = pd.concat(best)
                 found.append(pd.DataFrame({"rel": "city", "a_id": ids[c["p"].to_numpy(np.int64)], "b_id": c["id"].to_numpy(), "km": c["km"].to_numpy()}))
-        return pd.concat(found)[["rel", "a_id", "b_id", "km"]] if found else pd.DataFrame({"rel": [], "a_id": [], "b_id": [], "km": []})
+        return plain(pd.concat(found))[["rel", "a_id", "b_id", "km"]] if found else NOTHING
 
     return run
 
@@ -243,13 +248,13 @@ def nearby(points: DataFrame, regions: DataFrame | None = None, cities: DataFram
     n = good.count()
     fraction = min(1.0, sample / max(n, 1))
     got = good.select("lat", "lon").sample(fraction, seed=7).toPandas()
-    per = n / max(len(got), 1)
+    per = max(n, 1) / max(len(got), 1)
     boxes = grow(got["lat"].to_numpy(), got["lon"].to_numpy(), max(8, int(leaf_points / per)))
     salts = np.maximum(1, np.ceil(boxes[:, 4] * per / (2 * leaf_points))).astype(np.int64)
     leaves = Leaves(boxes, salts)
 
     once = good.groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("s")).select("id", "s.lat", "s.lon")
-    none = {"pop": F.lit(None).cast("long"), "code": F.lit(None).cast("string"), "polys": F.lit(None).cast("array<array<array<array<double>>>>"), "bbox": F.lit(None).cast("array<double>"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}
+    none = {"pop": F.lit(None).cast("long"), "code": F.lit(None).cast("string"), "polys": F.lit(None).cast("string"), "bbox": F.lit(None).cast("array<double>"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}
 
     def shaped(df: DataFrame, kind: int) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), "id", *((F.col(c) if c in df.columns else none[c]).alias(c) for c in ("lat", "lon", "pop", "code", "polys", "bbox")))
@@ -260,6 +265,6 @@ def nearby(points: DataFrame, regions: DataFrame | None = None, cities: DataFram
         rows = rows.unionByName(shaped(c.distinct(), CITY))
     if regions is not None:
         r = regions.where("id is not null and bbox is not null and size(bbox) = 4 and polys is not null and size(polys) > 0")
-        rows = rows.unionByName(shaped(r.select(F.col("id").cast("long").alias("id"), "code", F.col("level").cast("long").alias("pop"), "polys", "bbox").dropDuplicates(["id"]), REGION))
+        rows = rows.unionByName(shaped(r.select(F.col("id").cast("long").alias("id"), "code", F.col("level").cast("long").alias("pop"), F.to_json("polys").alias("polys"), "bbox").dropDuplicates(["id"]), REGION))
     spread = rows.mapInPandas(_spread(leaves, near_km or 0.0, city_km), ROW)
     return spread.groupBy("leaf", "salt").applyInPandas(_probe(near_km or 0.0, city_km, near_km is not None), "rel string, a_id long, b_id long, km double")

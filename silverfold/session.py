@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -75,5 +75,7 @@ class Stages:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as objects: concatenated Arrow-backed ones are chunked, which Spark doesn't take."""
+    texts = {c: object for c in pdf.columns if isinstance(pdf[c].dtype, pd.StringDtype)}
+    return pdf.astype(texts) if texts else pdf
