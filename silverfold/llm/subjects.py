@@ -44,7 +44,6 @@ class Settings:
     languages: int = 8  #: languages with a background row of their own
     labelled: int = 50_000  #: labelled documents used at most as anchors
     known: int = 6  #: labelled documents from which a word's lift is tested by its deviation
-    sure: int = 20  #: labelled documents from which a word that anchors none is background
     rounds: int = 5  #: alternating updates of H
     inner: int = 15  #: updates of W in each
     spread: float = 0.06  #: initial weight of an unlabelled word in each subject
@@ -127,9 +126,8 @@ def anchors(df: np.ndarray, by_lang: np.ndarray, n_lang: np.ndarray, nws: np.nda
     good = np.where(tested[:, None], (deviation >= 2.5) & (nws >= 1.6 * chance), (nws >= 1) & (lift >= 2) & (share >= 0.2))
     common = (by_lang / np.maximum(n_lang, 1)).max(axis=1) > s.common if by_lang.size else np.zeros(len(df), bool)
     good &= ~common[:, None]
-    # words seen often, or by no subject more than by chance, stay in the background
-    flat = tested & ((nw >= s.sure) | (nws < 1.6 * chance).all(axis=1))
-    anchored, known = good.any(axis=1), flat | common
+    # words seen often and by no subject more than by chance stay in the background
+    anchored, known = good.any(axis=1), (tested & (nws < 1.6 * chance).all(axis=1)) | common
     topic = np.where(good, share, np.where((known | anchored)[:, None], 0.0, s.spread)) * df[:, None]
     back = np.where(anchored, np.where(tested, 0.0, 0.02), np.where(known, 1.0, s.rest)) * df
     langs = by_lang.shape[1]
@@ -247,7 +245,7 @@ def fit(words: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], s:
 def named(share: np.ndarray) -> np.ndarray:
     """Bits of the subjects each feature names; 0 for words that name none."""
     bits = ((share >= 0.08) * (1 << np.arange(share.shape[1]))).sum(axis=1)
-    clear = (share.sum(axis=1) >= 0.5) & (share.max(axis=1, initial=0) >= 0.25) & ((share >= 0.08).sum(axis=1) <= 3)
+    clear = (share.sum(axis=1) >= 0.5) & (share.max(axis=1, initial=0) >= 0.3) & ((share >= 0.08).sum(axis=1) <= 3)
     return np.where(clear, bits, 0).astype(np.int64)
 
 
