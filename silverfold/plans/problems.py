@@ -9,6 +9,8 @@ from silverfold.operators.diff import diff_copies, nfc
 from silverfold.operators.hierarchy import hierarchy
 from silverfold.operators.nearby import nearby
 from silverfold.operators.sessions import sessionize
+from silverfold.plans import problem_sql as sql
+from silverfold.plans.registry import query
 from silverfold.session import table
 
 OUTING_GAP_S = 1800
@@ -20,15 +22,18 @@ def usable(col) -> F.Column:
     return col.between(USABLE_FROM, USABLE_TO)
 
 
+@query("p3_found", sql.P3)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(table(spark, d, "folders")).withColumnRenamed("id", "folder_id")
 
 
+@query("p3_intervals")
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Each folder's place in preorder; the folders below are the range (pre, last]."""
     return hierarchy(table(spark, d, "folders"), intervals=True).select(F.col("id").alias("folder_id"), "root_id", "n_desc", "pre", "last")
 
 
+@query("p4_found", sql.P4)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files").where("trashed_at is null").where(usable(F.col("taken_at"))).select("id", "folder_id", "taken_at")
     # repeats go first; then one row a folder and second, so a hot folder is small at the join
@@ -38,6 +43,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sessionize(events, "library_id", "taken_at", OUTING_GAP_S, weight="n").select("library_id", "start_at", "end_at", F.col("n_events").alias("n_files"))
 
 
+@query("p6_found", sql.P6)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "tree_files")
     path = F.when(F.coalesce(F.col("sub"), F.lit("")) == "", F.col("name")).otherwise(F.concat("sub", F.lit("/"), "name"))
@@ -45,6 +51,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return diff_copies(rows.where("side = 'a'"), rows.where("side = 'b'"), ["pair_id", "path"], ["size", "full_hash", "modified_at", "rating"])
 
 
+@query("p1_found", sql.P1)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "map_cells").where("not (lat = 0 and lon = 0)").select(F.col("cell_id").alias("id"), "lat", "lon")
     cities = table(spark, d, "geo_cities").select(F.col("city_id").alias("id"), "lat", "lon", F.col("cc").alias("code"), F.col("population").alias("pop"))

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from silverfold.plans import problem_sql as ps
-from silverfold.plans import problems as p
-
-QUERIES = {
-    "p1_found": p.p1_found,
-    "p3_found": p.p3_found,
-    "p3_intervals": p.p3_intervals,
-    "p4_found": p.p4_found,
-    "p6_found": p.p6_found,
-}
-
-SQL = {
-    "p1_found": ps.P1,
-    "p3_found": ps.P3,
-    "p4_found": ps.P4,
-    "p6_found": ps.P6,
-}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, and the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
