@@ -284,9 +284,11 @@ def _look(spark, d):
     return ledger.import_look(found, f.where("id % 2 = 0").select("name", "size", F.col("quick_hash").alias("hash")))
 
 
-@query("s19_preview")
+@query("s19_preview", f"""{BASE}, k AS (SELECT DISTINCT name, size, quick_hash FROM f WHERE id % 2 = 0),
+c AS (SELECT size, strftime(make_timestamp(taken_at * 1000000), '%Y-%m-%d') AS day, EXISTS (SELECT 1 FROM k WHERE k.name = f.name AND k.size = f.size AND (k.quick_hash IS NULL OR f.quick_hash IS NULL OR k.quick_hash = f.quick_hash)) AS is_dup FROM f)
+SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (is_dup) AS dups, (SELECT string_agg(day, ',' ORDER BY day) FROM (SELECT DISTINCT day FROM c WHERE day IS NOT NULL ORDER BY day LIMIT 8)) AS days FROM c""")
 def import_preview(spark, d):
-    return ledger.import_preview(_look(spark, d))
+    return ledger.import_preview(_look(spark, d)).withColumn("days", F.array_join("days", ","))
 
 
 @query("s20_city_names", "WITH n AS (SELECT admin1_name AS k, name, city_id % 4 = 0 AS pref FROM geo_cities WHERE admin1_name IS NOT NULL) SELECT k, arg_min(name, (NOT pref, length(name), name)) AS name FROM n GROUP BY k")
