@@ -313,3 +313,33 @@ def map_cells(c: Catalog, f: Filter, precision: float, label: str | None = None,
     first = F.min(F.when(F.col("label").isNotNull(), F.struct((-F.col("k")).alias("k"), "label")))
     cells = per.groupBy("ky", "kx").agg(F.sum("k").alias("n"), (F.sum("a") / F.sum("k")).alias("lat"), (F.sum("o") / F.sum("k")).alias("lon"), F.max("top").alias("newest_id"), F.count("label").alias("labels"), first.alias("f"))
     return cells.select("ky", "kx", "n", "lat", "lon", "newest_id", "labels", F.col("f.label").alias("label")).orderBy(F.desc("n"), "ky", "kx").limit(limit)
+
+
+def rule(text: str) -> Column:
+    """A stored rule, a JSON list of ``field, op, value``, as the condition that all of them hold.
+
+    Ops: eq, ne, lt, le, gt, ge, contains, starts, in. Text that can't be read, or an op that isn't known, matches nothing.
+    """
+    ops = {
+        "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "le": lambda c, v: c <= v, "gt": lambda c, v: c > v, "ge": lambda c, v: c >= v,
+        "contains": lambda c, v: F.contains(F.lower(c), F.lit(str(v).lower())), "starts": lambda c, v: F.startswith(F.lower(c), F.lit(str(v).lower())), "in": lambda c, v: c.isin(list(v)),
+    }
+    try:
+        parts = json.loads(text)
+        conds = [ops[p["op"]](F.col(p["field"]), p["value"]) for p in parts]
+    except (ValueError, KeyError, TypeError):
+        return F.lit(False)
+    out = F.lit(True)
+    for c in conds:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def visible(nodes: DataFrame, open_paths: DataFrame) -> DataFrame:
+    """Nodes of a folder tree that show when only the paths of ``open_paths`` are open: all above them must be."""
+    from silverfold.operators.trees import ancestors
+
+    up = nodes.select("path", F.explode_outer(ancestors(F.col("path"), itself=False)).alias("up"))
+    seen = up.join(open_paths.select(F.col("path").alias("up"), F.lit(True).alias("o")).distinct(), "up", "left")
+    shut = seen.where("up is not null and o is null").select("path").distinct()
+    return nodes.join(shut, "path", "left_anti")

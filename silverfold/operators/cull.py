@@ -64,6 +64,16 @@ def twins(rows: DataFrame, keys: list[str], size: str, slack: float) -> DataFram
     return rows.join(sizes.withColumn("__near", near).where("__near").drop("__near"), [*keys, size], "left_semi")
 
 
+def neighbour_links(rows: DataFrame, keys: list[str], size: str, row_id: str, slack: float) -> DataFrame:
+    """Links ``a, b`` between rows of equal ``keys`` next to each other by size and at most ``slack`` apart.
+
+    These connect what all pairs within the slack would, with a link a row.
+    """
+    w = Window.partitionBy(*keys).orderBy(size, row_id)
+    prev = rows.withColumn("__p", F.lag(row_id).over(w)).withColumn("__s", F.lag(size).over(w))
+    return prev.where(F.col(size) - F.col("__s") <= slack).select(F.least("__p", row_id).alias("a"), F.greatest("__p", row_id).alias("b"))
+
+
 def junk_reason(name: Column, directory: Column, size: Column, width: Column) -> Column:
     """Why a file is junk, or null; the first rule that holds counts. The directory is relative to its library."""
     n, d = F.lower(name), F.coalesce(F.lower(directory), F.lit(""))

@@ -157,3 +157,52 @@ def import_look(found: DataFrame, known: DataFrame) -> DataFrame:
 def import_preview(look: DataFrame, days: int = 8) -> DataFrame:
     """Totals of an import, and its first days."""
     return look.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if("is_dup").alias("dups"), F.slice(F.array_sort(F.collect_set("day")), 1, days).alias("days"))
+
+
+def journal_rows(moves: DataFrame, batch_id: int, at: int) -> DataFrame:
+    """Rows for the journal of one batch out of ``id, from_path, to_path, size, modified_at``, in the order of ids."""
+    n = F.row_number().over(Window.partitionBy(F.lit(batch_id)).orderBy("id"))
+    return moves.select(F.lit(batch_id).cast("long").alias("batch_id"), n.cast("long").alias("seq"), "id", "from_path", "to_path", "size", "modified_at", F.lit(at).cast("long").alias("done_at"), F.lit(None).cast("long").alias("undone_at"))
+
+
+def close_batches(batches: DataFrame, journal: DataFrame) -> DataFrame:
+    """Batches ``batch_id, started_at`` with their steps; one without steps left to undo can't be undone."""
+    n = journal.groupBy("batch_id").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("undone_at").isNull()).alias("open"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return batches.join(n, "batch_id", "left").select("batch_id", "started_at", zero("steps"), (F.coalesce("open", F.lit(0)) > 0).alias("can_undo"))
+
+
+def trash_plan(files: DataFrame, at: int) -> DataFrame:
+    """Files flagged to go, with where they would lie: ``id, from_path, to_path, trashed_at``."""
+    gone = files.where("trashed_at is null and culling_flag = 2")
+    path = F.concat_ws("/", F.col("folder_id").cast("string"), "name")
+    return gone.select("id", path.alias("from_path"), F.concat(F.lit(".trash/"), F.col("id").cast("string"), F.lit("/"), F.col("name")).alias("to_path"), F.lit(at).cast("long").alias("trashed_at"))
+
+
+def restore_plan(files: DataFrame) -> DataFrame:
+    """Trashed files brought back to their folders under names that are free there."""
+    back, live = files.where("trashed_at is not null"), files.where("trashed_at is null")
+    return free_names(back, live, "folder_id", "name", "id").select("id", "folder_id", "free_name")
+
+
+def rename_plan(files: DataFrame, pattern: Column, live: DataFrame) -> DataFrame:
+    """New names after a pattern, made free; files whose name stays as it is have no row."""
+    w = files.withColumn("old", F.col("name")).withColumn("name", pattern)
+    others = live.join(files.select("id"), "id", "left_anti")
+    return free_names(w, others, "folder_id", "name", "id").where("free_name <> old").select("id", "old", "free_name")
+
+
+def merge_plan(source: DataFrame, target: DataFrame) -> DataFrame:
+    """What merging one folder into another does with each file: ``id, action``.
+
+    A file the target holds with equal content is dropped, one whose name is taken by other content is renamed, others move.
+    """
+    same = target.where("hash is not null").select("hash", F.lit(True).alias("same")).distinct()
+    taken = target.select(F.lower("name").alias("l"), F.lit(True).alias("taken")).distinct()
+    j = source.join(same, "hash", "left").withColumn("l", F.lower("name")).join(taken, "l", "left")
+    return j.select("id", F.when(F.col("same"), "drop").when(F.col("taken"), "rename").otherwise("move").alias("action"))
+
+
+def put(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """A small keyed table after changes: settings, or stored filters by name. A change replaces its row."""
+    return table.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes)

@@ -161,3 +161,33 @@ def set_best(spark, d):
     """A chosen member becomes the best of its group; a choice that is no member changes nothing."""
     m = table(spark, d, "member_rows").select("group_id", "file_id").distinct()
     return cull.set_best(m, m.groupBy("group_id").agg(F.max("file_id").alias("file_id")))
+
+
+@query("e03_families", f"""{TWINS}, d AS (SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_size = y.p_size AND x.id < y.id WHERE abs(x.size - y.size) <= 50),
+u AS (SELECT a, b FROM d UNION SELECT b, a FROM d), w AS (SELECT DISTINCT a AS v, a AS far FROM u UNION SELECT w.v, u.b FROM w JOIN u ON u.a = w.far) SELECT v, min(far) AS root FROM w GROUP BY v""".replace("WITH f AS", "WITH RECURSIVE f AS"))
+def families(spark, d):
+    """Links of equal and of slightly different rows merged to families."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size", F.col("p_retailprice").alias("size"))
+    return cull.labels(cull.neighbour_links(p, ["p_brand", "p_type", "p_size"], "size", "id", 50.0))
+
+
+@query("e05_quick_hashes")
+def quick_hashes(spark, d):
+    """Quick hashes of the documents' bytes."""
+    from silverfold.functions.content import quick_hash_of
+
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", quick_hash_of(F.encode("text", "UTF-8")).alias("hash"))
+
+
+@query("e06_full_hashes", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE text <> ''")
+def full_hashes(spark, d):
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("e13_alike_vectors", "WITH e AS (SELECT vec_id AS id, embedding FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, list_sum([abs(x) for x in list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE - z[2]::DOUBLE)]) / 64 AS m FROM e a JOIN e b ON b.id = a.id + 1) SELECT a, b, round(m, 6) AS mad FROM p")
+def mad(spark, d):
+    """Mean absolute differences of neighbouring vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), "embedding")
+    n = e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("embedding").alias("other"))
+    diff = F.aggregate(F.zip_with("embedding", "other", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size("embedding")
+    return e.join(n, "a").select("a", "b", F.round(diff, 6).alias("mad"))

@@ -309,3 +309,103 @@ def recent(spark, d):
     """Runs, newest first, and whether they came to an end."""
     r = table(spark, d, "phash_runs").distinct()
     return r.groupBy("run_id").agg(F.max("reported_at").alias("at"), F.count(F.lit(1)).alias("reports"), F.bool_or(F.col("phase") == "done").alias("closed")).orderBy(F.desc("at"))
+
+
+@query("l02_journal", f"{BASE}, m AS (SELECT id, size, modified_at, row_number() OVER (ORDER BY id) AS seq FROM f WHERE folder_id = 12) SELECT 7 AS batch_id, seq, id, size FROM m")
+def journal(spark, d):
+    """The journal of moving one folder's files."""
+    f = files(spark, d, "folder_id", "name", "size", "modified_at").where("folder_id = 12")
+    m = f.select("id", F.col("name").alias("from_path"), F.concat(F.lit("new/"), F.col("name")).alias("to_path"), "size", "modified_at")
+    return ledger.journal_rows(m, 7, 1_700_000_000).select("batch_id", "seq", "id", "size")
+
+
+@query("l02_batches", "WITH p AS (SELECT DISTINCT * FROM phash_pairs), b AS (SELECT DISTINCT run_id AS batch_id FROM phash_runs) SELECT b.batch_id, count(p.pair_id) AS steps, count(p.pair_id) FILTER (p.alike IS NULL) > 0 AS can_undo FROM b LEFT JOIN p ON p.run_id = b.batch_id GROUP BY b.batch_id")
+def batches(spark, d):
+    """Batches with their steps; comparisons without a result stand for steps still to undo."""
+    b = table(spark, d, "phash_runs").select(F.col("run_id").alias("batch_id"), F.lit(0).cast("long").alias("started_at")).distinct()
+    j = table(spark, d, "phash_pairs").select("pair_id", F.col("run_id").alias("batch_id"), "alike").distinct().select("batch_id", F.when(F.col("alike").isNotNull(), 1).alias("undone_at"))
+    return ledger.close_batches(b, j).drop("started_at")
+
+
+@query("l08_trash_plan", f"{BASE} SELECT id, folder_id || '/' || name AS from_path, '.trash/' || id || '/' || name AS to_path, 1700000000 AS trashed_at FROM live WHERE culling_flag = 2")
+def trash_plan(spark, d):
+    return ledger.trash_plan(files(spark, d, "folder_id", "name", "culling_flag"), 1_700_000_000)
+
+
+@query("l08_restore_plan", f"""{BASE}, t AS (SELECT DISTINCT folder_id, lower(name) AS l FROM live), w AS (SELECT id, folder_id, name FROM f WHERE trashed_at IS NOT NULL),
+k AS (SELECT w.*, row_number() OVER (PARTITION BY w.folder_id, lower(name) ORDER BY id) + CASE WHEN t.l IS NULL THEN 0 ELSE 1 END AS k FROM w LEFT JOIN t ON t.folder_id = w.folder_id AND t.l = lower(w.name))
+SELECT id, folder_id, CASE WHEN k <= 1 THEN name ELSE regexp_extract(name, '^(.+)\\.([^.]+)$', 1) || ' (' || (k - 1) || ').' || regexp_extract(name, '^(.+)\\.([^.]+)$', 2) END AS free_name FROM k""")
+def restore_plan(spark, d):
+    return ledger.restore_plan(files(spark, d, "folder_id", "name"))
+
+
+@query("l08_rename_plan", f"""{BASE}, w AS (SELECT id, folder_id, name AS old, strftime(make_timestamp(taken_at * 1000000), '%Y%m%d') || '.' || lower(ext) AS name FROM live WHERE taken_at IS NOT NULL),
+t AS (SELECT DISTINCT folder_id, lower(name) AS l FROM live WHERE taken_at IS NULL),
+k AS (SELECT w.*, row_number() OVER (PARTITION BY w.folder_id, lower(name) ORDER BY id) + CASE WHEN t.l IS NULL THEN 0 ELSE 1 END AS k FROM w LEFT JOIN t ON t.folder_id = w.folder_id AND t.l = lower(w.name))
+SELECT id, old, CASE WHEN k <= 1 THEN name ELSE regexp_extract(name, '^(.+)\\.([^.]+)$', 1) || ' (' || (k - 1) || ').' || regexp_extract(name, '^(.+)\\.([^.]+)$', 2) END AS free_name FROM k""")
+def rename_plan(spark, d):
+    """Files named after their day, made free within their folder."""
+    live = files(spark, d, "folder_id", "name", "ext", "taken_at").where("trashed_at is null")
+    pattern = F.concat(F.date_format(F.timestamp_seconds("taken_at"), "yyyyMMdd"), F.lit("."), F.lower("ext"))
+    return ledger.rename_plan(live.where("taken_at is not null"), pattern, live)
+
+
+@query("l08_merge_plan", """WITH r AS (SELECT DISTINCT row_id AS id, pair_id, side, name, full_hash AS hash FROM tree_files WHERE pair_id = 10), b AS (SELECT * FROM r WHERE side = 'b')
+SELECT id, CASE WHEN hash IN (SELECT hash FROM b WHERE hash IS NOT NULL) THEN 'drop' WHEN lower(name) IN (SELECT lower(name) FROM b) THEN 'rename' ELSE 'move' END AS action FROM r WHERE side = 'a'""")
+def merge_plan(spark, d):
+    """Merging side a of one pair into side b."""
+    r = table(spark, d, "tree_files").where("pair_id = 10").select(F.col("row_id").alias("id"), "side", "name", F.col("full_hash").alias("hash")).distinct()
+    return ledger.merge_plan(r.where("side = 'a'"), r.where("side = 'b'"))
+
+
+@query("l11_common_dir", f"""{BASE}, p AS (SELECT volume_uuid, string_split(min(rel_path), '/') AS a, string_split(max(rel_path), '/') AS b FROM fo WHERE rel_path <> '' GROUP BY volume_uuid),
+n AS (SELECT volume_uuid, a, list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i]) AS d, least(len(a), len(b)) AS m FROM p)
+SELECT volume_uuid, array_to_string(a[1:CASE WHEN len(d) > 0 THEN d[1] - 1 ELSE m END], '/') AS dir FROM n""")
+def common_dirs(spark, d):
+    """The folder all paths of a volume have in common: that of the first and the last path in order."""
+    p = folders(spark, d, "volume_uuid", "rel_path").where("rel_path <> ''").groupBy("volume_uuid").agg(F.array(F.min("rel_path"), F.max("rel_path")).alias("p"))
+    return p.select("volume_uuid", names.common_dir(F.col("p")).alias("dir"))
+
+
+@query("s03_skipped", f"{BASE} SELECT id, list_has_any(string_split(rel_path, '/'), ['{"', '".join(names.SKIPPED)}']) OR len(list_filter(string_split(rel_path, '/'), lambda x: starts_with(x, '.git'))) > 0 AS skipped FROM fo")
+def skipped(spark, d):
+    return folders(spark, d, "rel_path").select("id", names.skipped(F.col("rel_path")).alias("skipped"))
+
+
+@query("s07_prune", f"{BASE}, b AS (SELECT id FROM live WHERE folder_id % 3 <> 0), g AS (SELECT id FROM live WHERE folder_id % 3 = 0) SELECT id, (SELECT count(*) FROM b) > 0 AND NOT ((SELECT count(*) FROM live) >= 100 AND (SELECT count(*) FROM g) > 0.5 * (SELECT count(*) FROM live)) AS allowed FROM g")
+def prune(spark, d):
+    """Files of folders a scan no longer saw, and whether they may be dropped."""
+    live = files(spark, d, "folder_id").where("trashed_at is null")
+    return ledger.missing(live.select("id"), live.where("folder_id % 3 <> 0").select("id"), "id")
+
+
+@query("s16_settings", "SELECT id AS key, CASE WHEN id % 10 = 0 THEN 'changed' ELSE name END AS value FROM libraries")
+def settings(spark, d):
+    """A keyed table after changes."""
+    t = table(spark, d, "libraries").select(F.col("id").alias("key"), F.col("name").alias("value"))
+    return ledger.put(t, t.where("key % 10 = 0").withColumn("value", F.lit("changed")), "key")
+
+
+@query("t04_plausible", f"WITH f AS (SELECT DISTINCT id, taken_at FROM files) SELECT id, coalesce(taken_at BETWEEN 946598400 AND 1800086400, false) AS plausible FROM f")
+def plausible(spark, d):
+    f = table(spark, d, "files").select("id", "taken_at").distinct()
+    return f.select("id", dates.plausible(F.col("taken_at"), 1800000000).alias("plausible"))
+
+
+@query("x_quality", f"{BASE} SELECT id, round(least(coalesce(sharpness, 0) / 200, 1) * 0.45::DOUBLE + 0.0::DOUBLE * 0.30::DOUBLE + least(CAST(coalesce(width, 0) AS DOUBLE) * coalesce(height, 0) / 24000000, 1) * 0.15::DOUBLE + rating / 5 * 0.10::DOUBLE, 9)::DOUBLE AS score FROM live")
+def quality(spark, d):
+    """A score of sharpness, size and rating; exposure isn't stored."""
+    from silverfold.functions.quality import score
+
+    f = files(spark, d, "sharpness", "width", "height", "rating").where("trashed_at is null")
+    pixels = F.col("width").cast("double") * F.col("height") / 24_000_000
+    return f.select("id", F.round(score(F.col("sharpness") / 200, F.lit(0.0), pixels, F.col("rating") / 5), 9).alias("score"))
+
+
+@query("x_rules", f"{BASE} SELECT id FROM live WHERE kind = 0 AND size > 1000000 AND contains(lower(name), 'img')")
+def rules(spark, d):
+    """Files that meet all conditions of a stored rule."""
+    from silverfold.operators.catalog import rule
+
+    text = '[{"field": "kind", "op": "eq", "value": 0}, {"field": "size", "op": "gt", "value": 1000000}, {"field": "name", "op": "contains", "value": "IMG"}]'
+    return files(spark, d, "kind", "size", "name").where("trashed_at is null").where(rule(text)).select("id")
