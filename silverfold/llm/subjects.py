@@ -40,10 +40,12 @@ class Settings:
 
     features: int = 1 << 20  #: hashed words; bounds the broadcast factors
     min_docs: int = 4  #: documents a feature must occur in to be weighed
-    common: float = 0.10  #: a word in a larger part of a language's documents names no subject
+    common: float = 0.10  #: a word in a larger part of a language's documents names no subject unless the labels say so
+    real: float = 0.02  #: part of the documents a language must have for that rule; stray values have less
     languages: int = 8  #: languages with a background row of their own
     labelled: int = 50_000  #: labelled documents used at most as anchors
     known: int = 6  #: labelled documents from which a word's lift is tested by its deviation
+    sure: float = 4.0  #: deviation from which a frequent word is a subject's, if that has half of its labelled documents
     rounds: int = 5  #: alternating updates of H
     inner: int = 15  #: updates of W in each
     spread: float = 0.06  #: initial weight of an unlabelled word in each subject
@@ -124,7 +126,11 @@ def anchors(df: np.ndarray, by_lang: np.ndarray, n_lang: np.ndarray, nws: np.nda
     deviation = (nws - chance) / np.sqrt(chance + 0.25)
     tested = nw >= s.known
     good = np.where(tested[:, None], (deviation >= 2.5) & (nws >= 1.6 * chance), (nws >= 1) & (lift >= 2) & (share >= 0.2))
-    common = (by_lang / np.maximum(n_lang, 1)).max(axis=1) > s.common if by_lang.size else np.zeros(len(df), bool)
+    real = n_lang >= s.real * max(n_lang.sum(), 1)
+    common = (by_lang[:, real] / n_lang[real]).max(axis=1, initial=0) > s.common
+    # a frequent word is barred unless the labels show it to be one subject's; as every function word is tried
+    # for every subject, chance alone passes the test of the others, so that of frequent words is stricter
+    common &= ~(tested[:, None] & good & (deviation >= s.sure) & (nws >= 0.5 * nw[:, None])).any(axis=1)
     good &= ~common[:, None]
     # words seen often and by no subject more than by chance stay in the background
     anchored, known = good.any(axis=1), (tested & (nws < 1.6 * chance).all(axis=1)) | common

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,17 @@ def test_subjects_by_held_out_accuracy(spark):
     assert weights.groupBy("doc_id").agg(F.sum("weight").alias("w")).where("w > 1.0001").count() == 0
 
 
+def test_frequent_words_are_barred_by_labels_and_real_languages_alone():
+    # features: a word of a hot subject, one of all subjects alike, and one that a stray language value holds
+    df, n_lang = np.array([300.0, 300, 10]), np.array([990.0, 4])
+    by_lang = np.array([[300.0, 0], [300, 0], [9, 1]])
+    nws, ns = np.array([[60.0, 2], [31, 29], [8, 0]]), np.array([100.0, 100])
+    h = S.anchors(df, by_lang, n_lang, nws, nws.sum(axis=1), ns, 200, S.Settings())
+    assert h[0, 0] > 0 and h[2, 0] > 0 and not h[1, :2].any()
+    # a frequent word too few labels speak of stays barred
+    assert not S.anchors(df, by_lang, n_lang, nws / 20, nws.sum(axis=1) / 20, ns / 20, 10, S.Settings())[0, :2].any()
+
+
 def test_subjects_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, subject string")
