@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silverfold.functions import names
+
 
 def ancestors(path: Column, itself: bool = True) -> Column:
     """All prefixes of a path by its segments, shortest first; an empty path has none."""
@@ -83,6 +85,28 @@ def pair_files(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     return a.join(b, [*keys, "hash", "k"]).select(*keys, "a_id", "b_id")
 
 
+def name_audit(folders: DataFrame, keys: list[str]) -> DataFrame:
+    """Dated folders whose name isn't ``YYYY-MM-DD title``: ``source_dir, parent_dir, current_name, proposed_name, reason, file_count, conflict`` per ``keys``.
+
+    ``folders`` has keys, ``path`` below the root of the keys, ``name`` and ``n`` of files. Folders above them
+    that are no row themselves are audited as well, by the last part of their path; files count
+    for every folder above. Names without a date of the calendar have no row, nor have hidden folders and those in them.
+    conflict: a folder of the proposed name lies beside it already.
+    """
+    up = folders.select(*keys, "path", "name", "n", F.explode(ancestors(F.col("path"))).alias("a"))
+    node = up.groupBy(*keys, F.col("a").alias("source_dir")).agg(F.sum("n").alias("file_count"), F.collect_set(F.when(F.col("a") == F.col("path"), F.col("name"))).alias("own"))
+    node = node.where(~F.exists(F.split("source_dir", "/"), lambda x: F.startswith(x, F.lit(".")) | (x == "@eaDir")))
+    last = F.array(F.element_at(F.split("source_dir", "/"), -1))
+    node = node.select(*keys, "source_dir", parent_of(F.col("source_dir")).alias("parent_dir"), F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(last)).alias("current_name"), "file_count")
+    date, title = (names.parse_folder(F.col("current_name"))[x] for x in ("date", "title"))
+    named = node.where(date.try_cast("date").isNotNull()).withColumn("proposed_name", F.concat_ws(" ", date, F.nullif(title, F.lit("")))).where("proposed_name <> current_name")
+    mark = F.substring("current_name", 5, 1)
+    named = named.withColumn("reason", F.when(mark == "_", "underscores").when(mark == ".", "dots").otherwise("joined"))
+    beside = node.select(*keys, "parent_dir", F.col("current_name").alias("proposed_name"), F.lit(True).alias("conflict")).distinct()
+    got = named.join(beside, [*keys, "parent_dir", "proposed_name"], "left")
+    return got.select(*keys, "source_dir", "parent_dir", "current_name", "proposed_name", "reason", "file_count", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
 def husks(folders: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """Topmost folders with no media anywhere below: ``keys, path, n_folders``.
 

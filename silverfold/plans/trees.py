@@ -63,6 +63,28 @@ def husks(spark, d):
     return t.husks(lv, lv, ["volume_uuid"])
 
 
+@query("n05_dated_names", f"""{BASE}, n AS (SELECT folder_id, count(*) AS n FROM live GROUP BY folder_id), tl AS (SELECT id AS library_id, array_to_string(list_filter(string_split(nfc_normalize(rel_path), '/'), lambda x: x <> ''), '/') AS root FROM libraries),
+tf AS (SELECT fo.library_id, array_to_string(list_filter(string_split(nfc_normalize(rel_path), '/'), lambda x: x <> ''), '/') AS full_path, nfc_normalize(name) AS name, coalesce(n, 0) AS n FROM fo LEFT JOIN n ON n.folder_id = fo.id),
+b AS (SELECT library_id, CASE WHEN root = '' THEN full_path ELSE substr(full_path, length(root) + 2) END AS path, name, n FROM tf JOIN tl USING (library_id) WHERE root = '' OR starts_with(full_path, root || '/')),
+u AS (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM b WHERE path <> ''), a AS (SELECT library_id, array_to_string(string_split(path, '/')[1:i], '/') AS source_dir, path, name, n FROM u),
+g AS (SELECT library_id, source_dir, CAST(sum(n) AS BIGINT) AS file_count, list(DISTINCT name) FILTER (source_dir = path) AS own FROM a GROUP BY library_id, source_dir HAVING len(list_filter(string_split(source_dir, '/'), lambda x: starts_with(x, '.') OR x = '@eaDir')) = 0),
+e AS (SELECT library_id, source_dir, regexp_replace(source_dir, '/?[^/]*$', '') AS parent_dir, unnest(coalesce(own, [list_last(string_split(source_dir, '/'))])) AS current_name, file_count FROM g),
+d AS (SELECT *, CASE WHEN regexp_matches(current_name, '^\\d{{4}}([-._])\\d{{2}}[-._]\\d{{2}}') AND substr(current_name, 5, 1) = substr(current_name, 8, 1) THEN substr(current_name, 1, 4) || '-' || substr(current_name, 6, 2) || '-' || substr(current_name, 9, 2)
+  WHEN regexp_matches(current_name, '^\\d{{8}}') THEN substr(current_name, 1, 4) || '-' || substr(current_name, 5, 2) || '-' || substr(current_name, 7, 2) END AS date, trim(ltrim(substr(current_name, CASE WHEN regexp_matches(current_name, '^\\d{{8}}') THEN 9 ELSE 11 END), ' _-.~'), ' ') AS title FROM e),
+x AS (SELECT *, date || CASE WHEN title = '' THEN '' ELSE ' ' || title END AS proposed_name FROM d WHERE try_cast(date AS DATE) IS NOT NULL)
+SELECT library_id, source_dir, parent_dir, current_name, proposed_name, CASE substr(current_name, 5, 1) WHEN '_' THEN 'underscores' WHEN '.' THEN 'dots' ELSE 'joined' END AS reason, file_count,
+  EXISTS (SELECT 1 FROM e WHERE e.library_id = x.library_id AND e.parent_dir = x.parent_dir AND e.current_name = x.proposed_name) AS conflict FROM x WHERE proposed_name <> current_name""")
+def dated_names(spark, d):
+    """Dated folders of each library that aren't named ``YYYY-MM-DD title``, with the name they should have."""
+    tidy = lambda c: F.array_join(F.filter(F.split(nfc(F.col(c)), "/"), lambda x: x != ""), "/")
+    n = files(spark, d, "folder_id").where("trashed_at is null").groupBy(F.col("folder_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    fo = folders(spark, d, "library_id", "rel_path", "name").join(n, "id", "left").select("library_id", tidy("rel_path").alias("full"), nfc(F.col("name")).alias("name"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    lib = table(spark, d, "libraries").select(F.col("id").alias("library_id"), tidy("rel_path").alias("root"))
+    fo = fo.join(lib, "library_id").where((F.col("root") == "") | F.startswith("full", F.concat("root", F.lit("/"))))
+    path = F.when(F.col("root") == "", F.col("full")).otherwise(F.expr("substr(full, length(root) + 2)"))
+    return t.name_audit(fo.select("library_id", path.alias("path"), "name", "n"), ["library_id"])
+
+
 @query("q33_top_extensions", f"""{BASE}, x AS (SELECT folder_id, lower(ext) AS ext, count(*) AS n FROM live GROUP BY 1, 2)
 SELECT folder_id, ext, n, row_number() OVER (PARTITION BY folder_id ORDER BY n DESC, ext) AS pos FROM x QUALIFY pos <= 4""")
 def top_extensions(spark, d):

@@ -112,6 +112,17 @@ def test_compare_and_pair(spark):
     assert rows(trees.pair_files(df, ["p"], "id")) == [(1, 1, 5), (1, 2, 4), (2, 7, 8)]
 
 
+def test_dated_folders_get_their_normal_name(spark):
+    f = [("2024_08_27 trip", 1), ("2024_08_27 trip/20240828_second", 2), ("2024.09.01 fair", 4), ("2024-09-01 fair", 8), ("2024_02_30 never", 16), ("20240827", 32), ("2024-08-27  wide", 64), ("plain", 128)]
+    f += [("up/2024.10.01-x/raw", 3), (".hid/20240101", 5), ("2024-08-27_late", 0)]
+    df = spark.createDataFrame([(1, p, p.split("/")[-1], n) for p, n in f] + [(2, "2024.09.01 fair", "2024.09.01 fair", 1)], "l long, path string, name string, n long")
+    assert rows(trees.name_audit(df, ["l"]).select("l", "source_dir", "proposed_name", "reason", "file_count", "conflict")) == sorted([
+        (1, "2024_08_27 trip", "2024-08-27 trip", "underscores", 3, False), (1, "2024_08_27 trip/20240828_second", "2024-08-28 second", "joined", 2, False),
+        (1, "2024.09.01 fair", "2024-09-01 fair", "dots", 4, True), (1, "20240827", "2024-08-27", "joined", 32, False), (1, "2024-08-27  wide", "2024-08-27 wide", "joined", 64, False),
+        (1, "up/2024.10.01-x", "2024-10-01 x", "dots", 3, False), (1, "2024-08-27_late", "2024-08-27 late", "joined", 0, False), (2, "2024.09.01 fair", "2024-09-01 fair", "dots", 1, False),
+    ])
+
+
 def test_husks(spark):
     f = spark.createDataFrame([("v", p) for p in ("a", "a/b", "a/b/c", "d", "d/e")], "v string, path string")
     n = spark.createDataFrame([("v", "d/e", 3), ("v", "a/b", 0)], "v string, path string, n long")
