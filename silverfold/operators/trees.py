@@ -73,6 +73,38 @@ def compare_trees(rows: DataFrame, keys: list[str]) -> DataFrame:
     return got.withColumn("verdict", verdict)
 
 
+def compare_folders(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Two trees folder by folder: ``sub, verdict, files_a, files_b, common, bytes`` per ``keys``.
+
+    ``rows`` has keys, ``side`` (a or b), ``sub`` (path of the folder below its root, which is empty), ``hash`` and ``size``. Folders
+    meet by equal sub. One whose whole tree is held by its partner's, as often as each hash occurs, is
+    a row of its own (same, b_in_a, a_in_b; bytes of what may go) and its folders below have none. Else the files
+    right in it are compared (partial, also with none in common; bytes of a's share), and the folders below for themselves;
+    folders with files on one side alone are only_a or only_b. A tree with an unhashed file is held by none.
+    """
+    null = F.col("hash").isNull()
+    side = lambda x: F.col("side") == x
+    size = lambda x: F.sum(F.when(side(x), F.coalesce("size", F.lit(0))).otherwise(0))
+    leaf = rows.groupBy(*keys, "sub", "hash").agg(F.count_if(side("a")).alias("a"), F.count_if(side("b")).alias("b"), size("a").alias("sa"), size("b").alias("sb"))
+    sums = [F.sum("a").alias("files_a"), F.sum("b").alias("files_b"), F.sum("sa").alias("bytes_a"), F.sum("sb").alias("bytes_b")]
+    node = leaf.groupBy(*keys, "sub").agg(*sums, F.sum(F.when(null, 0).otherwise(F.least("a", "b"))).alias("common"))
+    above = lambda itself: F.concat(F.when((F.col("sub") != "") | F.lit(itself), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), ancestors(F.col("sub"), itself))
+    up = leaf.select(*keys, F.explode(above(True)).alias("sub"), "hash", "a", "b", "sa", "sb").groupBy(*keys, "sub", "hash").agg(*(F.sum(c).alias(c) for c in ("a", "b", "sa", "sb")))
+    lacks = lambda x, y: F.max(F.when(null, F.col(x) > 0).otherwise(F.col(x) > F.col(y)))
+    tree = up.groupBy(*keys, "sub").agg(*sums, (~lacks("b", "a")).alias("b_in_a"), (~lacks("a", "b")).alias("a_in_b")).where("b_in_a or a_in_b")
+    tree = tree.join(node.where("files_a > 0 and files_b > 0").select(*keys, "sub"), [*keys, "sub"], "left_semi")
+    held = tree.select(*keys, F.col("sub").alias("top"))
+    below = node.select(*keys, "sub", F.explode(above(False)).alias("top")).join(held, [*keys, "top"], "left_semi").select(*keys, "sub").distinct()
+    verdict = F.when(F.col("b_in_a") & F.col("a_in_b"), "same").when(F.col("b_in_a"), "b_in_a").otherwise("a_in_b")
+    freed = F.when(F.col("verdict") == "same", F.least("bytes_a", "bytes_b")).when(F.col("b_in_a"), F.col("bytes_b")).otherwise(F.col("bytes_a"))
+    whole = tree.join(below, [*keys, "sub"], "left_anti").withColumn("verdict", verdict).withColumn("common", F.least("files_a", "files_b")).withColumn("bytes", freed)
+    rest = node.join(below, [*keys, "sub"], "left_anti").join(held.withColumnRenamed("top", "sub"), [*keys, "sub"], "left_anti")
+    rest = rest.withColumn("verdict", F.when(F.col("files_b") == 0, "only_a").when(F.col("files_a") == 0, "only_b").otherwise("partial"))
+    rest = rest.withColumn("bytes", F.when(F.col("common") > 0, F.col("common") * F.expr("bytes_a div files_a")).otherwise(0))
+    out = [*keys, "sub", "verdict", "files_a", "files_b", "common", "bytes"]
+    return whole.select(*out).unionByName(rest.select(*out))
+
+
 def pair_files(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """One-to-one twins of both sides by hash: the n-th copy on one side goes with the n-th on the other.
 

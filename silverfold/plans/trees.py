@@ -123,6 +123,22 @@ def compare(spark, d):
     return t.compare_trees(r, ["pair_id"])
 
 
+@query("e23_compare_folders", """WITH r AS (SELECT DISTINCT row_id, pair_id, side, array_to_string(list_filter(string_split(nfc_normalize(coalesce(sub, '')), '/'), lambda x: x <> ''), '/') AS sub, full_hash AS hash, size FROM tree_files),
+l AS (SELECT pair_id, sub, hash, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b, coalesce(sum(size) FILTER (side = 'a'), 0) AS sa, coalesce(sum(size) FILTER (side = 'b'), 0) AS sb FROM r GROUP BY ALL),
+n AS (SELECT pair_id, sub, sum(a) AS files_a, sum(b) AS files_b, sum(sa) AS bytes_a, sum(CASE WHEN hash IS NULL THEN 0 ELSE least(a, b) END) AS common FROM l GROUP BY ALL),
+x AS (SELECT n.pair_id, n.sub, l.hash, sum(l.a) AS a, sum(l.b) AS b, sum(l.sa) AS sa, sum(l.sb) AS sb FROM n JOIN l ON l.pair_id = n.pair_id AND (n.sub = '' OR l.sub = n.sub OR starts_with(l.sub, n.sub || '/')) WHERE n.files_a > 0 AND n.files_b > 0 GROUP BY ALL),
+t AS (SELECT pair_id, sub, sum(a) AS files_a, sum(b) AS files_b, sum(sa) AS bytes_a, sum(sb) AS bytes_b, bool_and(CASE WHEN hash IS NULL THEN b = 0 ELSE b <= a END) AS b_in_a, bool_and(CASE WHEN hash IS NULL THEN a = 0 ELSE a <= b END) AS a_in_b FROM x GROUP BY pair_id, sub HAVING b_in_a OR a_in_b),
+o AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.pair_id = n.pair_id AND n.sub <> t.sub AND (t.sub = '' OR starts_with(n.sub, t.sub || '/'))))
+SELECT o.pair_id, o.sub, CASE WHEN t.b_in_a AND t.a_in_b THEN 'same' WHEN t.b_in_a THEN 'b_in_a' WHEN t.a_in_b THEN 'a_in_b' WHEN o.files_b = 0 THEN 'only_a' WHEN o.files_a = 0 THEN 'only_b' ELSE 'partial' END AS verdict,
+  CAST(coalesce(t.files_a, o.files_a) AS BIGINT) AS files_a, CAST(coalesce(t.files_b, o.files_b) AS BIGINT) AS files_b, CAST(CASE WHEN t.sub IS NULL THEN o.common ELSE least(t.files_a, t.files_b) END AS BIGINT) AS common,
+  CAST(CASE WHEN t.b_in_a AND t.a_in_b THEN least(t.bytes_a, t.bytes_b) WHEN t.b_in_a THEN t.bytes_b WHEN t.a_in_b THEN t.bytes_a WHEN o.common > 0 THEN o.common * (o.bytes_a // o.files_a) ELSE 0 END AS BIGINT) AS bytes
+FROM o LEFT JOIN t ON t.pair_id = o.pair_id AND t.sub = o.sub""")
+def compare_folders(spark, d):
+    """Both sides of each pair folder by folder, trees held whole at the top."""
+    r = table(spark, d, "tree_files").select("row_id", "pair_id", "side", nfc(F.coalesce("sub", F.lit(""))).alias("sub"), F.col("full_hash").alias("hash"), "size").distinct()
+    return t.compare_folders(r.withColumn("sub", F.array_join(F.filter(F.split("sub", "/"), lambda x: x != ""), "/")), ["pair_id"])
+
+
 @query("e24_pair_files", f"""{_TF}, a AS (SELECT pair_id, hash, row_id AS a_id, row_number() OVER (PARTITION BY pair_id, hash ORDER BY row_id) AS k FROM r WHERE side = 'a' AND hash IS NOT NULL),
 b AS (SELECT pair_id, hash, row_id AS b_id, row_number() OVER (PARTITION BY pair_id, hash ORDER BY row_id DESC) AS k FROM r WHERE side = 'b' AND hash IS NOT NULL) SELECT pair_id, a_id, b_id FROM a JOIN b USING (pair_id, hash, k)""")
 def pair_files(spark, d):

@@ -112,6 +112,16 @@ def test_compare_and_pair(spark):
     assert rows(trees.pair_files(df, ["p"], "id")) == [(1, 1, 5), (1, 2, 4), (2, 7, 8)]
 
 
+def test_compare_goes_down_into_partial_folders(spark):
+    data = [("a", "", "r"), ("b", "", "q"), ("a", "x", "1"), ("a", "x/y", "2"), ("b", "x", "1"), ("a", "s", "3"), ("b", "s", "3"), ("a", "s/t", "4"), ("b", "s/t", "4")]
+    data += [("a", "p", "5"), ("a", "p", "6"), ("b", "p", "5"), ("b", "p", "7"), ("a", "p/in", "8"), ("b", "p/in", "8"), ("b", "p/in", "9"), ("a", "p/l", "1"), ("b", "z/r", "1"), ("a", "u", None), ("b", "u", None)]
+    df = spark.createDataFrame([(1, *r, 10) for r in data] + [(2, "a", "", "1", 10), (2, "a", "k", "2", 10), (2, "b", "", "2", 10)], "p int, side string, sub string, hash string, size long")
+    assert rows(trees.compare_folders(df, ["p"])) == sorted([
+        (1, "", "partial", 1, 1, 0, 0), (1, "x", "b_in_a", 2, 1, 1, 10), (1, "s", "same", 2, 2, 2, 20), (1, "p", "partial", 2, 2, 1, 10), (1, "p/in", "a_in_b", 1, 2, 1, 10),
+        (1, "p/l", "only_a", 1, 0, 0, 0), (1, "z/r", "only_b", 0, 1, 0, 0), (1, "u", "partial", 1, 1, 0, 0), (2, "", "b_in_a", 2, 1, 1, 10),
+    ])
+
+
 def test_dated_folders_get_their_normal_name(spark):
     f = [("2024_08_27 trip", 1), ("2024_08_27 trip/20240828_second", 2), ("2024.09.01 fair", 4), ("2024-09-01 fair", 8), ("2024_02_30 never", 16), ("20240827", 32), ("2024-08-27  wide", 64), ("plain", 128)]
     f += [("up/2024.10.01-x/raw", 3), (".hid/20240101", 5), ("2024-08-27_late", 0)]
