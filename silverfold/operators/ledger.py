@@ -159,10 +159,14 @@ def import_preview(look: DataFrame, days: int = 8) -> DataFrame:
     return look.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if("is_dup").alias("dups"), F.slice(F.array_sort(F.collect_set("day")), 1, days).alias("days"))
 
 
-def journal_rows(moves: DataFrame, batch_id: int, at: int) -> DataFrame:
-    """Rows for the journal of one batch out of ``id, from_path, to_path, size, modified_at``, in the order of ids."""
-    n = F.row_number().over(Window.partitionBy(F.lit(batch_id)).orderBy("id"))
-    return moves.select(F.lit(batch_id).cast("long").alias("batch_id"), n.cast("long").alias("seq"), "id", "from_path", "to_path", "size", "modified_at", F.lit(at).cast("long").alias("done_at"), F.lit(None).cast("long").alias("undone_at"))
+def journal_rows(moves: DataFrame, batch_id: int | str, at: int) -> DataFrame:
+    """Rows for the journal out of ``id, from_path, to_path, size, modified_at``, each batch in the order of ids.
+
+    ``batch_id`` is the one batch of all moves, or the column that tells the batch of each.
+    """
+    batch = F.col(batch_id) if isinstance(batch_id, str) else F.lit(batch_id)
+    n = F.row_number().over(Window.partitionBy(batch).orderBy("id"))
+    return moves.select(batch.cast("long").alias("batch_id"), n.cast("long").alias("seq"), "id", "from_path", "to_path", "size", "modified_at", F.lit(at).cast("long").alias("done_at"), F.lit(None).cast("long").alias("undone_at"))
 
 
 def close_batches(batches: DataFrame, journal: DataFrame) -> DataFrame:
@@ -192,15 +196,15 @@ def rename_plan(files: DataFrame, pattern: Column, live: DataFrame) -> DataFrame
     return free_names(w, others, "folder_id", "name", "id").where("free_name <> old").select("id", "old", "free_name")
 
 
-def merge_plan(source: DataFrame, target: DataFrame) -> DataFrame:
-    """What merging one folder into another does with each file: ``id, action``.
+def merge_plan(source: DataFrame, target: DataFrame, keys: list[str] = []) -> DataFrame:
+    """What merging one folder into another does with each file: ``id, action`` per ``keys``, one merge each.
 
     A file the target holds with equal content is dropped, one whose name is taken by other content is renamed, others move.
     """
-    same = target.where("hash is not null").select("hash", F.lit(True).alias("same")).distinct()
-    taken = target.select(F.lower("name").alias("l"), F.lit(True).alias("taken")).distinct()
-    j = source.join(same, "hash", "left").withColumn("l", F.lower("name")).join(taken, "l", "left")
-    return j.select("id", F.when(F.col("same"), "drop").when(F.col("taken"), "rename").otherwise("move").alias("action"))
+    same = target.where("hash is not null").select(*keys, "hash", F.lit(True).alias("same")).distinct()
+    taken = target.select(*keys, F.lower("name").alias("l"), F.lit(True).alias("taken")).distinct()
+    j = source.join(same, [*keys, "hash"], "left").withColumn("l", F.lower("name")).join(taken, [*keys, "l"], "left")
+    return j.select(*keys, "id", F.when(F.col("same"), "drop").when(F.col("taken"), "rename").otherwise("move").alias("action"))
 
 
 def put(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -319,6 +319,14 @@ def journal(spark, d):
     return ledger.journal_rows(m, 7, 1_700_000_000).select("batch_id", "seq", "id", "size")
 
 
+@query("l02_journal_folders", f"{BASE} SELECT folder_id AS batch_id, row_number() OVER (PARTITION BY folder_id ORDER BY id) AS seq, id, size FROM f WHERE folder_id IS NOT NULL")
+def journal_folders(spark, d):
+    """The journal of moving every folder's files, a batch a folder."""
+    f = files(spark, d, "folder_id", "name", "size", "modified_at").where("folder_id is not null")
+    m = f.select("id", "folder_id", F.col("name").alias("from_path"), F.concat(F.lit("new/"), F.col("name")).alias("to_path"), "size", "modified_at")
+    return ledger.journal_rows(m, "folder_id", 1_700_000_000).select("batch_id", "seq", "id", "size")
+
+
 @query("l02_batches", "WITH p AS (SELECT DISTINCT * FROM phash_pairs), b AS (SELECT DISTINCT run_id AS batch_id FROM phash_runs) SELECT b.batch_id, count(p.pair_id) AS steps, count(p.pair_id) FILTER (p.alike IS NULL) > 0 AS can_undo FROM b LEFT JOIN p ON p.run_id = b.batch_id GROUP BY b.batch_id")
 def batches(spark, d):
     """Batches with their steps; comparisons without a result stand for steps still to undo."""
@@ -358,6 +366,14 @@ def merge_plan(spark, d):
     return ledger.merge_plan(r.where("side = 'a'"), r.where("side = 'b'"))
 
 
+@query("l08_merge_plan_pairs", """WITH r AS (SELECT DISTINCT row_id AS id, pair_id, side, name, full_hash AS hash FROM tree_files), b AS (SELECT * FROM r WHERE side = 'b')
+SELECT pair_id, id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.pair_id = r.pair_id AND b.hash = r.hash) THEN 'drop' WHEN EXISTS (SELECT 1 FROM b WHERE b.pair_id = r.pair_id AND lower(b.name) = lower(r.name)) THEN 'rename' ELSE 'move' END AS action FROM r WHERE side = 'a'""")
+def merge_plan_pairs(spark, d):
+    """Merging side a of every pair into its side b."""
+    r = table(spark, d, "tree_files").select("pair_id", F.col("row_id").alias("id"), "side", "name", F.col("full_hash").alias("hash")).distinct()
+    return ledger.merge_plan(r.where("side = 'a'"), r.where("side = 'b'"), ["pair_id"])
+
+
 @query("l11_common_dir", f"""{BASE}, p AS (SELECT volume_uuid, string_split(min(rel_path), '/') AS a, string_split(max(rel_path), '/') AS b FROM fo WHERE rel_path <> '' GROUP BY volume_uuid),
 n AS (SELECT volume_uuid, a, list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i]) AS d, least(len(a), len(b)) AS m FROM p)
 SELECT volume_uuid, array_to_string(a[1:CASE WHEN len(d) > 0 THEN d[1] - 1 ELSE m END], '/') AS dir FROM n""")

@@ -122,6 +122,15 @@ def test_compare_goes_down_into_partial_folders(spark):
     ])
 
 
+def test_merges_and_journals_of_many_at_once(spark):
+    f = spark.createDataFrame([(1, 1, "a", "X.jpg", "h"), (2, 1, "a", "y.jpg", "k"), (3, 2, "a", "y.jpg", "h"), (4, 2, "a", "z.jpg", None), (5, 1, "b", "Y.jpg", "h"), (6, 2, "b", "Z.jpg", None)], "id long, p int, side string, name string, hash string")
+    a, b = f.where("side = 'a'"), f.where("side = 'b'")
+    assert rows(ledger.merge_plan(a, b, ["p"])) == [(1, 1, "drop"), (1, 2, "rename"), (2, 3, "move"), (2, 4, "rename")]
+    m = f.select("id", "p", F.col("name").alias("from_path"), F.col("name").alias("to_path"), F.lit(1).alias("size"), F.lit(2).alias("modified_at"))
+    assert rows(ledger.journal_rows(m, "p", 9).select("batch_id", "seq", "id")) == [(1, 1, 1), (1, 2, 2), (1, 3, 5), (2, 1, 3), (2, 2, 4), (2, 3, 6)]
+    assert rows(ledger.journal_rows(m, 7, 9).select("batch_id", "seq")) == [(7, i) for i in range(1, 7)]
+
+
 def test_dated_folders_get_their_normal_name(spark):
     f = [("2024_08_27 trip", 1), ("2024_08_27 trip/20240828_second", 2), ("2024.09.01 fair", 4), ("2024-09-01 fair", 8), ("2024_02_30 never", 16), ("20240827", 32), ("2024-08-27  wide", 64), ("plain", 128)]
     f += [("up/2024.10.01-x/raw", 3), (".hid/20240101", 5), ("2024-08-27_late", 0)]
