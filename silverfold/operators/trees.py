@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silverfold.functions import names
+from silverfold.session import Stages
 
 
 def ancestors(path: Column, itself: bool = True) -> Column:
@@ -58,6 +59,28 @@ def identical_trees(files: DataFrame, scope: str = "scope") -> DataFrame:
     return mine.withColumn("up", parent_of(F.col("path"))).join(above, [scope, "up"], "left_anti").select("signature", scope, "path", "n")
 
 
+def identical_sets(files: DataFrame, scope: str = "scope") -> DataFrame:
+    """Sets of trees of equal content: ``signature, scope, path, n``, two or more a signature, whole sets only.
+
+    Of trees of a signature that lie in each other the topmost counts. A set is left out only if
+    each of its trees lies below a tree of another set; one with a tree elsewhere keeps all, so no link is lost.
+    The signatures are written once, as each step reads them again.
+    """
+    sig = Stages(files.sparkSession, "trees").save(tree_signatures(files, scope))
+    twice = sig.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("signature")
+    mine = sig.join(twice, "signature", "left_semi")
+    above = mine.select("signature", scope, "path", F.explode(ancestors(F.col("path"), False)).alias("up"))
+    inner = above.join(mine.select("signature", scope, F.col("path").alias("up")), ["signature", scope, "up"], "left_semi").select("signature", scope, "path").distinct()
+    root = mine.join(inner, ["signature", scope, "path"], "left_anti")
+    shared = root.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("signature")
+    root = root.join(shared, "signature", "left_semi")
+    # what covers a tree holds more files than it, so being covered by a set that is itself left out is being covered by the one above that
+    up = root.select("signature", scope, "path", F.explode(ancestors(F.col("path"), False)).alias("up"))
+    covered = up.join(root.select(scope, F.col("path").alias("up")), [scope, "up"], "left_semi").select("signature", scope, "path").distinct()
+    kept = root.join(covered, ["signature", scope, "path"], "left_anti").select("signature").distinct()
+    return root.join(kept, "signature", "left_semi").select("signature", scope, "path", "n")
+
+
 def compare_trees(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts for each pair of trees: ``files_a, files_b, common, b_in_a, a_in_b, verdict``.
 

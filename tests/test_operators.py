@@ -122,6 +122,16 @@ def test_compare_goes_down_into_partial_folders(spark):
     ])
 
 
+def test_identical_sets_keep_links_and_drop_lone_chains(spark):
+    # P1 and P2 are equal and hold S, whose third copy T lies elsewhere; V/w/x is a chain without a partner; A and B hold C and nothing else does
+    data = [("P1", "P1/S", "1"), ("P1", "P1/o", "2"), ("P2", "P2/S", "1"), ("P2", "P2/o", "2"), ("T", "T", "1"), ("V", "V/w/x", "3"), ("A", "A/C", "4"), ("A", "A/d", "5"), ("B", "B/C", "4"), ("B", "B/d", "5"), ("N", "N", None), ("M", "M", None)]
+    got = trees.identical_sets(spark.createDataFrame(data, "scope string, path string, hash string"))
+    sets = {}
+    for r in got.collect():
+        sets.setdefault(r.signature, set()).add(r.path)
+    assert sorted(map(sorted, sets.values())) == [["A", "B"], ["P1", "P2"], ["P1/S", "P2/S", "T"]]
+
+
 def test_merges_and_journals_of_many_at_once(spark):
     f = spark.createDataFrame([(1, 1, "a", "X.jpg", "h"), (2, 1, "a", "y.jpg", "k"), (3, 2, "a", "y.jpg", "h"), (4, 2, "a", "z.jpg", None), (5, 1, "b", "Y.jpg", "h"), (6, 2, "b", "Z.jpg", None)], "id long, p int, side string, name string, hash string")
     a, b = f.where("side = 'a'"), f.where("side = 'b'")
