@@ -132,7 +132,7 @@ def labels(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components by shrinking stars: ``v, root``, the smallest vertex of each.
 
     Every round links a vertex's larger neighbours to its smallest, then its smaller ones, until
-    nothing changes; rounds are cut by written tables.
+    nothing changes; rounds are cut by written tables. Raises if that takes more than ``rounds``.
     """
     from silverfold.session import Stages
 
@@ -151,6 +151,8 @@ def labels(edges: DataFrame, rounds: int = 40) -> DataFrame:
         e = fresh
         if same:
             break
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
 

@@ -97,7 +97,7 @@ def candidates(spark, d):
     from silverfold.operators.sessions import sessionize
 
     desk = table(spark, d, "libraries").where("area = 0").select(F.col("id").alias("library_id"))
-    fo = folders(spark, d, "library_id").join(F.broadcast(desk.limit(10_000)), "library_id").select(F.col("id").alias("folder_id"), "library_id")
+    fo = folders(spark, d, "library_id").join(desk, "library_id").select(F.col("id").alias("folder_id"), "library_id")
     e = files(spark, d, "folder_id", "taken_at").where("trashed_at is null and taken_at is not null").groupBy("folder_id", "taken_at").agg(F.count(F.lit(1)).alias("n")).join(fo, "folder_id")
     return sessionize(e, "library_id", "taken_at", 10800, weight="n").where("n_events >= 5").select("library_id", "start_at", "end_at", F.col("n_events").alias("n"))
 

@@ -122,6 +122,23 @@ def test_compare_goes_down_into_partial_folders(spark):
     ])
 
 
+def test_labels_are_settled_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r.root for r in cull.labels(path).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not settled"):
+        cull.labels(path, rounds=1)
+
+
+def test_candidates_of_all_desk_libraries(spark, tmp_path):
+    from silverfold.plans.records import candidates
+
+    n = 10_001
+    spark.range(n).selectExpr("id", "0 as area").write.parquet(f"{tmp_path}/libraries.parquet")
+    spark.range(n).selectExpr("id", "id as library_id").write.parquet(f"{tmp_path}/folders.parquet")
+    spark.range(5 * n).selectExpr("id", "cast(null as long) as trashed_at", "id % 10001 as folder_id", "1500000000 + id div 10001 as taken_at").write.parquet(f"{tmp_path}/files.parquet")
+    assert candidates(spark, str(tmp_path)).count() == n
+
+
 def test_identical_sets_keep_links_and_drop_lone_chains(spark):
     # P1 and P2 are equal and hold S, whose third copy T lies elsewhere; V/w/x is a chain without a partner; A and B hold C and nothing else does
     data = [("P1", "P1/S", "1"), ("P1", "P1/o", "2"), ("P2", "P2/S", "1"), ("P2", "P2/o", "2"), ("T", "T", "1"), ("V", "V/w/x", "3"), ("A", "A/C", "4"), ("A", "A/d", "5"), ("B", "B/C", "4"), ("B", "B/d", "5"), ("N", "N", None), ("M", "M", None)]
