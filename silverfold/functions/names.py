@@ -71,12 +71,21 @@ def event_dir(date: Column, title: Column, area: Column) -> Column:
     return F.when(area == 1, leaf).otherwise(F.concat_ws("/", F.substring(date, 1, 4), leaf))
 
 
-def numbered(name: Column, n: Column) -> Column:
-    """The n-th name of equal ones: the name itself first, then ``name (1).ext`` and on."""
+#: A stem that already bears a number, as :func:`numbered` writes it.
+NUMBERED = r"^(.+) \(([1-9]\d{0,8})\)$"
+
+
+def split_name(name: Column) -> tuple[Column, Column]:
+    """Stem and extension of a name; the extension is null where there is none."""
     dot = name.rlike(r"^.+\.[^.]+$")
-    stem, ext = F.regexp_extract(name, r"^(.+)\.([^.]+)$", 1), F.regexp_extract(name, r"^(.+)\.([^.]+)$", 2)
-    tag = F.concat(F.lit(" ("), (n - 1).cast("string"), F.lit(")"))
-    return F.when(n <= 1, name).when(dot, F.concat(stem, tag, F.lit("."), ext)).otherwise(F.concat(name, tag))
+    return F.when(dot, F.regexp_extract(name, r"^(.+)\.([^.]+)$", 1)).otherwise(name), F.when(dot, F.regexp_extract(name, r"^(.+)\.([^.]+)$", 2))
+
+
+def numbered(name: Column, n: Column) -> Column:
+    """A name with its number: the name itself for 1 or less, else ``name (n).ext``."""
+    stem, ext = split_name(name)
+    tag = F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))
+    return F.when(n <= 1, name).otherwise(F.concat(stem, tag, F.coalesce(F.concat(F.lit("."), ext), F.lit(""))))
 
 
 def common_dir(paths: Column) -> Column:

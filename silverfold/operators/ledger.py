@@ -40,14 +40,26 @@ def missing(known: DataFrame, seen: DataFrame, key: str, least: int = 100, share
     """Rows a scan no longer found: ``key, allowed``.
 
     They may go unless the scan found nothing, or more than ``share`` of ``least`` or more rows would.
+    The guard is a one-row aggregate of the same plan, so it judges the rows it is returned with.
     """
-    gone = known.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti")
-    found = seen.select(key).distinct().withColumn("__seen", F.lit(True))
-    both = known.select(key).distinct().join(found, key, "full_outer").withColumn("__gone", F.col("__seen").isNull())
-    n = both.agg(F.count_if("__gone").alias("gone"), F.count_if("__seen").alias("seen"), F.count(F.lit(1)).alias("n")).first()
-    known_n = known.select(key).distinct().count()
-    allowed = n.seen > 0 and not (known_n >= least and n.gone > share * known_n)
-    return gone.withColumn("allowed", F.lit(allowed))
+    k, s = known.select(key).distinct().withColumn("__k", F.lit(True)), seen.select(key).distinct().withColumn("__s", F.lit(True))
+    both = k.join(s, key, "full_outer").select(key, F.coalesce("__k", F.lit(False)).alias("__k"), F.coalesce("__s", F.lit(False)).alias("__s"))
+    n = both.agg(F.count_if("__k").alias("__n"), F.count_if("__s").alias("__found"), F.count_if(F.col("__k") & ~F.col("__s")).alias("__gone"))
+    refuse = (F.col("__found") == 0) | ((F.col("__n") >= least) & (F.col("__gone") > share * F.col("__n")))
+    gone = both.where("__k and not __s").select(key)
+    return gone.crossJoin(F.broadcast(n.select((~refuse).alias("allowed"))))
+
+
+def verify(known: DataFrame, present: DataFrame, key: str, scope: str, share: float = 0.9) -> DataFrame:
+    """Known rows another store lacks, by scope: ``scope, key, allowed``.
+
+    Nothing of a scope may be concluded while less than ``share`` of its known rows are
+    there, as the store is then likely not fully attached. ``known`` has ``scope, key``; rows without a scope are left out.
+    """
+    there = present.select(key).distinct().withColumn("__there", F.lit(True))
+    j = known.where(F.col(scope).isNotNull()).select(scope, key).distinct().join(there, key, "left").withColumn("__there", F.coalesce("__there", F.lit(False)))
+    ok = j.groupBy(scope).agg((F.count_if("__there") >= share * F.count(F.lit(1))).alias("allowed"))
+    return j.where("not __there").join(ok, scope).select(scope, key, "allowed")
 
 
 def mark(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -71,18 +83,33 @@ def undo_plan(journal: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Names no one has: adds ``free_name``. Equal names of a folder are numbered in ``order``, after those taken.
+    """Names no one has: adds ``free_name``, letters of either case being the same.
 
-    A name is free once its number is beyond the taken ones of its stem.
+    The first row (by ``order``) that wants a name no file of the folder has keeps it. The
+    others are numbered from 2 on, ``name (2).ext``, past every number that a taken or wanted name
+    already bears, so no two rows of the result and no taken file share a name.
     """
-    from silverfold.functions.names import numbered
-
-    fold = taken.select(folder, F.lower(name).alias("__l")).distinct()
-    base = F.lower(name)
-    n = F.row_number().over(Window.partitionBy(folder, base).orderBy(order))
-    w = wanted.withColumn("__l", base).withColumn("__n", n).join(fold.withColumn("__t", F.lit(1)), [folder, "__l"], "left")
-    w = w.withColumn("__k", F.col("__n") + F.coalesce("__t", F.lit(0)))
-    return w.withColumn("free_name", numbered(F.col(name), F.col("__k"))).drop("__l", "__n", "__t", "__k")
+    from silverfold.functions.names import NUMBERED, numbered, split_name
+
+    low = F.lower(name)
+    w = wanted.withColumn("__l", low)
+    held = taken.select(folder, low.alias("__l")).distinct().withColumn("__t", F.lit(True))
+    w = w.join(held, [folder, "__l"], "left")
+    place = F.row_number().over(Window.partitionBy(folder, "__l").orderBy(order))
+    # 0 keeps the name; n > 0 gets the n-th free number
+    w = w.withColumn("__n", place - F.when(F.col("__t"), 0).otherwise(1))
+    stem, ext = split_name(F.col("__l"))
+    inner = F.regexp_extract(stem, NUMBERED, 1)
+    used = w.select(folder, "__l").unionByName(held.select(folder, "__l")).where(stem.rlike(NUMBERED)).select(
+        folder, F.concat(inner, F.coalesce(F.concat(F.lit("."), ext), F.lit(""))).alias("__l"), F.regexp_extract(stem, NUMBERED, 2).cast("long").alias("__u")
+    ).where("__u >= 2").distinct()
+    # the i-th used number u has u - 1 - i free ones from 2 on before it
+    i = F.row_number().over(Window.partitionBy(folder, "__l").orderBy("__u"))
+    used = used.select(folder, "__l", (F.col("__u") - i).alias("__at"), F.lit(1).alias("__is"))
+    line = w.withColumns({"__at": F.col("__n").cast("long"), "__is": F.lit(0)}).unionByName(used, allowMissingColumns=True)
+    passed = F.sum("__is").over(Window.partitionBy(folder, "__l").orderBy("__at", F.desc("__is")).rowsBetween(Window.unboundedPreceding, 0))
+    got = line.withColumn("__k", F.when(F.col("__at") <= 0, 1).otherwise(F.col("__at") + 1 + passed)).where("__is = 0")
+    return got.withColumn("free_name", numbered(F.col(name), F.col("__k"))).drop("__l", "__t", "__n", "__at", "__is", "__k")
 
 
 def transfer_plan(picks: DataFrame, there: DataFrame, done: DataFrame, rename: bool) -> DataFrame:

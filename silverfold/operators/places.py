@@ -119,21 +119,25 @@ def narrowest(country: Column, admin1: Column, admin2: Column) -> Column:
     return F.coalesce(admin2, admin1, country)
 
 
+#: Parts of an address by level, fixed values in the order they are looked at.
+ADDRESS_WIDE = ["state", "province", "region", "state_district"]
+ADDRESS_NARROW = ["city", "county", "municipality", "town", "borough", "city_district", "village", "suburb"]
+
+
 def fold_address(address: Column) -> Column:
-    """Country, admin1, admin2 and name out of an address in JSON.
+    """Country, admin1 and admin2 out of an address in JSON, and its country code.
 
-    Each level takes the first of its candidates; equal names count once, and where the
-    first level is missing but two or more narrower names are there, the widest of those moves up.
+    admin1 is the first wide part. Narrow parts count once, and not where they repeat admin1. Where
+    no wide part is there, the first narrow one is admin1 and the second admin2.
     """
-    # fixed values: the parts of an address by level, wide to narrow
-    levels = {"admin1": ["province", "state", "region"], "narrow": ["city", "county", "town", "municipality", "borough", "city_district", "suburb", "village", "quarter", "neighbourhood"]}
     get = lambda k: F.nullif(F.trim(F.get_json_object(address, f"$.{k}")), F.lit(""))
-    first = F.coalesce(*(get(k) for k in levels["admin1"]))
-    rest = F.array_distinct(F.array_compact(F.array(*(get(k) for k in levels["narrow"]))))
-    rest = F.filter(rest, lambda x: ~F.coalesce(x == first, F.lit(False)))
-    up = first.isNull() & (F.size(rest) >= 2)
-    left = F.when(up, F.slice(rest, 2, 100)).otherwise(rest)
-    return F.struct(get("country").alias("country"), F.when(up, F.get(rest, F.lit(0))).otherwise(first).alias("admin1"), F.get(left, F.lit(0)).alias("admin2"), F.upper(get("country_code")).alias("cc"))
+    wide = F.coalesce(*map(get, ADDRESS_WIDE))
+    narrow = F.array_distinct(F.array_compact(F.array(*map(get, ADDRESS_NARROW))))
+    narrow = F.filter(narrow, lambda x: ~x.eqNullSafe(wide))
+    first, second = F.get(narrow, F.lit(0)), F.get(narrow, F.lit(1))
+    return F.struct(
+        get("country").alias("country"), F.coalesce(wide, first).alias("admin1"), F.when(wide.isNull(), second).otherwise(first).alias("admin2"), F.upper(get("country_code")).alias("cc")
+    )
 
 
 def zoom_precision(zoom: Column) -> Column:

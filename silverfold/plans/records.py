@@ -144,6 +144,18 @@ def date_audit(spark, d):
     return files(spark, d, "taken_at", "taken_at_source").where("trashed_at is null").select("id", F.when(s == 0, "embedded").when(s == 1, "filename").otherwise("none").alias("found"), ((s == 1) & F.col("taken_at").isNotNull()).alias("selected"))
 
 
+def _free_sql(taken: str, wanted: str, out: str) -> str:
+    """SQL of free names, by trying every number: ``t`` holds taken names, ``w`` wanted ones (id, folder_id, name)."""
+    return f"""{BASE}, t AS ({taken}), w AS ({wanted}), names AS (SELECT folder_id, lower(name) AS l FROM w UNION SELECT folder_id, lower(name) FROM t),
+p AS (SELECT *, lower(name) AS l, CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_extract(name, '^(.+)\\.([^.]+)$', 1) ELSE name END AS stem,
+  CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN '.' || regexp_extract(name, '^(.+)\\.([^.]+)$', 2) ELSE '' END AS ext FROM w),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY folder_id, l ORDER BY id) - CASE WHEN (folder_id, l) IN (SELECT (folder_id, lower(name)) FROM t) THEN 0 ELSE 1 END AS n FROM p),
+g AS (SELECT folder_id, l, any_value(lower(stem)) AS stem, any_value(lower(ext)) AS ext, max(n) AS most FROM r GROUP BY folder_id, l HAVING max(n) > 0),
+c AS (SELECT folder_id, l, k, stem || ' (' || k || ')' || ext AS cand FROM (SELECT *, unnest(range(2, 2 + most + (SELECT count(*) FROM names x WHERE x.folder_id = g.folder_id AND contains(x.l, '(')))) AS k FROM g)),
+u AS (SELECT folder_id, l, k, row_number() OVER (PARTITION BY folder_id, l ORDER BY k) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM names x WHERE x.folder_id = c.folder_id AND x.l = c.cand)),
+d AS (SELECT r.*, CASE WHEN r.n <= 0 THEN r.name ELSE r.stem || ' (' || u.k || ')' || r.ext END AS free_name FROM r LEFT JOIN u ON u.folder_id = r.folder_id AND u.l = r.l AND u.n = r.n) {out}"""
+
+
 @query("l01_mark", f"{BASE} SELECT id, CASE WHEN id % 3 = 0 THEN 5 ELSE rating END AS rating, CASE WHEN id % 3 = 0 THEN 0 ELSE culling_flag END AS culling_flag, favorite FROM f")
 def mark(spark, d):
     """Every third file is given a rating out of range and a flag below it."""
@@ -188,12 +200,16 @@ def sync(spark, d):
     return ledger.sync_plan(r.where("side = 'a'"), r.where("side = 'b'"), ["pair_id", "path"], ["*.mp4"])
 
 
-@query("l06_verify", f"""{BASE}, a AS (SELECT id FROM live), b AS (SELECT id FROM live WHERE id % 11 <> 0), g AS (SELECT id FROM a ANTI JOIN b USING (id))
-SELECT id, (SELECT count(*) FROM b) > 0 AND NOT ((SELECT count(*) FROM a) >= 100 AND (SELECT count(*) FROM g) > 0.5 * (SELECT count(*) FROM a)) AS allowed FROM g""")
+@query("l06_verify", f"""{BASE}, a AS (SELECT DISTINCT library_id, live.id FROM live JOIN fo ON fo.id = live.folder_id WHERE library_id IS NOT NULL),
+b AS (SELECT *, id % CASE WHEN library_id % 3 = 0 THEN 4 ELSE 11 END <> 0 AS there FROM a),
+n AS (SELECT library_id, count(*) AS expected, count(*) FILTER (there) AS present FROM b GROUP BY library_id)
+SELECT library_id, id, NOT present * 10 < expected * 9 AS allowed FROM b JOIN n USING (library_id) WHERE NOT there""")
 def verify(spark, d):
-    """Files another store no longer lists, and whether so many may be dropped."""
-    a = files(spark, d).where("trashed_at is null").select("id")
-    return ledger.missing(a, a.where("id % 11 <> 0"), "id")
+    """Files of each library another store no longer lists, and whether the store holds enough of the library to believe it."""
+    fo = folders(spark, d, "library_id").select(F.col("id").alias("folder_id"), "library_id")
+    a = files(spark, d, "folder_id").where("trashed_at is null").join(fo, "folder_id").select("library_id", "id")
+    present = a.where("id % if(library_id % 3 = 0, 4, 11) <> 0")
+    return ledger.verify(a, present, "id", "library_id")
 
 
 @query("l07_purge", f"{BASE} SELECT id, CASE WHEN NOT (scanned_at > trashed_at) THEN 'pending' WHEN culling_flag = 2 THEN 'discarded' WHEN quick_hash IS NOT NULL THEN 'uploaded' ELSE 'unknown' END AS class FROM f WHERE trashed_at IS NOT NULL")
@@ -210,13 +226,18 @@ def latest(spark, d):
     return ledger.latest(j, "hash_a", "compared_at").select("hash_a", "pair_id", "compared_at")
 
 
-@query("l09_free_names", f"""{BASE}, t AS (SELECT DISTINCT folder_id, lower(name) AS l FROM f WHERE trashed_at IS NOT NULL), w AS (SELECT id, folder_id, name FROM live),
-k AS (SELECT w.*, row_number() OVER (PARTITION BY w.folder_id, lower(name) ORDER BY id) + CASE WHEN t.l IS NULL THEN 0 ELSE 1 END AS k FROM w LEFT JOIN t ON t.folder_id = w.folder_id AND t.l = lower(w.name))
-SELECT id, CASE WHEN k <= 1 THEN name ELSE regexp_extract(name, '^(.+)\\.([^.]+)$', 1) || ' (' || (k - 1) || ').' || regexp_extract(name, '^(.+)\\.([^.]+)$', 2) END AS free_name FROM k""")
+#: The trashed file of an id beside the live ones: every third bears a number that is thereby taken.
+_TAKEN = "SELECT folder_id, CASE WHEN id % 3 = 0 THEN regexp_replace(name, '^(.+)\\.([^.]+)$', '\\1 (2).\\2') ELSE name END AS name FROM f WHERE trashed_at IS NOT NULL"
+
+
+@query("l09_free_names", _free_sql(_TAKEN, "SELECT id, folder_id, name FROM live UNION ALL SELECT -id, folder_id, name FROM live WHERE id % 5 = 0", "SELECT id, free_name FROM d"))
 def free_names(spark, d):
-    """Names of the live files of each folder, were they to lie beside the trashed."""
+    """Names of the live files of each folder, every fifth twice, were they to lie beside the trashed, some of which are numbered."""
     f = files(spark, d, "folder_id", "name")
-    return ledger.free_names(f.where("trashed_at is null"), f.where("trashed_at is not null"), "folder_id", "name", "id").select("id", "free_name")
+    live, gone = f.where("trashed_at is null").select("id", "folder_id", "name"), f.where("trashed_at is not null")
+    taken = gone.select("folder_id", F.when(F.col("id") % 3 == 0, F.regexp_replace("name", r"^(.+)\.([^.]+)$", "$1 (2).$2")).otherwise(F.col("name")).alias("name"))
+    wanted = live.unionByName(live.where("id % 5 = 0").withColumn("id", -F.col("id")))
+    return ledger.free_names(wanted, taken, "folder_id", "name", "id").select("id", "free_name")
 
 
 @query("l10_cache_keys")
@@ -340,17 +361,12 @@ def trash_plan(spark, d):
     return ledger.trash_plan(files(spark, d, "folder_id", "name", "culling_flag"), 1_700_000_000)
 
 
-@query("l08_restore_plan", f"""{BASE}, t AS (SELECT DISTINCT folder_id, lower(name) AS l FROM live), w AS (SELECT id, folder_id, name FROM f WHERE trashed_at IS NOT NULL),
-k AS (SELECT w.*, row_number() OVER (PARTITION BY w.folder_id, lower(name) ORDER BY id) + CASE WHEN t.l IS NULL THEN 0 ELSE 1 END AS k FROM w LEFT JOIN t ON t.folder_id = w.folder_id AND t.l = lower(w.name))
-SELECT id, folder_id, CASE WHEN k <= 1 THEN name ELSE regexp_extract(name, '^(.+)\\.([^.]+)$', 1) || ' (' || (k - 1) || ').' || regexp_extract(name, '^(.+)\\.([^.]+)$', 2) END AS free_name FROM k""")
+@query("l08_restore_plan", _free_sql("SELECT folder_id, name FROM live", "SELECT id, folder_id, name FROM f WHERE trashed_at IS NOT NULL", "SELECT id, folder_id, free_name FROM d"))
 def restore_plan(spark, d):
     return ledger.restore_plan(files(spark, d, "folder_id", "name"))
 
 
-@query("l08_rename_plan", f"""{BASE}, w AS (SELECT id, folder_id, name AS old, strftime(make_timestamp(taken_at * 1000000), '%Y%m%d') || '.' || lower(ext) AS name FROM live WHERE taken_at IS NOT NULL),
-t AS (SELECT DISTINCT folder_id, lower(name) AS l FROM live WHERE taken_at IS NULL),
-k AS (SELECT w.*, row_number() OVER (PARTITION BY w.folder_id, lower(name) ORDER BY id) + CASE WHEN t.l IS NULL THEN 0 ELSE 1 END AS k FROM w LEFT JOIN t ON t.folder_id = w.folder_id AND t.l = lower(w.name))
-SELECT id, old, CASE WHEN k <= 1 THEN name ELSE regexp_extract(name, '^(.+)\\.([^.]+)$', 1) || ' (' || (k - 1) || ').' || regexp_extract(name, '^(.+)\\.([^.]+)$', 2) END AS free_name FROM k""")
+@query("l08_rename_plan", _free_sql("SELECT folder_id, name FROM live WHERE taken_at IS NULL", "SELECT id, folder_id, name AS old, strftime(make_timestamp(taken_at * 1000000), '%Y%m%d') || '.' || lower(ext) AS name FROM live WHERE taken_at IS NOT NULL", "SELECT id, old, free_name FROM d WHERE free_name <> old"))
 def rename_plan(spark, d):
     """Files named after their day, made free within their folder."""
     live = files(spark, d, "folder_id", "name", "ext", "taken_at").where("trashed_at is null")

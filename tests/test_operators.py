@@ -203,6 +203,11 @@ def test_answers(spark):
     a = spark.createDataFrame([('{"country":"Land","state":"S","city":"C","town":"C","country_code":"ld"}',), ('{"city":"C","suburb":"B"}',), ("{oops",), (None,)], "a string")
     got = [tuple(r.x) for r in a.select(places.fold_address(F.col("a")).alias("x")).collect()]
     assert got[0] == ("Land", "S", "C", "LD") and got[1][1:3] == ("C", "B") and got[2][0] is None and got[3][0] is None
+    one = lambda text: tuple(spark.range(1).select(places.fold_address(F.lit(text)).alias("x")).first().x)[:3]
+    assert one('{"country":"X","city":"Suwon"}') == ("X", "Suwon", None)
+    assert one('{"state":"S","province":"P","city":"C"}') == (None, "S", "C")
+    assert one('{"state_district":"D","village":"V","suburb":"U"}') == (None, "D", "V")
+    assert one('{"state":"S","city":"S","borough":"B"}') == (None, "S", "B") and one("{}") == (None, None, None)
     b = spark.range(1).select(places.safe_bbox(F.lit(-95.0), F.lit(170.0), F.lit(10.0), F.lit(-170.0)).alias("b")).first().b
     assert tuple(b) == (-90.0, -180.0, 10.0, 180.0)
 
@@ -251,7 +256,24 @@ def test_transfer_and_names(spark):
     got = {r.id: r.action for r in ledger.transfer_plan(picks, there, done, rename=False).collect()}
     assert got == {1: "copy", 2: "skip_name", 3: "skip_name", 4: "skip_published", 5: "copy"}
     free = ledger.free_names(picks, there, "folder_id", "name", "id")
-    assert {r.id: r.free_name for r in free.collect()} == {1: "A.jpg", 2: "a (1).jpg", 3: "b (1).jpg", 4: "c.jpg", 5: "d.jpg"}
+    assert {r.id: r.free_name for r in free.collect()} == {1: "A.jpg", 2: "a (2).jpg", 3: "b (2).jpg", 4: "c.jpg", 5: "d.jpg"}
+
+
+def test_free_names_pass_taken_numbers(spark):
+    want = lambda *names: spark.createDataFrame([(i, 1, n) for i, n in enumerate(names)], "id long, f long, name string")
+    free = lambda w, t: [r.free_name for r in ledger.free_names(w, t, "f", "name", "id").orderBy("id").collect()]
+    assert free(want("a.jpg", "a.jpg"), want("a.jpg", "a (1).jpg")) == ["a (2).jpg", "a (3).jpg"]
+    assert free(want("a.jpg", "a.jpg", "a.jpg"), want("A.JPG", "a (2).jpg", "a (4).jpg")) == ["a (3).jpg", "a (5).jpg", "a (6).jpg"]
+    assert free(want("a.jpg", "a (2).jpg", "a.jpg", "noext", "noext"), want("x")) == ["a.jpg", "a (2).jpg", "a (3).jpg", "noext", "noext (2)"]
+    assert free(want("a (02).jpg", "a.jpg", ".hid", ".hid"), want("a.jpg", "a (9999999999).jpg")) == ["a (02).jpg", "a (2).jpg", ".hid", ".hid (2)"]
+    assert free(want(), want("a")) == [] and free(want("a"), want()) == ["a"]
+
+
+def test_verify_refuses_below_nine_tenths(spark):
+    known = spark.createDataFrame([(lib, 100 * lib + i) for lib in (1, 2, 3) for i in range(10)] + [(None, 5), (1, 100)], "lib long, id long")
+    present = known.where("(lib = 1 and id <> 100) or (lib = 2 and id >= 203)")
+    got = rows(ledger.verify(known, present, "id", "lib"))
+    assert [r for r in got if r[0] < 3] == [(1, 100, True), (2, 200, False), (2, 201, False), (2, 202, False)] and {r[2] for r in got if r[0] == 3} == {False}
 
 
 def test_sync(spark):
