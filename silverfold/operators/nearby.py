@@ -9,6 +9,7 @@ One exchange serves all three relations.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,10 @@ from silverfold.session import plain
 RADIUS_KM = 6371.0088
 #: Points sampled to grow the quadtree, and points meant for a leaf.
 SAMPLE, LEAF_POINTS, MAX_DEPTH = 60_000, 20_000, 18
-HOME, COPY, CITY, REGION = 0, 1, 2, 3
+HOME, COPY, CITY, REGION, PROBE = 0, 1, 2, 3, 4
 ROW = "leaf int, salt int, kind int, id long, x double, y double, lon double, pop long, code string, polys string"
-#: An empty answer; typed, as Spark can't take an empty text column of floats.
-NOTHING = pd.DataFrame({"rel": pd.Series([], dtype=object), "a_id": np.empty(0, np.int64), "b_id": np.empty(0, np.int64), "km": np.empty(0)})
+#: Rows spread to their leaves at once; a row of a leaf of s blocks becomes 2 s - 1.
+SPREAD_ROWS = 5_000
 
 
 def haversine_km(lat1, lon1, lat2, lon2):
@@ -95,53 +96,68 @@ class Leaves:
 
 
 def _spread(leaves: Leaves, near_km: float, city_km: float):
-    """Sends each row to its leaves: a point to its home and as a copy to all others its box meets."""
+    """Sends each row to its leaves: a point to its home and as a copy to all others its box meets.
+
+    A leaf of s blocks has s * s tiles. Tile (i, j) probes the points of block i with those of block
+    j, so a point goes to the s tiles that probe it and the s that hold it; cities and regions go to the tiles (i, 0).
+    """
 
     def place(pdf: pd.DataFrame, kind: int) -> pd.DataFrame:
         parts = []
 
-        def put(rows, leaf, salt, kind, x):
+        def put(rows, leaf, tile, kind, x):
             out = pdf.iloc[rows][["id", "lat", "lon", "pop", "code", "polys"]].rename(columns={"lat": "y"})
-            parts.append(out.assign(leaf=leaf.astype(np.int32), salt=salt.astype(np.int32), kind=np.int32(kind), x=x))
+            parts.append(out.assign(leaf=leaf.astype(np.int32), salt=tile.astype(np.int32), kind=np.int32(kind), x=x))
 
-        def all_salts(rows, leaf, kind, x, but=None):
+        def every(leaf):
+            """Each row with each block of its leaf."""
             n = leaves.salts[leaf]
-            rep = np.repeat(np.arange(len(rows)), n)
-            salt = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-            keep = slice(None) if but is None else salt != but[rep]
-            put(rows[rep][keep], leaf[rep][keep], salt[keep], kind, x[rep][keep])
+            rep = np.repeat(np.arange(len(leaf)), n)
+            return rep, np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n), n[rep]
+
+        def hold(rows, leaf, kind, x, block, but_own=False):
+            rep, i, s = every(leaf)
+            tile = i * s + block[rep]
+            keep = i != block[rep] if but_own else slice(None)
+            put(rows[rep][keep], leaf[rep][keep], tile[keep], kind, x[rep][keep])
 
         if kind == REGION:
             b = np.stack(pdf["bbox"].to_numpy()).astype(float)
             rows, leaf = leaves.meeting(b[:, 0], b[:, 1], b[:, 2], b[:, 3])
-            all_salts(rows, leaf, REGION, np.zeros(len(rows)))
+            hold(rows, leaf, REGION, np.zeros(len(rows)), np.zeros(len(rows), np.int64))
         else:
             lat, lon = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
             dy, dx = search_box(lat, near_km if kind == HOME else city_km)
-            every, x = np.arange(len(pdf)), lon
+            all_rows, x = np.arange(len(pdf)), lon
             # a box reaching over the antimeridian is also looked at from the other side
             east, west = (dx >= 180) | (lon + dx > 180), (dx >= 180) | (lon - dx < -180)
-            rows = np.concatenate([every, every[east], every[west]])
+            rows = np.concatenate([all_rows, all_rows[east], all_rows[west]])
             x = np.concatenate([lon, lon[east] - 360, lon[west] + 360])
             at, leaf = leaves.meeting(x - dx[rows], lat[rows] - dy[rows], x + dx[rows], lat[rows] + dy[rows])
             if kind == CITY:
-                all_salts(rows[at], leaf, CITY, x[at])
+                hold(rows[at], leaf, CITY, x[at], np.zeros(len(at), np.int64))
             else:
-                home = leaves.home(lat, lon)
-                salt = (pdf["id"].to_numpy() % leaves.salts[home]).astype(np.int64)
-                put(every, home, salt, HOME, lon)
-                is_home = (leaf == home[rows[at]]) & (at < len(every))
-                all_salts(rows[at][~is_home], leaf[~is_home], COPY, x[at][~is_home])
-                shared = leaves.salts[home] > 1
-                all_salts(every[shared], home[shared], COPY, lon[shared], salt[shared])
+                ids, home = pdf["id"].to_numpy(np.int64), leaves.home(lat, lon)
+                own = ids % leaves.salts[home]
+                put(all_rows, home, own * leaves.salts[home] + own, HOME, lon)
+                parted = leaves.salts[home] > 1
+                if parted.any():
+                    r, at_home = all_rows[parted], home[parted]
+                    rep, j, s = every(at_home)
+                    other = j != own[r][rep]
+                    put(r[rep][other], at_home[rep][other], (own[r][rep] * s + j)[other], PROBE, lon[r][rep][other])
+                    hold(r, at_home, COPY, lon[r], own[r], but_own=True)
+                away = ~((leaf == home[rows[at]]) & (at < len(pdf)))
+                at, leaf = at[away], leaf[away]
+                hold(rows[at], leaf, COPY, x[at], ids[rows[at]] % leaves.salts[leaf])
         return plain(pd.concat(parts))[["leaf", "salt", "kind", "id", "x", "y", "lon", "pop", "code", "polys"]]
 
     def run(batches):
         for pdf in batches:
             for kind in (HOME, CITY, REGION):
                 part = pdf[pdf["kind"] == kind]
-                if len(part):
-                    yield place(part.reset_index(drop=True), kind)
+                for lo in range(0, len(part), SPREAD_ROWS):
+                    yield place(part.iloc[lo : lo + SPREAD_ROWS].reset_index(drop=True), kind)
 
     return run
 
@@ -166,14 +182,17 @@ def inside(px, py, polys) -> np.ndarray:
 
 
 def _probe(near_km: float, city_km: float, near: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = plain(pd.concat(batches, ignore_index=True))
         kind = pdf["kind"].to_numpy()
         ids, x, y = pdf["id"].to_numpy(), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         lon = pdf["lon"].to_numpy(float)
-        home = np.flatnonzero(kind == HOME)
-        found = []
+        home = np.flatnonzero((kind == HOME) | (kind == PROBE))
         if not len(home):
-            return NOTHING
+            return
+
+        def rows(rel, a, b, km):
+            return pd.DataFrame({"rel": np.full(len(a), rel, object), "a_id": a, "b_id": b, "km": km})
 
         def hits(build, km):
             dy, dx = search_box(y[home], km)
@@ -184,15 +203,19 @@ def _probe(near_km: float, city_km: float, near: bool):
 
         if near:
             build = np.flatnonzero(kind <= COPY)
+            twice = (x[build] != lon[build]).any()
             for p, b, d in hits(build, near_km):
                 # the pair belongs to the leaf where its reference point, the smaller id, is at home
                 ok = (d <= near_km) & (ids[p] < ids[b])
-                found.append(pd.DataFrame({"rel": "near", "a_id": ids[p[ok]], "b_id": ids[b[ok]], "km": d[ok]}).drop_duplicates(["a_id", "b_id"]))
+                if ok.any():
+                    got = rows("near", ids[p[ok]], ids[b[ok]], d[ok])
+                    yield got.drop_duplicates(["a_id", "b_id"]) if twice else got
         codes = []
         reg = np.flatnonzero(kind == REGION)
         if len(reg):
             polys = {r: json.loads(pdf["polys"].iat[r]) for r in reg}
             code, level = pdf["code"].to_numpy(), pdf["pop"].to_numpy()
+
             def box(r):
                 v = np.concatenate([np.stack([np.asarray(p, float) for p in ring]) for rings in polys[r] for ring in rings])
                 return (*v.min(axis=0), *v.max(axis=0))
@@ -201,23 +224,21 @@ def _probe(near_km: float, city_km: float, near: bool):
             for which, at in tree.pairs(*(np.ascontiguousarray(boxes[:, i]) for i in range(4)), block=1):
                 r, cand = reg[which[0]], home[at]
                 cand = cand[inside(x[cand], y[cand], polys[r])]
-                found.append(pd.DataFrame({"rel": "in", "a_id": ids[cand], "b_id": ids[r], "km": 0.0}))
+                if len(cand):
+                    yield rows("in", ids[cand], np.full(len(cand), ids[r]), np.zeros(len(cand)))
                 if level[r] == 1:
                     codes.append(pd.DataFrame({"p": cand, "code": code[r]}))
         cities = np.flatnonzero(kind == CITY)
         if len(cities) and codes:
             lies = pd.concat(codes)
             code, pop = pdf["code"].to_numpy(), pdf["pop"].to_numpy()
-            best = []
             for p, b, d in hits(cities, city_km):
                 ok = d <= city_km
                 c = pd.DataFrame({"p": p[ok], "code": code[b[ok]], "km": d[ok], "pop": pop[b[ok]], "id": ids[b[ok]]}).merge(lies, on=["p", "code"])
-                best.append(c.sort_values(["km", "pop", "id"], ascending=[True, False, True]).drop_duplicates("p"))
-            if best:
-                # probes come in blocks, so a probe's candidates are all in one part
-                c = pd.concat(best)
-                found.append(pd.DataFrame({"rel": "city", "a_id": ids[c["p"].to_numpy(np.int64)], "b_id": c["id"].to_numpy(), "km": c["km"].to_numpy()}))
-        return plain(pd.concat(found))[["rel", "a_id", "b_id", "km"]] if found else NOTHING
+                # all candidates of a probe are in one part
+                c = c.sort_values(["km", "pop", "id"], ascending=[True, False, True]).drop_duplicates("p")
+                if len(c):
+                    yield rows("city", ids[c["p"].to_numpy(np.int64)], c["id"].to_numpy(), c["km"].to_numpy())
 
     return run
 
@@ -235,8 +256,10 @@ def nearby(points: DataFrame, regions: DataFrame | None = None, cities: DataFram
     such cities and regions without a box or polygon. Of several rows of one id the one with the smallest (lat,
     lon) is taken. A null pop counts as 0. Other columns are ignored. Empty tables give no rows.
 
-    A leaf with far more than ``leaf_points`` points (one spot holding much of the data)
-    is probed in several salted parts. Only the sample and the leaf boxes, both bounded
+    A leaf with far more than ``leaf_points`` points (one spot holding much of the data) is
+    cut into blocks, and each pair of blocks is a task's group of its own, so none holds more than
+    two blocks and what lies around them; pairs leave a task as they are found. n points of a leaf are copied about
+    n / leaf_points times, against the n * n / 2 pairs they may have. Only the sample and the leaf boxes, both bounded
     by ``sample``, pass through the driver. Pairs are output as asked; a spot with n points has n*(n-1)/2 of them.
     """
     spark = points.sparkSession

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 16
+#: Pairs a probe looks at together, about.
+MOST_PAIRS = 1_000_000
 
 
 class RTree:
@@ -28,23 +30,35 @@ class RTree:
             level = (np.minimum.reduceat(level[0], at), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at))
             self.levels.append(level)
 
-    def pairs(self, qx0, qy0, qx1, qy1, block: int = 4096):
-        """Yields arrays (probe, box), for ``block`` probes at a time."""
+    def pairs(self, qx0, qy0, qx1, qy1, block: int = 4096, most: int = MOST_PAIRS):
+        """Yields arrays (probe, box), for at most ``block`` probes at a time.
+
+        Where the boxes met by a block of probes are more than ``most``, it is halved, so what is
+        held at once is bounded however many boxes lie on one spot. All boxes of a probe are in one array.
+        """
         if not self.n:
             return
+        top = len(self.levels[-1][0])
         for lo in range(0, len(qx0), block):
             q = np.arange(lo, min(lo + block, len(qx0)))
-            top = len(self.levels[-1][0])
-            probe, node = np.repeat(q, top), np.tile(np.arange(top), len(q))
-            for depth in range(len(self.levels) - 1, -1, -1):
+            todo = [(np.repeat(q, top), np.tile(np.arange(top), len(q)), len(self.levels) - 1)]
+            while todo:
+                probe, node, depth = todo.pop()
                 x0, y0, x1, y1 = self.levels[depth]
                 hit = (x0[node] <= qx1[probe]) & (x1[node] >= qx0[probe]) & (y0[node] <= qy1[probe]) & (y1[node] >= qy0[probe])
                 probe, node = probe[hit], node[hit]
-                if depth:
-                    below = len(self.levels[depth - 1][0])
-                    probe = np.repeat(probe, FANOUT)
-                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                    there = node < below
-                    probe, node = probe[there], node[there]
-            if len(probe):
-                yield probe, self.order[node]
+                if not len(probe):
+                    continue
+                if not depth:
+                    yield probe, self.order[node]
+                    continue
+                if len(probe) * FANOUT > most and probe[0] != probe[-1]:
+                    middle = probe[len(probe) // 2]
+                    cut = np.searchsorted(probe, middle, side="left" if middle != probe[0] else "right")
+                    todo += [(probe[part], node[part], depth) for part in (slice(cut, None), slice(cut))]
+                    continue
+                below = len(self.levels[depth - 1][0])
+                probe = np.repeat(probe, FANOUT)
+                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                there = node < below
+                todo.append((probe[there], node[there], depth - 1))

@@ -210,3 +210,27 @@ def test_prefix_sums(spark):
         for r in sorted((r for r in got if r.g == g), key=lambda r: r.c):
             assert r.c == c
             c += r.n
+
+
+def test_hot_spot_is_tiled_and_streamed(spark):
+    import numpy as np
+    import pandas as pd
+
+    from silverfold.operators.nearby import HOME, _probe, haversine_km
+    from silverfold.operators.rtree import MOST_PAIRS
+
+    # a third of the points on one spot, a third within a few metres, the rest spread; antimeridian too
+    rng = np.random.default_rng(3)
+    lat = np.concatenate([np.full(700, 37.5), 37.5 + rng.uniform(0, 1e-4, 700), rng.uniform(-1e-4, 1e-4, 600)])
+    lon = np.concatenate([np.full(700, 127.0), 127.0 + rng.uniform(0, 1e-4, 700), np.where(np.arange(600) % 2 == 0, 180.0, -180.0) - rng.uniform(0, 1e-4, 600) * np.where(np.arange(600) % 2 == 0, 1, -1)])
+    points = pd.DataFrame({"id": rng.permutation(2000), "lat": lat, "lon": lon})
+    got = nearby(spark.createDataFrame(points), leaf_points=100).where("rel = 'near'").select("a_id", "b_id").toPandas()
+    d = haversine_km(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
+    ids = points["id"].to_numpy()
+    p, q = np.nonzero((d <= 0.1) & (ids[:, None] < ids[None, :]))
+    assert len(got) == len(p) and set(zip(got["a_id"], got["b_id"], strict=True)) == set(zip(ids[p].tolist(), ids[q].tolist(), strict=True))
+    # 20,000 points on one spot leave a task in bounded parts
+    n = 20_000
+    tile = pd.DataFrame({"kind": HOME, "id": np.arange(n), "x": 1.0, "y": 1.0, "lon": 1.0, "pop": 0, "code": None, "polys": None})
+    sizes = [len(part) for part, _ in zip(_probe(0.1, 20.0, True)(iter([tile])), range(20), strict=False)]
+    assert len(sizes) == 20 and max(sizes) <= MOST_PAIRS * 1.1
