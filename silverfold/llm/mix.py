@@ -9,8 +9,8 @@ seeded order by the flow's amounts, without any of them passing through the driv
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +30,10 @@ class Target:
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths."""
+    """Min-cost flow, primal-dual: all paths of one cost are filled together by blocking flows.
+
+    Costs are the small whole numbers of copies, so there are no more rounds than different path costs.
+    """
 
     def __init__(self, n: int):
         self.out: list[list[int]] = [[] for _ in range(n)]
@@ -47,53 +50,114 @@ class Flow:
             self.cost.append(w)
         return at
 
+    def _distances(self, s: int, price: list[int]) -> list[int | None]:
+        """Least reduced costs from s; with these prices none is negative."""
+        dist: list[int | None] = [None] * len(self.out)
+        dist[s], todo = 0, [(0, s)]
+        while todo:
+            d, x = heappop(todo)
+            if d > dist[x]:
+                continue
+            for e in self.out[x]:
+                if self.cap[e] > 0:
+                    y = self.to[e]
+                    far = d + self.cost[e] + price[x] - price[y]
+                    if dist[y] is None or far < dist[y]:
+                        dist[y] = far
+                        heappush(todo, (far, y))
+        return dist
+
+    def _levels(self, s: int, price: list[int]) -> list[int]:
+        """Steps from s over free edges of reduced cost 0; -1 where none lead."""
+        level, todo = [-1] * len(self.out), [s]
+        level[s] = 0
+        for x in todo:
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.cap[e] > 0 and level[y] < 0 and self.cost[e] + price[x] == price[y]:
+                    level[y] = level[x] + 1
+                    todo.append(y)
+        return level
+
+    def _blocking(self, s: int, t: int, price: list[int], level: list[int]) -> int:
+        """Fills paths along the levels until each has a full edge."""
+        at, total, path, x = [0] * len(self.out), 0, [], s
+        while True:
+            if x == t:
+                f = min(self.cap[e] for e in path)
+                total += f
+                back = None
+                for i, e in enumerate(path):
+                    self.cap[e] -= f
+                    self.cap[e ^ 1] += f
+                    if back is None and not self.cap[e]:
+                        back = i
+                x = self.to[path[back] ^ 1]
+                del path[back:]
+                continue
+            for k in range(at[x], len(self.out[x])):
+                e = self.out[x][k]
+                y = self.to[e]
+                if self.cap[e] > 0 and level[y] == level[x] + 1 and self.cost[e] + price[x] == price[y]:
+                    at[x] = k
+                    path.append(e)
+                    x = y
+                    break
+            else:
+                at[x] = len(self.out[x])
+                if x == s:
+                    return total
+                level[x] = -1
+                x = self.to[path.pop() ^ 1]
+
     def run(self, s: int, t: int) -> int:
-        total = 0
+        """The largest flow from s to t at the least cost; its amount."""
+        total, price = 0, [0] * len(self.out)
         while True:
-            dist: dict[int, int] = {s: 0}
-            via: dict[int, int] = {}
-            todo, queued = deque([s]), {s}
-            while todo:
-                x = todo.popleft()
-                queued.discard(x)
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.cap[e] > 0 and (y not in dist or dist[x] + self.cost[e] < dist[y]):
-                        dist[y], via[y] = dist[x] + self.cost[e], e
-                        if y not in queued:
-                            queued.add(y)
-                            todo.append(y)
-            if t not in dist:
+            dist = self._distances(s, price)
+            if dist[t] is None:
                 return total
-            path, x = [], t
-            while x != s:
-                path.append(via[x])
-                x = self.to[via[x] ^ 1]
-            f = min(self.cap[e] for e in path)
-            for e in path:
-                self.cap[e] -= f
-                self.cap[e ^ 1] += f
-            total += f
+            for x, d in enumerate(dist):
+                price[x] += min(d, dist[t]) if d is not None else dist[t]
+            while (level := self._levels(s, price))[t] >= 0:
+                total += self._blocking(s, t, price, level)
 
+    def side(self, s: int) -> list[bool]:
+        """Vertices still reached from s: the source's side of a smallest cut."""
+        seen, todo = [False] * len(self.out), [s]
+        seen[s] = True
+        for x in todo:
+            for e in self.out[x]:
+                if self.cap[e] > 0 and not seen[self.to[e]]:
+                    seen[self.to[e]] = True
+                    todo.append(self.to[e])
+        return seen
 
-def route(patterns: dict[tuple[int, ...], int], targets: list[Target], quotas: list[int]):
-    """Tokens each layer of a pattern gives to a source: ``{(pattern, layer): [(source, tokens)]}``.
 
-    Layer k is the k-th copy of the pattern's documents; a source takes from layers up to
-    its repeats only. Also returns the tokens routed in all.
-    """
+def _network(patterns: dict[tuple[int, ...], int], targets: list[Target], quotas: list[int], costs: bool):
+    """The flow network: source, layers (pattern, copy), targets, sink; and its edges from layers to targets."""
     names = [(p, k) for p in patterns for k in range(1, max(targets[s].repeats for s in p) + 1)]
     n = len(names) + len(targets)
-    flow, s0, t0 = Flow(n + 2), n, n + 1
+    flow = Flow(n + 2)
     edges = {}
     for i, (p, k) in enumerate(names):
-        flow.edge(s0, i, patterns[p], k - 1)
+        flow.edge(n, i, patterns[p], k - 1 if costs else 0)
         for s in p:
             if targets[s].repeats >= k:
                 edges[i, s] = flow.edge(i, len(names) + s, patterns[p])
     for s, q in enumerate(quotas):
-        flow.edge(len(names) + s, t0, q)
-    total = flow.run(s0, t0)
+        flow.edge(len(names) + s, n + 1, q)
+    return flow, names, edges
+
+
+def route(patterns: dict[tuple[int, ...], int], targets: list[Target], quotas: list[int]):
+    """Tokens each layer of a pattern gives to a source: ``{(pattern, layer): [(source, tokens)]}``.
+
+    Layer k is the k-th copy of the pattern's documents; a source takes from layers up to
+    its repeats only. Also returns the tokens routed in all.
+    """
+    flow, names, edges = _network(patterns, targets, quotas, costs=True)
+    total = flow.run(len(flow.out) - 2, len(flow.out) - 1)
     routed: dict = {}
     for (i, s), e in edges.items():
         if f := flow.cap[e ^ 1]:
@@ -107,16 +171,29 @@ def quotas_of(total: int, shares: list[float]) -> list[int]:
 
 
 def largest_total(patterns: dict[tuple[int, ...], int], targets: list[Target], shares: list[float]) -> int:
-    """The most tokens of which every source can have its share within its repeats."""
-    low, high = 0, sum(c * max(targets[s].repeats for s in p) for p, c in patterns.items())
-    while low < high:
-        mid = (low + high + 1) // 2
-        q = quotas_of(mid, shares)
-        if route(patterns, targets, q)[1] == sum(q):
-            low = mid
-        else:
-            high = mid - 1
-    return low
+    """The most tokens of which every source can have its share within its repeats.
+
+    From above: where a total is too much, a smallest cut names sources whose documents can't give
+    their quotas; the total falls to the most those can, and so on until it is met. Each step is
+    a bound any answer keeps, so the first total that is met is the largest; few cuts come up.
+    """
+    total = sum(c * max(targets[s].repeats for s in p) for p, c in patterns.items())
+    while total:
+        quotas = quotas_of(total, shares)
+        flow, names, _ = _network(patterns, targets, quotas, costs=False)
+        if flow.run(len(flow.out) - 2, len(flow.out) - 1) == sum(quotas):
+            break
+        reached = flow.side(len(flow.out) - 2)
+        short = [s for s in range(len(targets)) if not reached[len(names) + s]]
+        # what the layers not reached give, and those reached give to no source of these: all that is to be had for `short`
+        most = sum(patterns[p] for i, (p, k) in enumerate(names) if not reached[i]) + sum(patterns[p] for i, (p, k) in enumerate(names) if reached[i] for s in p if s in set(short) and targets[s].repeats >= k)
+        low, high = 0, total - 1
+        while low < high:
+            mid = (low + high + 1) // 2
+            q = quotas_of(mid, shares)
+            low, high = (mid, high) if sum(q[s] for s in short) <= most else (low, mid - 1)
+        total = low
+    return total
 
 
 def mix(members: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 13) -> DataFrame:
