@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_intervals")
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Each folder's place in preorder; the folders below are the range (pre, last]."""
-    return hierarchy(table(spark, d, "folders"), intervals=True).select(F.col("id").alias("folder_id"), "root_id", "n_desc", "pre", "last")
+    return hierarchy(table(spark, d, "folders"), intervals=True, paths=False).select(F.col("id").alias("folder_id"), "root_id", "n_desc", "pre", "last")
 
 
 @query("p4_found", sql.P4)

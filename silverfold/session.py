@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -51,28 +51,55 @@ class Stages:
 
     Each ``save`` writes parquet into the shared folder and reads it back, so a lost
     executor costs a task and not the iteration, and the next plan sees true sizes.
-    ``drop`` frees a table that no later step reads.
+    ``drop`` frees a table that no later step reads, and ``keep`` all but those named, at the end of a job;
+    ``drop_results`` frees the rest once the result has been used.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._live: dict[str, DataFrame] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **measures: Column) -> DataFrame:
+        """Writes ``df``; ``measures`` are aggregates of its rows, taken while they are written, as ``.seen``."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        noted = Observation() if measures else None
+        (df.observe(noted, *(c.alias(n) for n, c in measures.items())) if noted else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._silverfold_path = path  # type: ignore[attr-defined]
+        out.seen = noted.get if noted else {}  # type: ignore[attr-defined]
+        self._live[path] = out
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        path = getattr(df, "_silverfold_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *dfs: DataFrame | None) -> None:
+        for df in dfs:
+            path = getattr(df, "_silverfold_path", None)
+            if path and self._live.pop(path, None) is not None:
+                _delete(self.spark, path)
+
+    def keep(self, *dfs: DataFrame) -> None:
+        """Frees all tables of this job but ``dfs``, which its result still reads."""
+        kept = {getattr(df, "_silverfold_path", None) for df in dfs}
+        self.drop(*(df for path, df in list(self._live.items()) if path not in kept))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_results(df: DataFrame) -> None:
+    """Frees the written tables a result reads, once it has been stored or is no longer needed."""
+    folder = shared_folder(df.sparkSession).rstrip("/").split(":", 1)[-1].lstrip("/")
+    jobs = set()
+    for file in df.inputFiles():
+        at = file.split(":", 1)[-1].lstrip("/")
+        if at.startswith(f"{folder}/"):
+            jobs.add(at[len(folder) + 1 :].split("/", 1)[0])
+    for job in jobs:
+        _delete(df.sparkSession, f"{shared_folder(df.sparkSession).rstrip('/')}/{job}")
 
 
 def plain(pdf: pd.DataFrame) -> pd.DataFrame:
