@@ -42,12 +42,16 @@ def usable_time(col: F.Column) -> F.Column:
     return F.when(col.between(USABLE_FROM, USABLE_TO), col)
 
 
+#: The stated precedence of areas: a settled copy (area 1 or 2) is later than any other.
+SETTLED_LATER = {"open": {"settled"}}
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "member_rows")
     taken = usable_time(F.col("taken_at"))
-    settled_last = (~F.coalesce(F.col("area").isin(1, 2), F.lit(False))).cast("int")
-    order = [settled_last, -F.coalesce("size", F.lit(-1).cast("long")), taken.isNull().cast("int"), F.coalesce(taken, F.lit(0).cast("long"))]
-    got = survivors(rows, "group_id", "file_id", order, {"taken_at": taken, "width": F.col("width")})
+    state = F.when(F.col("area").isin(1, 2), "settled").otherwise("open")
+    order = [-F.coalesce("size", F.lit(-1).cast("long")), taken.isNull().cast("int"), F.coalesce(taken, F.lit(0).cast("long"))]
+    got = survivors(rows, "group_id", "file_id", order, {"taken_at": taken, "width": F.col("width")}, state=state, later=SETTLED_LATER)
     return got.select("group_id", "file_id", *(F.coalesce(F.col(c), F.lit(-1).cast("long")).alias(c) for c in ("taken_at", "width")))
 
 
@@ -69,6 +73,23 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
     return current_values(rows, "group_id", "area", usable_time(F.col("taken_at")))
 
 
+P5_CURRENT_SQL = """
+WITH RECURSIVE m AS (SELECT DISTINCT group_id AS g, file_id, CAST(area AS VARCHAR) AS v, CASE WHEN taken_at BETWEEN 946684800 AND 1798761599 THEN taken_at END AS t FROM member_rows),
+r AS (SELECT * FROM m WHERE g IS NOT NULL AND v IS NOT NULL),
+f AS (
+  SELECT a.v, b.v AS w, count(*) AS n FROM (SELECT g, v, max(t) AS hi FROM r WHERE t IS NOT NULL GROUP BY g, v) a
+  JOIN (SELECT g, v, min(t) AS lo FROM r WHERE t IS NOT NULL GROUP BY g, v) b ON a.g = b.g AND a.v <> b.v AND a.hi < b.lo GROUP BY a.v, b.v
+), step AS (SELECT x.v, x.w, x.n - coalesce(y.n, 0) AS s FROM f x LEFT JOIN f y ON y.v = x.w AND y.w = x.v WHERE x.n > coalesce(y.n, 0)),
+way AS (SELECT v, w, s FROM step UNION SELECT way.v, step.w, least(way.s, step.s) FROM way JOIN step ON step.v = way.w),
+best AS (SELECT v, w, max(s) AS s FROM way GROUP BY v, w),
+later AS (SELECT x.v, x.w FROM best x LEFT JOIN best y ON y.v = x.w AND y.w = x.v WHERE x.s > coalesce(y.s, 0)),
+p AS (SELECT g, v, max(t) AS t, count(*) AS n FROM r GROUP BY g, v),
+k AS (SELECT p.*, (SELECT count(*) FROM later JOIN p q ON q.v = later.w WHERE later.v = p.v AND q.g = p.g) AS above FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t DESC NULLS LAST, CASE WHEN t IS NULL THEN above ELSE 0 END, CASE WHEN t IS NULL THEN -n ELSE above END, v DESC) AS i FROM k)
+SELECT g AS group_id, v AS value, CASE WHEN t IS NULL THEN 'learned' ELSE 'timed' END AS how FROM o WHERE i = 1
+"""
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -108,4 +129,5 @@ QUERIES = {
 SQL = {
     "p2_found": P2_SQL,
     "p5_found": P5_SQL,
+    "p5_current": P5_CURRENT_SQL,
 }
