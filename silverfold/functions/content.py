@@ -91,6 +91,31 @@ def alike(a: bytes | None, b: bytes | None) -> bool:
     return bool(d[:LUMA].mean() <= LUMA_LIMIT and d[LUMA:].mean() <= CHROMA_LIMIT)
 
 
+def signature_rows(signatures: pd.Series) -> np.ndarray:
+    """Signatures as rows of numbers; those of another length or version are rows of -1."""
+    out = np.full((len(signatures), LUMA + CHROMA), -1, np.int16)
+    for i, s in enumerate(signatures):
+        if s is not None and len(s) == 1 + LUMA + CHROMA and s[0] == SIGNATURE_VERSION:
+            out[i] = np.frombuffer(s, np.uint8)[1:]
+    return out
+
+
+def alike_rows(rows: np.ndarray, i: int) -> np.ndarray:
+    """Which rows are alike to row ``i``, as :func:`alike` has it."""
+    d = np.abs(rows - rows[i])
+    ok = (rows[:, 0] >= 0) & (rows[i, 0] >= 0)
+    return ok & (d[:, :LUMA].mean(axis=1) <= LUMA_LIMIT) & (d[:, LUMA:].mean(axis=1) <= CHROMA_LIMIT)
+
+
+@F.pandas_udf(T.BooleanType())
+def alike_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`alike` of two signature columns; false where either is missing."""
+    x, y = signature_rows(a), signature_rows(b)
+    d = np.abs(x - y)
+    ok = (x[:, 0] >= 0) & (y[:, 0] >= 0)
+    return pd.Series(ok & (d[:, :LUMA].mean(axis=1) <= LUMA_LIMIT) & (d[:, LUMA:].mean(axis=1) <= CHROMA_LIMIT))
+
+
 def cache_key(path: str, size: int, modified: int) -> str:
     """FNV-1a, 64 bits, over path, size and time."""
     h = 0xCBF29CE484222325

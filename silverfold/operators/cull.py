@@ -6,12 +6,19 @@ the last one's result by overwriting the partition of its kind.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silverfold.functions import content
 from silverfold.operators.skew import skew_join
+from silverfold.operators.unionfind import components
+from silverfold.session import Stages
 
 #: Which scans have to run again after one changed (fixed order).
 ORDER = ["junk", "burst", "exact", "near", "scene"]
@@ -110,143 +117,243 @@ def bursts(rows: DataFrame, gap: int = 10, least: int = 3, most: int = 60) -> Da
     return got.where(F.col("n").between(least, most)).select("folder_id", "start_at", "end_at", "n", F.col("b.id").alias("best_id"), (F.col("total") - F.col("big")).alias("gain"))
 
 
-def hamming_pairs(rows: DataFrame, hash_col: str, distance: int, bands: int = 8) -> DataFrame:
-    """Pairs of different hashes at most ``distance`` bits apart: ``a < b, distance``.
+#: Hashes of one key compared in one piece; a key of more is compared piece by piece.
+KEY_HASHES = 500
+#: Most blocks two hashes are asked to agree on.
+MOST_AGREE = 4
+
+
+def _masks(distance: int, agree: int) -> list[int]:
+    """Masks, as signed longs, of which two 64-bit hashes at most ``distance`` bits apart agree on one.
 
-    64-bit hashes this close share at least one of ``bands`` bytes if distance < bands, so
-    the banded join loses none. Distances are taken inside the join, before pairs are made
-    distinct, so only near pairs move on; a band value many hashes share is a skewed key,
-    which the adaptive join splits.
+    The bits are cut into distance + agree blocks; as at most ``distance`` of those differ, ``agree`` don't.
     """
-    if distance >= bands:
-        raise ValueError("the bands find every pair only below as many bits as there are bands")
-    h = rows.where(F.col(hash_col).isNotNull()).select(F.col(hash_col).alias("h")).distinct()
-    keyed = h.select("h", F.posexplode(F.array(*(F.shiftrightunsigned("h", 64 // bands * k).bitwiseAND((1 << (64 // bands)) - 1) for k in range(bands)))).alias("k", "v"))
-    other = keyed.select(F.col("h").alias("b"), "k", "v")
-    near = F.bit_count(F.col("h").bitwiseXOR(F.col("b")))
-    got = keyed.join(other, ["k", "v"]).where((F.col("h") < F.col("b")) & (near <= distance))
-    return got.select(F.col("h").alias("a"), "b", near.cast("int").alias("distance")).distinct()
+    blocks = distance + agree
+    cut = [range(64 * k // blocks, 64 * (k + 1) // blocks) for k in range(blocks)]
+    masks = [sum(1 << i for c in some for i in c) for some in combinations(cut, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def labels(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components by shrinking stars: ``v, root``, the smallest vertex of each.
+def hamming_pairs(rows: DataFrame, hash_col: str, distance: int) -> DataFrame:
+    """Pairs of different 64-bit hashes at most ``distance`` (1 to 8) bits apart: ``a < b, distance``. Exact.
 
-    Every round links a vertex's larger neighbours to its smallest, then its smaller ones, until
-    nothing changes; rounds are cut by written tables. Raises if that takes more than ``rounds``.
+    Cut into distance + k blocks, two such hashes agree on k blocks, so each hash has a key for every k blocks. k
+    grows with the number of hashes, so that few share a key by chance and the candidates stay in
+    proportion to the hashes. Hashes of crowded keys (flat pictures) get the keys of the largest k, and those of keys crowded even
+    then, which agree on half of their bits, are compared piece by piece: each key's hashes are cut into
+    pieces of KEY_HASHES, and every two pieces are a row of their own, so nothing is dropped and no task holds a whole key.
     """
-    from silverfold.session import Stages
-
-    stages = Stages(edges.sparkSession, "labels")
-    e = stages.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        fresh = stages.save(small)
-        same = fresh.count() == e.count() and not fresh.exceptAll(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).limit(1).count()
-        stages.drop(e)
-        e = fresh
-        if same:
+    if not 0 < distance <= 8:
+        raise ValueError("a distance of 1 to 8 bits")
+    stages = Stages(rows.sparkSession, "hamming")
+    h = stages.save(rows.where(F.col(hash_col).isNotNull()).select(F.col(hash_col).cast("long").alias("h")).distinct(), n=F.count(F.lit(1)))
+    n = h.seen["n"]
+    near = lambda x, y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= distance)
+    found = []
+    agree = next((k for k in range(1, MOST_AGREE) if n <= 2 ** (64 * k // (distance + k) + 1)), MOST_AGREE)
+    while True:
+        keyed = h.select("h", F.explode(F.array(*map(F.lit, _masks(distance, agree)))).alias("mask")).withColumn("key", F.col("h").bitwiseAND(F.col("mask")))
+        # most keys are of one hash, which end here; counts are pre-aggregated
+        shared = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        met = stages.save(keyed.join(shared, ["mask", "key"]), crowded=F.count_if(F.col("k") > KEY_HASHES))
+        hs = met.where(F.col("k") <= KEY_HASHES).groupBy("mask", "key").agg(F.collect_list("h").alias("hs"))
+        found.append(hs.select(F.explode("hs").alias("a"), "hs").select("a", F.explode(F.filter("hs", lambda y: near(F.col("a"), y))).alias("b")))
+        if not met.seen["crowded"]:
             break
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
-    roots = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+        crowd = met.where(F.col("k") > KEY_HASHES)
+        if agree == MOST_AGREE:
+            found.append(_by_pieces(crowd, near))
+            break
+        agree, h = MOST_AGREE, stages.save(crowd.select("h").distinct())
+    got = stages.save(reduce(DataFrame.unionByName, found).distinct().select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int").alias("distance")))
+    stages.keep(got)
+    return got
+
+
+def _by_pieces(crowd: DataFrame, near) -> DataFrame:
+    """Near pairs within crowded keys ``mask, key, h, k``: pieces of a key meet two by two."""
+    pieces = F.ceil(F.col("k") / KEY_HASHES)
+    cut = crowd.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("h"), F.col("pieces")))
+    ends = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))).alias("t")
+    met = cut.select("mask", "key", "h", "own", ends).groupBy("mask", "key", "t").agg(F.collect_list(F.struct("h", "own")).alias("hs"))
+    x, same = F.col("x"), F.col("t.i") == F.col("t.j")
+    # of two pieces a hash meets those of the other; both orders are looked at
+    partner = lambda y: near(x["h"], y["h"]) & (same | (y["own"] != x["own"]))
+    return met.select("t", F.explode("hs").alias("x"), "hs").select(x["h"].alias("a"), F.explode(F.filter("hs", partner)).alias("y")).select("a", F.col("y.h").alias("b"))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """Connected components of ``a, b``: ``v, root``, the smallest vertex of each; vertices with loops alone have no row."""
+    return components(edges.where("a <> b"))
+
+
+#: Rows of components that are worked through together.
+BUCKET_ROWS = 20_000
 
 
-def _seeds(aspect: float):
+def _by_component(rows: DataFrame, stages: Stages, run, schema: str) -> DataFrame:
+    """Applies ``run`` to many whole components ``root`` at a time, as most are of a few rows."""
+    rows = stages.save(rows, n=F.count(F.lit(1)))
+    buckets = max(1, -(-rows.seen["n"] // BUCKET_ROWS))
+    return rows.withColumn("__bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).groupBy("__bucket").applyInPandas(run, schema)
+
+
+def _parts(sorted_roots: np.ndarray) -> Iterator[slice]:
+    """The rows of each component, of rows sorted by component."""
+    at = np.flatnonzero(np.append(True, sorted_roots[1:] != sorted_roots[:-1]))
+    return (slice(a, b) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(sorted_roots)], strict=True))
+
+
+def _seeds(aspect: float, limit: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The largest picture left takes all later ones of its shape and near its hash."""
-        p = pdf.sort_values(["pixels", "file_id"], ascending=[False, True]).reset_index(drop=True)
-        ar = p["width"].to_numpy(float) / p["height"].to_numpy(float)
-        h = p["hash"].to_numpy(np.int64).view(np.uint64)
-        free, group = np.ones(len(p), bool), np.full(len(p), -1, np.int64)
-        limit = int(p["limit"].iat[0])
-        for i in range(len(p)):
-            if free[i]:
-                bits = np.bitwise_count(h ^ h[i])
-                mine = free & (np.abs(ar - ar[i]) <= aspect * ar[i]) & (bits <= limit)
-                mine[:i] = False
-                mine[i] = True
-                free[mine] = False
-                if mine.sum() > 1:
-                    group[mine] = p["file_id"].iat[i]
-        return p.assign(seed=group)[["file_id", "seed"]][group >= 0]
+        """Splits hashes near each other into groups of alike pictures.
+
+        Pictures are linked where hashes are near and signatures alike; of what is linked, the
+        largest picture left takes all later ones of its shape that are alike.
+        """
+        p = pdf.sort_values(["root", "pixels", "file_id"], ascending=[True, False, True])
+        shape = p["width"].to_numpy(float) / p["height"].to_numpy(float)
+        hashes, files = p["hash"].to_numpy(np.int64).view(np.uint64), p["file_id"].to_numpy(np.int64)
+        signed = p["signature"].notna().any()
+        sigs = content.signature_rows(p["signature"]) if signed else None
+        seeds = np.empty(len(p), np.int64)
+        for rows in _parts(p["root"].to_numpy()):
+            ar, h, ids, n = shape[rows], hashes[rows], files[rows], rows.stop - rows.start
+            near = lambda i: np.bitwise_count(h ^ h[i]) <= limit  # noqa: B023, E731
+            sig = sigs[rows] if signed else None
+            alike = (lambda i: content.alike_rows(sig, i)) if signed else near  # noqa: B023, E731
+            part, parts = np.full(n, -1), 0
+            for i in range(n):
+                if part[i] < 0:
+                    part[i], todo = parts, [i]
+                    while todo and (part < 0).any():
+                        j = todo.pop()
+                        new = np.flatnonzero((part < 0) & near(j) & alike(j))
+                        part[new] = parts
+                        todo += new.tolist()
+                    parts += 1
+            free, group = np.ones(n, bool), ids.copy()
+            for i in range(n):
+                if free[i] and parts < n:
+                    mine = free & (part == part[i]) & (np.abs(ar - ar[i]) <= aspect * ar[i]) & alike(i)
+                    mine[:i] = False
+                    mine[i] = True
+                    free[mine] = False
+                    group[mine] = ids[i]
+            seeds[rows] = group
+        return pd.DataFrame({"file_id": files, "seed": seeds})
 
     return run
 
 
-def near_groups(rows: DataFrame, distance: int, aspect: float = 0.02) -> DataFrame:
+def near_groups(rows: DataFrame, distance: int, aspect: float = 0.02, signature: str | None = None, skip: DataFrame | None = None) -> DataFrame:
     """Near-duplicate groups: ``seed, n, best_id, saved``.
 
-    Hashes within ``distance`` bits are linked, components are split around seeds (the
-    largest picture takes those near it, no chains), and groups of one folder and one size, which are
-    bursts, are left out. Best: most pixels, settled, largest, then the later id.
+    Pictures whose hashes are within ``distance`` bits and whose ``signature``s, where that column is
+    named, are alike (see :func:`silverfold.functions.content.alike`; none is like nothing) are linked; what is linked is
+    split around seeds (the largest picture takes those of its shape alike to it, no chains), and groups of one folder and one size, which are
+    bursts, are left out. Best: most pixels, settled, largest, then the later id. Rows whose ``file_id`` is in ``skip``, such as
+    the lesser copies of exact duplicates, take no part.
 
-    Rows of one hash and shape are one row in the clustering, so what a component holds is
-    bounded by its distinct hashes and shapes, and copies join their row afterwards.
+    Rows of one hash, shape and signature are one row in the clustering, so what a component holds is
+    bounded by its distinct hashes, shapes and signatures, and copies join their row afterwards.
     """
     r = rows.where("hash is not null and width > 0 and height > 0")
-    shapes = r.groupBy("hash", "width", "height").agg(F.min("file_id").alias("file_id"))
-    pairs = hamming_pairs(r, "hash", distance)
-    comp = labels(pairs).select(F.col("v").alias("hash"), "root")
+    r = r.withColumn("signature", F.lit(None).cast("binary")) if signature is None else r.withColumn("signature", F.col(signature)).where("signature is not null")
+    if skip is not None:
+        r = r.join(skip.select("file_id").distinct(), "file_id", "left_anti")
+    same = ["hash", "width", "height", "signature"]
+    shapes = r.groupBy(*same).agg(F.min("file_id").alias("file_id"))
+    comp = labels(hamming_pairs(r, "hash", distance)).select(F.col("v").alias("hash"), "root")
     s = shapes.join(comp, "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-    s = s.withColumns({"pixels": F.col("width") * F.col("height"), "limit": F.lit(distance)})
+    s = s.withColumn("pixels", F.col("width") * F.col("height"))
     many = s.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("root")
-    seeds = s.join(many, "root", "left_semi").groupBy("root").applyInPandas(_seeds(aspect), "file_id long, seed long")
-    group = shapes.join(seeds, "file_id", "left").select("hash", "width", "height", F.coalesce("seed", "file_id").alias("seed"))
-    m = r.join(group, ["hash", "width", "height"])
+    seeds = _by_component(s.join(many, "root", "left_semi"), Stages(rows.sparkSession, "near"), _seeds(aspect, distance), "file_id long, seed long")
+    group = shapes.join(seeds, "file_id", "left").select(*(F.col(c).alias(f"__{c}") for c in same), F.coalesce("seed", "file_id").alias("seed"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
+    m = r.join(group, on)
     best = F.struct((F.col("width") * F.col("height")).alias("p"), settled(F.col("area")).alias("s"), "size", "file_id")
-    got = m.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("b"), F.sum("size").alias("t"), F.min(F.struct("folder_id", "width", "height")).alias("lo"), F.max(F.struct("folder_id", "width", "height")).alias("hi"))
+    place = F.struct("folder_id", "width", "height")
+    got = m.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("b"), F.sum("size").alias("t"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     return got.where("n > 1 and lo <> hi").select("seed", "n", F.col("b.file_id").alias("best_id"), (F.col("t") - F.col("b.size")).alias("saved"))
 
 
-def _scene(threshold: float, span: int, ahead: int):
+#: Rows of a block in which pictures are compared with those ahead of them.
+SCENE_BLOCK = 4096
+
+
+def _hits(threshold: float, span: int, ahead: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["taken_at", "id"]).reset_index(drop=True)
+        """Pairs (i, j ahead of i) alike in a block; rows of the next block only stand ahead."""
+        p = pdf.sort_values("rank").reset_index(drop=True)
         v = np.stack(p["embedding"].to_numpy()).astype(np.float64)
-        t = p["taken_at"].to_numpy()
-        seed, weakest = np.full(len(p), -1, np.int64), {}
-        for i in range(len(p)):
-            if seed[i] >= 0:
-                continue
+        t, ids = p["taken_at"].to_numpy(), p["id"].to_numpy()
+        got = []
+        for i in np.flatnonzero(~p["copy"].to_numpy()):
             end = min(len(p), i + 1 + ahead, int(np.searchsorted(t, t[i] + span, side="right")))
-            j = np.arange(i + 1, end)
             cos = v[i + 1 : end] @ v[i]
-            take = (cos >= threshold) & (seed[i + 1 : end] < 0)
-            if take.any():
-                seed[i] = seed[j[take]] = p["id"].iat[i]
-                weakest[p["id"].iat[i]] = float(cos[take].min())
-        p = p.assign(seed=seed)[seed >= 0]
-        return p.assign(weakest=[weakest[s] for s in p["seed"]])[["id", "seed", "weakest", "size", "sharpness", "area"]]
+            j = np.flatnonzero(cos >= threshold)
+            if len(j):
+                got.append(pd.DataFrame({"a": ids[i], "b": ids[i + 1 + j], "at": p["rank"].iat[i], "to": p["rank"].to_numpy()[i + 1 + j], "cos": cos[j]}))
+        return pd.concat(got) if got else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "at": np.empty(0, np.int64), "to": np.empty(0, np.int64), "cos": np.empty(0)})
 
     return run
 
 
-def scenes(rows: DataFrame, threshold: float = 0.95, span: int = 3600, ahead: int = 200) -> DataFrame:
+def _take(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The first picture in no scene takes all it hits that are in none; no chains."""
+    p = pdf.sort_values(["at", "to"])
+    seed: dict[int, int] = {}
+    weakest: dict[int, float] = {}
+    for a, b, cos in zip(p["a"].tolist(), p["b"].tolist(), p["cos"].tolist(), strict=True):
+        # hits of a come together, and those of any two components do not meet; a is a seed if none before it took it
+        if seed.get(a, a) == a and b not in seed:
+            seed[a], seed[b] = a, a
+            weakest[a] = min(cos, weakest.get(a, 2.0))
+    return pd.DataFrame({"id": list(seed), "seed": list(seed.values()), "weakest": [weakest[s] for s in seed.values()]}).astype({"id": "int64", "seed": "int64", "weakest": "float64"})
+
+
+def scenes(rows: DataFrame, threshold: float = 0.95, span: int = 3600, ahead: int = 200, grouped: DataFrame | None = None, block: int = SCENE_BLOCK) -> DataFrame:
     """Groups of alike pictures taken near each other: ``seed, n, best_id, gain, weakest``.
 
-    Pictures are gone through by time; one in no group yet takes all later ones within
-    ``span`` seconds and ``ahead`` rows whose cosine with it is ``threshold`` or more. No
-    picture can reach over a pause longer than ``span``, so each stretch between such pauses is one task,
-    and a long stretch is as long as its pictures without an hour's rest.
+    Pictures are gone through by time and id; one in no group yet takes all later ones within
+    ``span`` seconds and ``ahead`` rows whose cosine with it is ``threshold`` or more. Pictures that are in one
+    group of ``grouped`` (``id, group_id``, the open groups of other scans) already are not put together again. Vectors of another
+    dimension than the first picture's, and rows without a time or vector, are left out.
+
+    Rows are numbered in order of time and compared in blocks of ``block`` rows with the ``ahead`` next ones, so
+    a task is as long as its block however many pictures one hour has. Who takes whom depends only on the hits a picture
+    is linked to, so each component of the hits is gone through by itself.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("day")
-    days = rows.groupBy(F.floor(F.col("taken_at") / 86400).alias("day")).agg(F.min("taken_at").alias("lo"), F.max("taken_at").alias("hi"))
-    # stretches of days without an hour's rest between them, from a row a day
-    new = F.coalesce((F.col("lo") - F.lag("hi").over(w) > span).cast("int"), F.lit(1))
-    days = days.withColumn("n", new).withColumn("stretch", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("day", "stretch")
-    r = rows.withColumn("day", F.floor(F.col("taken_at") / 86400)).join(days, "day")
-    line = Window.partitionBy("stretch").orderBy("taken_at", "id")
-    r = r.withColumn("cut", F.coalesce((F.col("taken_at") - F.lag("taken_at").over(line) > span).cast("int"), F.lit(0)))
-    r = r.withColumn("part", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    m = r.select("stretch", "part", "id", "taken_at", F.col("embedding").cast("array<double>").alias("embedding"), F.col("size").cast("long").alias("size"), F.col("sharpness").cast("double").alias("sharpness"), F.col("area").cast("int").alias("area"))
-    got = m.groupBy("stretch", "part").applyInPandas(_scene(threshold, span, ahead), "id long, seed long, weakest double, size long, sharpness double, area int")
+    spark = rows.sparkSession
+    stages = Stages(spark, "scenes")
+    r = rows.where("id is not null and taken_at is not null and embedding is not null").select("id", F.col("taken_at").cast("long").alias("taken_at"), F.col("embedding").cast("array<double>").alias("embedding"))
+    first = r.agg(F.min(F.struct("taken_at", "id", F.size("embedding").alias("dim"))).alias("f")).select(F.col("f.dim").alias("dim"))
+    r = r.join(F.broadcast(first), F.size("embedding") == F.col("dim")).drop("dim")
+    # numbered by time: ranges in order, and in each the place within it
+    line = r.repartitionByRange("taken_at", "id").sortWithinPartitions("taken_at", "id").withColumn("n", F.monotonically_increasing_id())
+    line = stages.save(line.withColumns({"part": F.shiftright("n", 33).cast("int"), "place": F.col("n").bitwiseAND((1 << 33) - 1)}).drop("n"))
+    sizes = line.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("n")
+    line = line.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("place"))
+    at = F.floor(F.col("rank") / block)
+    both = F.when((F.col("rank") % block < ahead) & (at > 0), F.array(F.struct(at.alias("block"), F.lit(False).alias("copy")), F.struct((at - 1).alias("block"), F.lit(True).alias("copy"))))
+    put = F.explode(F.coalesce(both, F.array(F.struct(at.alias("block"), F.lit(False).alias("copy"))))).alias("put")
+    blocks = line.select("id", "taken_at", "embedding", "rank", put).select("put.*", "id", "taken_at", "embedding", "rank")
+    if ahead > block:
+        raise ValueError("a block holds at least the rows ahead")
+    hits = blocks.groupBy("block").applyInPandas(_hits(threshold, span, ahead), "a long, b long, at long, to long, cos double")
+    if grouped is not None:
+        g = grouped.where("group_id is not null").select("id", "group_id").distinct()
+        hits = stages.save(hits)
+        together = hits.select("a", "b").join(g.withColumnRenamed("id", "a"), "a").join(g.withColumnRenamed("id", "b"), ["b", "group_id"]).select("a", "b").distinct()
+        hits = hits.join(together, ["a", "b"], "left_anti")
+    hits = stages.save(hits)
+    roots = labels(hits.select("a", "b")).select(F.col("v").alias("a"), "root")
+    took = _by_component(hits.join(roots, "a"), stages, _take, "id long, seed long, weakest double")
+    m = took.join(rows.select("id", F.col("size").cast("long").alias("size"), F.col("sharpness").cast("double").alias("sharpness"), F.col("area").cast("int").alias("area")), "id")
     best = F.struct(settled(F.col("area")).alias("s"), F.coalesce("sharpness", F.lit(0.0)).alias("q"), "size", "id")
-    g = got.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("b"), F.sum("size").alias("t"), F.min("weakest").alias("weakest"))
+    g = m.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("b"), F.sum("size").alias("t"), F.min("weakest").alias("weakest"))
     return g.select("seed", "n", F.col("b.id").alias("best_id"), (F.col("t") - F.col("b.size")).alias("gain"), F.round("weakest", 6).alias("weakest"))
 
 

@@ -87,21 +87,40 @@ c AS (SELECT a.hash AS a, b.hash AS b, bit_count(xor(a.hash, b.hash)) AS d FROM
 
 @query("e14_near_pairs", f"{NEAR} SELECT DISTINCT a, b, CAST(d AS INT) AS distance FROM c WHERE d <= 4")
 def near_pairs(spark, d):
-    """Pairs of different 64-bit hashes at most 4 bits apart; equal hashes are one row by then."""
+    """Pairs of different 64-bit hashes at most 4 bits apart."""
     return cull.hamming_pairs(table(spark, d, "phash_rows").where("hash is not null and width > 0 and height > 0"), "hash", 4)
 
 
+def _lesser_copies(spark, d):
+    """Copies other than the best of the exact groups that are still open."""
+    rows = _members(spark, d, "quick_hash", "culling_flag", "taken_at")
+    g = cull.exact_groups(rows, "quick_hash").where("not closed").select("size", "quick_hash", "best_id")
+    return rows.join(g, ["size", "quick_hash"]).where("id <> best_id").select(F.col("id").alias("file_id"))
+
+
+def picture_signature(hash_col):
+    """A flat picture, one of five shades by the bits of the hash, as the tables hold no pictures."""
+    shade = F.lpad(F.hex(F.floor(F.bit_count(hash_col) / 16) * 40), 2, "0")
+    return F.unhex(F.concat(F.lit("01"), F.repeat(shade, 384)))
+
+
 @query("e14_near_groups")
 def near_groups(spark, d):
-    """Near-duplicate groups: candidates by bands, components, then clusters around the largest picture."""
-    return cull.near_groups(table(spark, d, "phash_rows").distinct(), 4)
+    """Near-duplicate groups: candidates by keys of several blocks, links where the pictures are alike, clusters around the largest."""
+    rows = table(spark, d, "phash_rows").distinct().withColumn("signature", picture_signature(F.col("hash")))
+    return cull.near_groups(rows, 4, signature="signature", skip=_lesser_copies(spark, d))
 
 
 @query("e18_scenes")
 def scenes(spark, d):
-    """Scenes of alike pictures within an hour, over the embeddings in their order."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") * 20).alias("taken_at"), "embedding", F.col("label").alias("size"), F.lit(None).cast("double").alias("sharpness"), F.lit(0).alias("area"))
-    return cull.scenes(e, threshold=0.35)
+    """Scenes of alike pictures within an hour; a file's vector is that of its number among the first 500, and open exact groups stay as they are."""
+    f = files(spark, d, "folder_id", "size", "kind", "taken_at", "sharpness", "quick_hash", "culling_flag").where("trashed_at is null and kind <> 1 and taken_at is not null")
+    f = f.join(folders(spark, d, "area").select(F.col("id").alias("folder_id"), "area"), "folder_id")
+    e = table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
+    rows = f.withColumn("vec_id", F.pmod("id", F.lit(500))).join(e, "vec_id")
+    g = cull.exact_groups(f, "quick_hash").where("not closed").select("size", "quick_hash", F.col("best_id").alias("group_id"))
+    grouped = f.select("id", "size", "quick_hash").join(g, ["size", "quick_hash"]).select("id", "group_id")
+    return cull.scenes(rows, threshold=0.35, grouped=grouped)
 
 
 GROUPS = """WITH m AS (SELECT DISTINCT * FROM member_rows), n AS (SELECT group_id, count(*) AS n, sum(size) AS size_bytes, count(*) FILTER (is_best) AS bests FROM m GROUP BY group_id)"""

@@ -1,11 +1,15 @@
 """Grouping, trees, places, vectors, plans and streams on small seeds."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from silverfold.functions import content
 from silverfold.operators import cull, ledger, places, trees, vectors
+from silverfold.operators.unionfind import union_find
 from silverfold.sources import media
 from silverfold.streaming import watch
 
@@ -64,7 +68,59 @@ def test_near_groups(spark):
     assert rows(cull.near_groups(df, 4)) == [(1, 3, 8, 100)]
     assert cull.near_groups(df.limit(0), 4).count() == 0
     with pytest.raises(ValueError):
-        cull.hamming_pairs(df, "hash", 8)
+        cull.hamming_pairs(df, "hash", 9)
+
+
+def _near(a, b):
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+@pytest.mark.parametrize("distance,crowd", [(1, 500), (4, 500), (4, 40), (8, 500)])
+def test_hamming_pairs_lose_none(spark, monkeypatch, distance, crowd):
+    # random hashes, families a few bits apart, and a crowd that shares most of its bits
+    monkeypatch.setattr(cull, "KEY_HASHES", crowd)
+    rng = random.Random(distance)
+    hs = [rng.getrandbits(64) for _ in range(150)]
+    hs += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for h in hs[:60] for _ in range(2)]
+    hs += [rng.getrandbits(14) << rng.choice([0, 40]) for _ in range(200)] + [0, 2**64 - 1, 2**63]
+    signed = sorted({h - (1 << 64) if h >> 63 else h for h in hs})
+    df = spark.createDataFrame([(h,) for h in signed + signed[:20] + [None]], "hash long")
+    want = sorted((a, b, _near(a, b)) for i, a in enumerate(signed) for b in signed[i + 1 :] if _near(a, b) <= distance)
+    assert sorted(tuple(r) for r in cull.hamming_pairs(df, "hash", distance).collect()) == want
+
+
+def test_near_groups_as_by_hand(spark):
+    """Against going through all pictures: linked where hashes are near and pictures alike, split around seeds, bursts left out."""
+    rng = random.Random(8)
+    flat = lambda v: bytes([1]) + bytes([v]) * 384
+    bases = [rng.getrandbits(63) for _ in range(12)]
+    data = []
+    for i in range(160):
+        h = rng.choice(bases) ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(0, 4)))
+        w, ht = rng.choice([(100, 50), (50, 25), (60, 40), (30, 20)])
+        data.append((i, rng.randrange(3), h, rng.randrange(9), w, ht, rng.randrange(3), rng.choice([flat(10), flat(10), flat(12), flat(15), flat(90), b"x", None])))
+    df = spark.createDataFrame(data, "file_id long, folder_id long, hash long, size long, width long, height long, area int, psig binary")
+    skip = {3, 8, 20}
+    there = [r for r in data if r[7] is not None and r[0] not in skip]
+    link = lambda a, b: _near(a[2], b[2]) <= 4 and content.alike(a[7], b[7])
+    part = {r[0]: r[0] for r in there}
+    for _ in there:
+        for a in there:
+            for b in there:
+                if link(a, b):
+                    part[a[0]] = part[b[0]] = min(part[a[0]], part[b[0]])
+    want, used = [], set()
+    for a in sorted(there, key=lambda r: (-r[4] * r[5], r[0])):
+        if a[0] in used:
+            continue
+        mine = [b for b in there if b[0] not in used and part[b[0]] == part[a[0]] and (b is a or content.alike(a[7], b[7]) and abs(b[4] / b[5] - a[4] / a[5]) <= 0.02 * a[4] / a[5])]
+        mine = [b for b in mine if b is a or (-b[4] * b[5], b[0]) > (-a[4] * a[5], a[0])]
+        used |= {b[0] for b in mine}
+        if len(mine) > 1 and len({(b[1], b[4], b[5]) for b in mine}) > 1:
+            best = max(mine, key=lambda b: (b[4] * b[5], b[6] in (1, 2), b[3], b[0]))
+            want.append((len(mine), best[0], sum(b[3] for b in mine) - best[3]))
+    got = cull.near_groups(df, 4, signature="psig", skip=spark.createDataFrame([(i,) for i in skip], "file_id long"))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(want) and len(want) > 5
 
 
 def test_labels_of_long_chains(spark):
@@ -86,6 +142,36 @@ def test_scenes(spark):
     assert [r.n for r in cull.scenes(make(chain)).collect()] == [2]
 
 
+def test_scenes_as_by_hand(spark):
+    """Against going through all pictures in turn; small blocks, ties in time, other dimensions, groups of other scans."""
+    rng = random.Random(9)
+    data = []
+    for i in range(220):
+        v = unit(rng.choice([1, 0.97, 0.94, 0.5, -1])) if rng.random() > 0.05 else [1.0]
+        data.append((i, rng.choice([1000, 1000, 1500, 4000, 9000, 20000]) + rng.randrange(40) * 60, rng.randrange(1, 9), rng.choice([None, 0.5, 2.0]), v, rng.randrange(3)))
+    data.append((900, 0, 1, None, unit(1), 0))
+    df = spark.createDataFrame(data + [(901, None, 1, None, unit(1), 0), (902, 5, 1, None, None, 0)], "id long, taken_at long, size long, sharpness double, embedding array<double>, area int")
+    grouped = [(i, i // 3) for i in range(60)]
+    there = sorted((r for r in data if len(r[4]) == 3), key=lambda r: (r[1], r[0]))
+    in_group = dict(grouped)
+    seed: dict = {}
+    for i, a in enumerate(there):
+        if a[0] in seed:
+            continue
+        for b in there[i + 1 : i + 9]:
+            together = a[0] in in_group and in_group[a[0]] == in_group.get(b[0])
+            if b[1] - a[1] <= 3600 and b[0] not in seed and not together and float(np.dot(a[4], b[4])) >= 0.95:
+                seed[b[0]] = seed[a[0]] = a[0]
+    groups: dict = {}
+    for r in there:
+        if r[0] in seed:
+            groups.setdefault(seed[r[0]], []).append(r)
+    best = {s: max(g, key=lambda r: (r[5] in (1, 2), r[3] or 0.0, r[2], r[0])) for s, g in groups.items()}
+    want = sorted((s, len(g), best[s][0], sum(r[2] for r in g) - best[s][2]) for s, g in groups.items())
+    got = cull.scenes(df, ahead=8, block=16, grouped=spark.createDataFrame(grouped, "id long, group_id long"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == want and len(want) > 10
+
+
 def test_rerun_order():
     assert cull.rerun("exact") == ["exact", "near", "scene"] and cull.rerun("junk") == ["junk"] and cull.rerun("burst") == ["burst", "scene"]
 
@@ -122,11 +208,18 @@ def test_compare_goes_down_into_partial_folders(spark):
     ])
 
 
-def test_labels_are_settled_or_raise(spark):
+def test_labels_of_a_path_and_of_random_edges(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
-    assert {r.root for r in cull.labels(path).collect()} == {0}
-    with pytest.raises(RuntimeError, match="not settled"):
-        cull.labels(path, rounds=1)
+    assert {r.root for r in cull.labels(path).collect()} == {0} and cull.labels(path.limit(0)).count() == 0
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (50, 20), (300, 290), (300, 2000)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        ids, root = union_find(a, b)
+        up = {int(x): int(x) for x in ids}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                up[x] = up[y] = min(up[x], up[y])
+        assert dict(zip(ids.tolist(), root.tolist(), strict=True)) == up
 
 
 def test_candidates_of_all_desk_libraries(spark, tmp_path):
