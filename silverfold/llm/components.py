@@ -1,99 +1,18 @@
 """Pairwise matches to groups (problem 2): union-find on a two-dimensional grid.
 
-Vertices are hashed into B blocks and each edge goes to the cell (block of one end, block of
-the other), so even a vertex that a third of all edges touch is spread over B cells. Each
-cell runs union-find over its own edges. Then the representatives of a vertex meet from
-its row and column of cells; the vertex takes the smallest as its parent, and the others
-are linked to that one in the next, smaller grid. Parents are stable once no edge is left.
+The matched values become vertices, whose grid of block pairs, cells and exchanges of
+representatives is :mod:`silverfold.operators.unionfind`; here rows are brought to vertices and back.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverfold.operators.skew import HOT_SHARE, skew_join
+from silverfold.operators.unionfind import CELL_EDGES, components
 from silverfold.session import Stages
 
-#: Edges a cell of the grid holds on average; the grid grows with the edges.
-CELL_EDGES = 400_000
-
-
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each vertex of a cell with the smallest vertex of its part of the cell."""
-    ends = pdf[["u", "v"]].to_numpy()
-    ids, flat = np.unique(ends.ravel(), return_inverse=True)
-    pairs = flat.reshape(-1, 2).tolist()
-    parent = list(range(len(ids)))
-    for a, b in pairs:
-        while parent[a] != a:
-            parent[a] = a = parent[parent[a]]
-        while parent[b] != b:
-            parent[b] = b = parent[parent[b]]
-        # ids are sorted, so the smaller index is the smaller vertex
-        if a < b:
-            parent[b] = a
-        elif b < a:
-            parent[a] = b
-    p = np.array(parent)
-    while True:
-        q = p[p]
-        if (q == p).all():
-            break
-        p = q
-    return pd.DataFrame({"v": ids, "rep": ids[p]})
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int = CELL_EDGES) -> DataFrame:
-    """Every vertex of an edge with the smallest vertex linked to it: ``v, root``.
-
-    Edges with a null end are left out; either order, repeats and loops do no harm, and a
-    vertex with loops alone is its own root. No edges give no rows. Other columns are
-    ignored. Rounds are about the logarithm of the diameter over the grid's cells; each
-    round's tables are written to the shared folder, so a lost executor costs its tasks only.
-    """
-    stages = Stages(edges.sparkSession, "components")
-    u, v = F.col(a).cast("long"), F.col(b).cast("long")
-    live = edges.where(u.isNotNull() & v.isNotNull()).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
-    loops = live.where("u = v").select("v").distinct()
-    graph = stages.save(live.where("u <> v").distinct())
-    parents: list[DataFrame] = []
-    n = graph.count()
-    while n:
-        side = max(1, math.ceil(math.sqrt(n / cell_edges)))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-        cells = graph.withColumn("i", block("u")).withColumn("j", block("v"))
-        reps = stages.save(cells.groupBy("i", "j").applyInPandas(_union_find, "v long, rep long"))
-        if side == 1:
-            # one cell has seen every edge: its representatives are the roots
-            parents.append(reps.select("v", F.col("rep").alias("p")))
-            break
-        low = stages.save(reps.groupBy("v").agg(F.min("rep").alias("p")))
-        parents.append(low)
-        # the other representatives of a vertex are linked to its smallest
-        links = reps.join(low, "v").select("rep", "p")
-        fresh = stages.save(links.where("rep <> p").select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct())
-        stages.drop(graph)
-        stages.drop(reps)
-        graph, n = fresh, fresh.count()
-    if not parents:
-        return loops.select("v", F.col("v").alias("root"))
-    # a parent of one round is a vertex of the next or a root; from the last round backwards
-    root = parents[-1].select("v", F.col("p").alias("root"))
-    for low in reversed(parents[:-1]):
-        up = root.select(F.col("v").alias("p"), F.col("root").alias("r"))
-        root = stages.save(_to_root(low, up))
-    alone = loops.join(root, "v", "left_anti").select("v", F.col("v").alias("root"))
-    return root.unionByName(alone)
-
-
-def _to_root(low: DataFrame, up: DataFrame) -> DataFrame:
-    return skew_join(low, up, "p", "left").select("v", F.coalesce("r", "p").alias("root"))
-
 
 def group_rows(rows: DataFrame, pairs: DataFrame, row_id: str, value: str, left: str, right: str, cell_edges: int = CELL_EDGES) -> DataFrame:
     """Rows in groups of two or more: ``row_id, group_id``, the group's smallest row id.
