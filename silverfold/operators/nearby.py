@@ -24,8 +24,10 @@ RADIUS_KM = 6371.0088
 SAMPLE, LEAF_POINTS, MAX_DEPTH = 60_000, 20_000, 18
 HOME, COPY, CITY, REGION, PROBE = 0, 1, 2, 3, 4
 ROW = "leaf int, salt int, kind int, id long, x double, y double, lon double, pop long, code string, polys string"
-#: Rows spread to their leaves at once; a row of a leaf of s blocks becomes 2 s - 1.
-SPREAD_ROWS = 5_000
+#: Copies made of rows at once, where a row of a leaf of s blocks becomes 2 s - 1; and pairs put out together.
+SPREAD_ROWS, OUT_ROWS = 1_000_000, 200_000
+#: Relations by their number.
+RELATIONS = ["near", "in", "city"]
 
 
 def haversine_km(lat1, lon1, lat2, lon2):
@@ -106,8 +108,7 @@ def _spread(leaves: Leaves, near_km: float, city_km: float):
         parts = []
 
         def put(rows, leaf, tile, kind, x):
-            out = pdf.iloc[rows][["id", "lat", "lon", "pop", "code", "polys"]].rename(columns={"lat": "y"})
-            parts.append(out.assign(leaf=leaf.astype(np.int32), salt=tile.astype(np.int32), kind=np.int32(kind), x=x))
+            parts.append((rows, leaf, tile, np.full(len(rows), kind), x))
 
         def every(leaf):
             """Each row with each block of its leaf."""
@@ -150,14 +151,19 @@ def _spread(leaves: Leaves, near_km: float, city_km: float):
                 away = ~((leaf == home[rows[at]]) & (at < len(pdf)))
                 at, leaf = at[away], leaf[away]
                 hold(rows[at], leaf, COPY, x[at], ids[rows[at]] % leaves.salts[leaf])
-        return plain(pd.concat(parts))[["leaf", "salt", "kind", "id", "x", "y", "lon", "pop", "code", "polys"]]
+        rows, leaf, tile, kinds, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        out = pdf[["id", "lat", "lon", "pop", "code", "polys"]].take(rows).rename(columns={"lat": "y"})
+        out = out.assign(leaf=leaf.astype(np.int32), salt=tile.astype(np.int32), kind=kinds.astype(np.int32), x=x)
+        return plain(out)[["leaf", "salt", "kind", "id", "x", "y", "lon", "pop", "code", "polys"]]
+
+    step = max(100, int(SPREAD_ROWS // (2 * leaves.salts.max(initial=1))))
 
     def run(batches):
         for pdf in batches:
             for kind in (HOME, CITY, REGION):
                 part = pdf[pdf["kind"] == kind]
-                for lo in range(0, len(part), SPREAD_ROWS):
-                    yield place(part.iloc[lo : lo + SPREAD_ROWS].reset_index(drop=True), kind)
+                for lo in range(0, len(part), step):
+                    yield place(part.iloc[lo : lo + step].reset_index(drop=True), kind)
 
     return run
 
@@ -181,9 +187,31 @@ def inside(px, py, polys) -> np.ndarray:
     return out
 
 
+def _gathered(parts: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows ``rel, a_id, b_id, km`` in frames of about OUT_ROWS, from many smaller parts."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[1])
+        if n >= OUT_ROWS:
+            yield _frame(held)
+            held, n = [], 0
+    if n:
+        yield _frame(held)
+
+
+def _frame(parts: list[tuple]) -> pd.DataFrame:
+    rel = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
+    return pd.DataFrame({"rel": rel, **{c: np.concatenate([p[i] for p in parts]) for i, c in ((1, "a_id"), (2, "b_id"), (3, "km"))}})
+
+
 def _probe(near_km: float, city_km: float, near: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = plain(pd.concat(batches, ignore_index=True))
+        yield from _gathered(relations(batches))
+
+    def relations(batches):
+        held = list(batches)
+        pdf = held[0] if len(held) == 1 else plain(pd.concat(held, ignore_index=True))
         kind = pdf["kind"].to_numpy()
         ids, x, y = pdf["id"].to_numpy(), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         lon = pdf["lon"].to_numpy(float)
@@ -191,9 +219,6 @@ def _probe(near_km: float, city_km: float, near: bool):
         if not len(home):
             return
 
-        def rows(rel, a, b, km):
-            return pd.DataFrame({"rel": np.full(len(a), rel, object), "a_id": a, "b_id": b, "km": km})
-
         def hits(build, km):
             dy, dx = search_box(y[home], km)
             tree = RTree(x[build], y[build], x[build], y[build])
@@ -207,9 +232,12 @@ def _probe(near_km: float, city_km: float, near: bool):
             for p, b, d in hits(build, near_km):
                 # the pair belongs to the leaf where its reference point, the smaller id, is at home
                 ok = (d <= near_km) & (ids[p] < ids[b])
-                if ok.any():
-                    got = rows("near", ids[p[ok]], ids[b[ok]], d[ok])
-                    yield got.drop_duplicates(["a_id", "b_id"]) if twice else got
+                p, b, d = ids[p[ok]], ids[b[ok]], d[ok]
+                if twice and len(p):
+                    # seen from both sides of the antimeridian
+                    at = pd.DataFrame({"p": p, "b": b}).drop_duplicates().index.to_numpy()
+                    p, b, d = p[at], b[at], d[at]
+                yield 0, p, b, d
         codes = []
         reg = np.flatnonzero(kind == REGION)
         if len(reg):
@@ -224,8 +252,7 @@ def _probe(near_km: float, city_km: float, near: bool):
             for which, at in tree.pairs(*(np.ascontiguousarray(boxes[:, i]) for i in range(4)), block=1):
                 r, cand = reg[which[0]], home[at]
                 cand = cand[inside(x[cand], y[cand], polys[r])]
-                if len(cand):
-                    yield rows("in", ids[cand], np.full(len(cand), ids[r]), np.zeros(len(cand)))
+                yield 1, ids[cand], np.full(len(cand), ids[r]), np.zeros(len(cand))
                 if level[r] == 1:
                     codes.append(pd.DataFrame({"p": cand, "code": code[r]}))
         cities = np.flatnonzero(kind == CITY)
@@ -237,8 +264,7 @@ def _probe(near_km: float, city_km: float, near: bool):
                 c = pd.DataFrame({"p": p[ok], "code": code[b[ok]], "km": d[ok], "pop": pop[b[ok]], "id": ids[b[ok]]}).merge(lies, on=["p", "code"])
                 # all candidates of a probe are in one part
                 c = c.sort_values(["km", "pop", "id"], ascending=[True, False, True]).drop_duplicates("p")
-                if len(c):
-                    yield rows("city", ids[c["p"].to_numpy(np.int64)], c["id"].to_numpy(), c["km"].to_numpy())
+                yield 2, ids[c["p"].to_numpy(np.int64)], c["id"].to_numpy(np.int64), c["km"].to_numpy(float)
 
     return run
 
@@ -290,4 +316,5 @@ def nearby(points: DataFrame, regions: DataFrame | None = None, cities: DataFram
         r = regions.where("id is not null and bbox is not null and size(bbox) = 4 and polys is not null and size(polys) > 0")
         rows = rows.unionByName(shaped(r.select(F.col("id").cast("long").alias("id"), "code", F.col("level").cast("long").alias("pop"), F.to_json("polys").alias("polys"), "bbox").dropDuplicates(["id"]), REGION))
     spread = rows.mapInPandas(_spread(leaves, near_km or 0.0, city_km), ROW)
-    return spread.groupBy("leaf", "salt").applyInPandas(_probe(near_km or 0.0, city_km, near_km is not None), "rel string, a_id long, b_id long, km double")
+    found = spread.groupBy("leaf", "salt").applyInPandas(_probe(near_km or 0.0, city_km, near_km is not None), "rel int, a_id long, b_id long, km double")
+    return found.select(F.element_at(F.array(*map(F.lit, RELATIONS)), F.col("rel") + 1).alias("rel"), "a_id", "b_id", "km")
