@@ -4,8 +4,8 @@ The document-term matrix V is factored into W H. Each subject is one row of H, a
 the words that labelled documents of the subject hold more often than chance; rows for the
 languages take the words that name no subject. Alternating multiplicative updates over all
 documents spread the anchors to words no label names. A word's share in the subjects' rows then tells what it is
-about, and a document is about a subject that two different of its words name close together,
-while a word dropped in an aside stands alone.
+about. A document's subjects are its mixture W over entries that count as evidence: words that name a subject and have
+another word of it close by. A word dropped in an aside stands alone and has no weight.
 
 Words are hashed into a fixed number of features, so what is sent to the tasks has a bound
 that doesn't grow with the corpus; documents never leave the executors.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,11 @@ from pyspark.sql import types as T
 
 from silverfold.session import Stages
 
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = regex.compile(r"([\p{L}\p{M}]+)")
 #: Markup around texts, which names no subject: tags, character entities and JSON objects.
-_MARKUP = regex.compile(r"""<[^<>]{0,2000}>|&\w{2,8};|\{\s*"[^{}]*\}""")
+_MARKUP = regex.compile(r"""<[^<>]*>|&\w{2,8};|\{\s*"[^{}]*\}""")
+#: How a word follows the one before, by what is between them.
+_JOINS = {" ": 1, "-": 2}
 #: Other names raters use for subjects (fixed values).
 ALIASES = {"legal": "law", "sw": "software"}
 
@@ -41,8 +44,7 @@ class Settings:
     features: int = 1 << 20  #: hashed words; bounds the broadcast factors
     min_docs: int = 4  #: documents a feature must occur in to be weighed
     common: float = 0.10  #: a word in a larger part of a language's documents names no subject unless the labels say so
-    real: float = 0.02  #: part of the documents a language must have for that rule; stray values have less
-    languages: int = 8  #: languages with a background row of their own
+    real: float = 0.02  #: part of the documents a language must have for that rule and for a background row of its own; all others share one
     labelled: int = 50_000  #: labelled documents used at most as anchors
     known: int = 6  #: labelled documents from which a word's lift is tested by its deviation
     sure: float = 4.0  #: deviation from which a frequent word is a subject's, if that has half of its labelled documents
@@ -51,11 +53,14 @@ class Settings:
     spread: float = 0.06  #: initial weight of an unlabelled word in each subject
     rest: float = 0.10  #: and in the background
     doubt: float = 1.5  #: documents' worth of evidence a word must outweigh
+    settled: float = 1e-3  #: mean change of the words' shares at which the updates end earlier
     window: int = 16  #: words between two that name a subject together
+    evidence: float = 1.5  #: weight in the document's mixture from which a subject is one of its subjects; a mention weighs 1
 
 
 def normal(text: str) -> str:
-    return unicodedata.normalize("NFKC", _MARKUP.sub(" | ", text)).casefold()
+    t = _MARKUP.sub(" | ", text) if "<" in text or "&" in text or "{" in text else text
+    return t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold()
 
 
 def words_of(text: str, features: int, seen: dict):
@@ -64,31 +69,37 @@ def words_of(text: str, features: int, seen: dict):
     A join tells how a word follows the one before: 1 by a single space, 2 by a hyphen, 0
     otherwise; 4 is added for words of one or two letters.
     """
-    t = normal(text)
-    feats, stems, joins, end = [], [], [], -1
-    for m in _WORD.finditer(t):
-        w = m.group()
-        got = seen.get(w)
-        if got is None:
+    parts = _WORD.split(normal(text))  # what is between words, and the words
+    words = parts[1::2]
+    if not words:
+        return (), (), ()
+    for w in words:
+        if w not in seen:
             if len(seen) > 500_000:
                 seen.clear()
-            got = seen[w] = (zlib.crc32(w.encode("utf-8", "surrogatepass")) % features, zlib.crc32(w[:4].encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, 4 * (len(w) <= 2))
-        gap = t[end : m.start()] if end >= 0 else ""
-        feats.append(got[0])
-        stems.append(got[1])
-        joins.append(got[2] + (1 if gap == " " else 2 if gap == "-" else 0))
-        end = m.end()
+            seen[w] = (zlib.crc32(w.encode("utf-8", "surrogatepass")) % features, zlib.crc32(w[:4].encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, 4 * (len(w) <= 2))
+    try:
+        feats, stems, short = zip(*[seen[w] for w in words], strict=True)
+    except KeyError:  # forgotten between two words of this text
+        return words_of(text, features, {})
+    get = _JOINS.get
+    joins = [short[0], *(s + get(gap, 0) for s, gap in zip(short[1:], parts[2:-1:2], strict=True))]
     return feats, stems, joins
 
 
+def _lists(rows: list, value) -> pa.ListArray:
+    """A list column out of one sequence a row."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), value, offsets[-1])))
+
+
 def _tokenise(features: int):
     def run(batches):
         seen: dict = {}
         for batch in batches:
             rows = [words_of(t, features, seen) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(3))], ["doc_id", "lang", "f", "stem", "join"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_lists([r[i] for r in rows], np.int32) for i in range(3))], ["doc_id", "lang", "f", "stem", "join"])
 
     return run
 
@@ -143,17 +154,35 @@ def anchors(df: np.ndarray, by_lang: np.ndarray, n_lang: np.ndarray, nws: np.nda
     return h / np.maximum(h.sum(axis=0), 1e-9)
 
 
-def weights(doc: np.ndarray, count: np.ndarray, h: np.ndarray, inner: int):
-    """W of the documents ``doc`` (0, 1, ... in order) and each entry's parts by component."""
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    w = np.ones((len(at), h.shape[1]), np.float32)
-    row = np.cumsum(np.append(False, doc[1:] != doc[:-1]))
+#: Entries worked on together; few enough to stay in a processor's cache.
+BLOCK = 6_000
+
+
+def weights(start: np.ndarray, count: np.ndarray, h: np.ndarray, inner: int, floor: float = 1e-3):
+    """W of documents whose entries begin at ``start``, by multiplicative updates from equal weights.
+
+    ``h`` has the row of H of each entry. Also yields each entry's parts by component, which add up to its count.
+    """
+    size = np.diff(np.append(start, len(count)))
+    row = np.repeat(np.arange(len(start)), size)
+    w = np.ones((len(start), h.shape[1]), np.float32)
     parts = h
     for _ in range(inner):
         parts = h * w[row]
         parts *= (count / np.maximum(parts.sum(axis=1), 1e-30))[:, None]
-        w = np.add.reduceat(parts, at, axis=0) + np.float32(1e-3)
-    return w, parts, at
+        w = np.add.reduceat(parts, start, axis=0)
+        w += np.float32(floor)
+    return w, parts
+
+
+def _blocks(start: np.ndarray, n: int):
+    """Slices of documents, and of their entries, of about BLOCK entries each."""
+    ends = np.append(start, n)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK, side="right")) - 1)
+        yield slice(lo, hi), slice(ends[lo], ends[hi])
+        lo = hi
 
 
 class Factors:
@@ -174,29 +203,67 @@ def _flat(column: pa.Array):
     return np.asarray(column.flatten()), np.repeat(np.arange(len(column)), size), size
 
 
-def _entries(batch: pa.RecordBatch, name: str, index: np.ndarray):
-    """Sorted (document, kept feature) entries of a batch with their counts."""
-    f, doc, _ = _flat(batch.column(name))
-    i = index[f]
-    there = i >= 0
-    n = int(index.max()) + 1
-    key, count = np.unique(doc[there].astype(np.int64) * n + i[there], return_counts=True)
-    return key // n, (key % n).astype(np.int64), count.astype(np.float32)
+def _count(sent):
+    """Documents to entries: the kept features of each with their counts, in order."""
+
+    def run(batches):
+        index = None
+        for batch in batches:
+            if index is None:
+                index = sent.value.index()
+                n = max(int(index.max()) + 1, 1)
+            f, doc, _ = _flat(batch.column("f"))
+            i = index[f]
+            there = i >= 0
+            key, count = np.unique(doc[there].astype(np.int64) * n + i[there], return_counts=True)
+            has, size = np.unique(key // n, return_counts=True)
+            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            word, count = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((key % n).astype(np.int32), count.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(has)), word, count], ["doc_id", "w", "n"])
+
+    return run
+
+
+def _entries(batch: pa.RecordBatch):
+    """First entry of each document of a batch, and the entries' features and counts."""
+    word, _, size = _flat(batch.column("w"))
+    return (np.cumsum(size) - size).astype(np.int64), word, np.asarray(batch.column("n").flatten())
+
+
+class _Sums:
+    """Sums by feature of what entries give to the components; touched features alone are added to."""
+
+    def __init__(self, shape):
+        self.total, self.held, self.n = np.zeros(shape), [], 0
+
+    def add(self, word, parts):
+        self.held.append((word, parts))
+        self.n += len(word)
+        if self.n >= 500_000:
+            self.settle()
+
+    def settle(self):
+        if self.n:
+            word, parts = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+            at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            self.total[word[at]] += np.add.reduceat(parts[order], at, axis=0, dtype=np.float64)
+            self.held, self.n = [], 0
 
 
 def _update(sent, inner: int):
     def run(batches):
         fac: Factors = sent.value
-        index, total = fac.index(), np.zeros(fac.h.shape, np.float64)
+        sums = _Sums(fac.h.shape)
         for batch in batches:
-            doc, word, count = _entries(batch, "f", index)
-            if len(doc):
-                _, parts, _ = weights(doc, count, fac.h[word], inner)
-                for k in range(parts.shape[1]):
-                    total[:, k] += np.bincount(word, parts[:, k], minlength=len(total))
-        some = np.flatnonzero(total.sum(axis=1) > 0)
+            start, word, count = _entries(batch)
+            for docs, at in _blocks(start, len(word)):
+                sums.add(word[at], weights(start[docs] - at.start, count[at], fac.h[word[at]], inner)[1])
+        sums.settle()
+        some = np.flatnonzero(sums.total.sum(axis=1) > 0)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, k]) for k in range(total.shape[1]))], ["w", *(f"k{k}" for k in range(total.shape[1]))])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(sums.total[some, k]) for k in range(sums.total.shape[1]))], ["w", *(f"k{k}" for k in range(sums.total.shape[1]))])
 
     return run
 
@@ -206,23 +273,28 @@ class Model:
     subjects: list[str]
     factors: Factors
     share: np.ndarray  #: of each kept feature, the part each subject has in it
+    entries: DataFrame | None = None  #: documents as kept features and counts
 
 
-def fit(words: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], s: Settings) -> Model:
+def fit(words: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], s: Settings, stages: Stages) -> Model:
     """Anchors from the labels, then updates over all documents."""
     spark = words.sparkSession
     k = len(subjects)
+    # languages with a share of the documents, at most 1 / real of them, have a background row each; the others one together
+    by_lang = [(r.lang, r["count"]) for r in words.where(F.size("f") > 0).groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(int(1 / s.real) + 1).collect()]
+    whole = words.where(F.size("f") > 0).count() if by_lang else 0
+    langs = [g for g, n in by_lang if n >= s.real * whole]
+    n_lang = np.array([n for g, n in by_lang if n >= s.real * whole] + [0.0])
+    n_lang[-1] = whole - n_lang.sum()
     # documents by feature and language: over all documents; the result is bounded by the features
     seen = words.select("lang", F.explode(F.array_distinct("f")).alias("f"))
-    langs = [r.lang for r in words.where("lang is not null and size(f) > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()] or [""]
     in_lang = [F.count(F.when(F.col("lang") == g, 1)).alias(f"l{i}") for i, g in enumerate(langs)]
     df = seen.groupBy("f").agg(F.count(F.lit(1)).alias("n"), *in_lang).where(F.col("n") >= s.min_docs).orderBy("f").toPandas()
-    n_lang = np.array([words.where((F.col("lang") == g) & (F.size("f") > 0)).count() for g in langs], float)
     kept = df["f"].to_numpy()
     spelled = [r[0] for r in labels.where("subject is not null").select("subject").distinct().collect()]
     meant = [(x, i) for x in spelled if (i := match_label(x, subjects)) is not None]
     if not meant or not len(kept):
-        return Model([x for x, _ in subjects], Factors(s.features, kept, np.zeros((len(kept), k + len(langs)))), np.zeros((len(kept), k)))
+        return Model([x for x, _ in subjects], Factors(s.features, kept, np.zeros((len(kept), k + len(n_lang)))), np.zeros((len(kept), k)))
     names = F.broadcast(spark.createDataFrame(meant, "subject string, s int"))
     per_doc = labels.where("doc_id is not null").join(names, "subject").groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     few = per_doc.orderBy(F.xxhash64("doc_id")).limit(s.labelled)  # bounded, so it may be broadcast
@@ -231,21 +303,26 @@ def fit(words: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], s:
     hits = marked.select("s", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.array_contains("s", i), 1)).alias(f"s{i}") for i in range(k))).toPandas()
     hits = hits.set_index("f").reindex(kept).fillna(0)
     cols = [f"s{i}" for i in range(k)]
-    h = anchors(df["n"].to_numpy(float), df[[f"l{i}" for i in range(len(langs))]].to_numpy(float), n_lang, hits[cols].to_numpy(float), hits["n"].to_numpy(float), np.array([heads[c] for c in cols], float), heads["n"], s)
-    # few tasks, each with one table of sums, however many files the words are in
-    tasks = words.coalesce(4 * spark.sparkContext.defaultParallelism).select("f")
+    in_langs = df[[f"l{i}" for i in range(len(langs))]].to_numpy(float)
+    in_langs = np.concatenate([in_langs, df["n"].to_numpy(float)[:, None] - in_langs.sum(axis=1, keepdims=True)], axis=1)
+    h = anchors(df["n"].to_numpy(float), in_langs, n_lang, hits[cols].to_numpy(float), hits["n"].to_numpy(float), np.array([heads[c] for c in cols], float), heads["n"], s)
+    share = lambda x: x[:, :k] / (x.sum(axis=1, keepdims=True) + s.doubt)
+    index = spark.sparkContext.broadcast(Factors(s.features, kept, np.zeros((len(kept), 0))))
+    entries = stages.save(words.select("doc_id", "f").mapInArrow(_count(index), "doc_id long, w array<int>, n array<float>"))
     wide = T.StructType([T.StructField("w", T.IntegerType()), *(T.StructField(f"k{i}", T.DoubleType()) for i in range(h.shape[1]))])
     ks = [f"k{i}" for i in range(h.shape[1])]
-    total = h
+    total = np.zeros(h.shape)
     for _ in range(s.rounds):
         sent = spark.sparkContext.broadcast(Factors(s.features, kept, h))
-        sums = tasks.mapInArrow(_update(sent, s.inner), wide).groupBy("w").agg(*(F.sum(c).alias(c) for c in ks)).toPandas().sort_values("w")
-        total = np.zeros(h.shape)
+        # tables of sums are added up in few tasks, which have the features as their bound, before they are met
+        sums = entries.select("w", "n").mapInArrow(_update(sent, s.inner), wide).groupBy("w").agg(*(F.sum(c).alias(c) for c in ks)).toPandas().sort_values("w")
+        old, total = share(total), np.zeros(h.shape)
         total[sums["w"].to_numpy()] = sums[ks].to_numpy()
         h = total / np.maximum(total.sum(axis=0), 1e-9)
         sent.unpersist()
-    share = total[:, :k] / (total.sum(axis=1, keepdims=True) + s.doubt)
-    return Model([x for x, _ in subjects], Factors(s.features, kept, h), share)
+        if np.abs(share(total) - old).sum(axis=1).mean() < s.settled:
+            break
+    return Model([x for x, _ in subjects], Factors(s.features, kept, h), share(total), entries)
 
 
 def named(share: np.ndarray) -> np.ndarray:
@@ -255,53 +332,53 @@ def named(share: np.ndarray) -> np.ndarray:
     return np.where(clear, bits, 0).astype(np.int64)
 
 
-def _subjects(mentions: list[list[int]], window: int) -> list[int]:
-    """Subjects of a document from its mentions ``[bits, first word, last word, stem]``.
+def _evidence(mentions: list[list[int]], window: int) -> list[tuple[list[int], int]]:
+    """Mentions ``[bits, first word, last word, stem, feature]`` with the subjects they are evidence of.
 
-    The subject with most mentions is taken first, and with it all mentions that may be its
-    own; the others need two of what is left.
+    A mention is evidence of a subject if one of the next or last mentions of it stands within ``window`` words and is another word.
     """
-    got, left = [], mentions
-    while len(left) > 1:
-        best, most = -1, 0.0
-        every = 0
-        for m in left:
-            every |= m[0]
-        k = 0
-        while every >> k:
-            if every >> k & 1:
-                mine = [m for m in left if m[0] >> k & 1]
-                if any(b[1] - a[2] <= window and a[3] != b[3] for i, a in enumerate(mine) for b in mine[i + 1 : i + 4]):
-                    score = sum(1 / m[0].bit_count() for m in mine)
-                    if score > most:
-                        best, most = k, score
-            k += 1
-        if best < 0:
-            break
-        got.append(best)
-        left = [m for m in left if not m[0] >> best & 1]
-    return got
-
-
-def _assign(sent, window: int):
+    close = [0] * len(mentions)
+    every = 0
+    for m in mentions:
+        every |= m[0]
+    while every:
+        bit = every & -every
+        every ^= bit
+        mine = [i for i, m in enumerate(mentions) if m[0] & bit]
+        for x, i in enumerate(mine):
+            a = mentions[i]
+            for j in mine[x + 1 : x + 4]:
+                b = mentions[j]
+                if b[1] - a[2] <= window and a[3] != b[3]:
+                    close[i] |= bit
+                    close[j] |= bit
+    # a word said again counts with its close neighbours
+    return [(m, c) for m, c in zip(mentions, close, strict=True) if c]
+
+
+def _assign(sent, window: int, inner: int, least: float):
     def run(batches):
-        index_bits = None
+        tables = None
         for batch in batches:
-            if index_bits is None:
-                features, kept, bits = sent.value
-                index_bits = np.zeros(features, np.int64)
-                index_bits[kept] = bits
+            if tables is None:
+                features, kept, bits, share = sent.value
+                index = np.full(features, -1, np.int32)
+                index[kept] = np.arange(len(kept))
+                of = np.append(bits, 0)  # -1 is no feature
+                tables = True
+                subjects = 1 << np.arange(share.shape[1])
             f, doc, size = _flat(batch.column("f"))
             stem, join = np.asarray(batch.column("stem").flatten()), np.asarray(batch.column("join").flatten())
-            b = index_bits[f]
+            i = index[f]
+            b = of[i]
             hit = np.flatnonzero(b)
             first = np.append(0, np.cumsum(size))[:-1]
-            rows, subjects, at = [], [], 0
-            where, bit, stems = doc[hit].tolist(), b[hit].tolist(), stem[hit].tolist()
+            where, bit, stems, words = doc[hit].tolist(), b[hit].tolist(), stem[hit].tolist(), i[hit].tolist()
             pos = (hit - first[doc[hit]]).tolist()
             # joined to the word before; or to the one before that, over a word of one or two letters
             near = ((join[hit] & 3) > 0).tolist()
             over = (((join[hit] & 3) == 1) & (hit > 0) & ((join[hit - 1] & 5) == 5)).tolist()
+            of_doc, starts, word, mask, at = [], [], [], [], 0
             while at < len(where):
                 d, mentions = where[at], []
                 while at < len(where) and where[at] == d:
@@ -311,12 +388,21 @@ def _assign(sent, window: int):
                         last[0] &= bit[at]
                         last[2] = pos[at]
                     else:
-                        mentions.append([bit[at], pos[at], pos[at], stems[at]])
+                        mentions.append([bit[at], pos[at], pos[at], stems[at], words[at]])
                     at += 1
-                for s in _subjects(mentions, window):
-                    rows.append(d)
-                    subjects.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(subjects, pa.int32())], ["doc_id", "s"])
+                got = _evidence(mentions, window) if len(mentions) > 1 else ()
+                if got:
+                    of_doc.append(d)
+                    starts.append(len(word))
+                    word += [m[4] for m, _ in got]
+                    mask += [c for _, c in got]
+            if not word:
+                continue
+            # the documents' mixtures over what is evidence
+            h = np.where(np.array(mask, np.int64)[:, None] & subjects, share[word], 0.0).astype(np.float32)
+            w, _ = weights(np.array(starts, np.int64), np.ones(len(word), np.float32), h, inner, 1e-6)
+            r, s = np.nonzero(w >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.array(of_doc, np.int64)[r])), pa.array(s.astype(np.int32)), pa.array(w[r, s].astype(np.float64))], ["doc_id", "s", "weight"])
 
     return run
 
@@ -324,14 +410,13 @@ def _assign(sent, window: int):
 def _mixtures(sent, k: int, inner: int):
     def run(batches):
         fac: Factors = sent.value
-        index = fac.index()
         for batch in batches:
-            doc, word, count = _entries(batch, "f", index)
-            if len(doc):
-                w, _, at = weights(doc, count, fac.h[word], inner)
+            start, word, count = _entries(batch)
+            if len(word):
+                w, _ = weights(start, count, fac.h[word], inner)
                 part = w[:, :k] / w.sum(axis=1, keepdims=True)
                 r, s = np.nonzero(part >= 0.01)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[at][r])), pa.array(s.astype(np.int32)), pa.array(part[r, s].astype(np.float64))], ["doc_id", "s", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), pa.array(s.astype(np.int32)), pa.array(part[r, s].astype(np.float64))], ["doc_id", "s", "weight"])
 
     return run
 
@@ -348,7 +433,9 @@ def _prepare(docs, labels, subjects, doc_id, text, lang, s):
     if len(listed) > 60:
         raise ValueError("more than 60 subjects")
     words = _words(docs, doc_id, text, lang, s, stages)
-    return words, fit(words, labels, listed, s)
+    model = fit(words, labels, listed, s, stages)
+    stages.keep(words, model.entries)
+    return words, model
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", settings: Settings = Settings()) -> DataFrame:
@@ -364,8 +451,8 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc
     """
     words, model = _prepare(docs, labels, subjects, doc_id, text, lang, settings)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((settings.features, model.factors.kept, named(model.share)))
-    found = words.select("doc_id", "f", "stem", "join").mapInArrow(_assign(sent, settings.window), "doc_id long, s int")
+    sent = spark.sparkContext.broadcast((settings.features, model.factors.kept, named(model.share), model.share))
+    found = words.select("doc_id", "f", "stem", "join").mapInArrow(_assign(sent, settings.window, 2 * settings.inner, settings.evidence), "doc_id long, s int, weight double")
     return found.join(_names(spark, model), "s").select("doc_id", "subject").distinct()
 
 
@@ -380,7 +467,7 @@ def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: DataFrame, do
     if not model.factors.h.any():
         return spark.createDataFrame([], "doc_id long, subject string, weight double")
     sent = spark.sparkContext.broadcast(model.factors)
-    found = words.select("doc_id", "f").mapInArrow(_mixtures(sent, len(model.subjects), settings.inner), "doc_id long, s int, weight double")
+    found = model.entries.mapInArrow(_mixtures(sent, len(model.subjects), settings.inner), "doc_id long, s int, weight double")
     return found.join(_names(spark, model), "s").groupBy("doc_id", "subject").agg(F.max("weight").alias("weight"))
 
 

@@ -254,3 +254,36 @@ def test_subjects_of_empty_tables(spark):
 @pytest.mark.parametrize(("label", "want"), [("Food", 0), ("food & drink", 0), ("sports", 1), ("LAW", 2), ("legal", 2), ("courts", 2), ("", None), (None, None), ("zzz", None)])
 def test_labels_are_matched(label, want):
     assert S.match_label(label, SUBJECTS) == want
+
+
+def test_words_and_joins():
+    seen: dict = {}
+    f, stems, joins = S.words_of("Share  price, interest-rate of the <b>Bond</b> &amp; {\"k\": 1} ÑANDÚ", 1 << 20, seen)
+    assert len(f) == len(stems) == len(joins) == 8 and joins == [0, 0, 0, 2, 5, 1, 0, 0]
+    assert f[7] == S.words_of("ñandú", 1 << 20, {})[0][0]
+    assert S.words_of("12 ...", 8, seen) == ((), (), ()) and S.words_of("<" + "x" * 9000 + "> word", 8, {})[0] == S.words_of("word", 8, {})[0]
+    assert S.words_of("<" * 20000, 8, {}) == ((), (), ())
+
+
+def test_an_aside_is_no_evidence():
+    # bits, first and last word, stem, feature: two words of subject 0 close by, a third far off, one of subject 1 alone, one word twice
+    law, far, food = [1, 0, 0, 7, 0], [1, 90, 90, 8, 2], [2, 4, 4, 9, 3]
+    court = [1, 3, 3, 5, 1]
+    assert [(m[4], c) for m, c in S._evidence([law, court, food, far], 16)] == [(0, 1), (1, 1)]
+    assert S._evidence([law, [1, 5, 5, 7, 0]], 16) == [] and S._evidence([law, far], 16) == []
+    # a word of either subject goes with the one the document speaks of
+    h = np.array([[0.9, 0.0], [0.8, 0.0], [0.5, 0.5]], np.float32)
+    w, parts = S.weights(np.array([0]), np.ones(3, np.float32), h, 30, 1e-6)
+    assert w[0, 0] > 2.9 and w[0, 1] < 0.1 and np.allclose(parts.sum(axis=1), 1, atol=1e-4)
+
+
+def test_languages_share_one_row_when_rare(spark):
+    docs = [(i, "court, judge, trial" if i % 2 else "goal, match, team", f"l{i % 300}" if i < 300 else "en") for i in range(1200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, "law" if i % 2 else "sport") for i in range(0, 400)], "doc_id long, subject string")
+    subjects = spark.createDataFrame([("law", ""), ("sport", "")], "subject string, scope string")
+    listed = [("law", ""), ("sport", "")]
+    stages = S.Stages(spark, "t")
+    model = S.fit(S._words(d, "doc_id", "text", "lang", S.Settings(), stages), labels, listed, S.Settings(), stages)
+    assert model.factors.h.shape[1] == 2 + 2  # subjects, English, and all 300 other languages together
+    assert rows(S.assign_subjects(d, labels, subjects)) == [(i, "law" if i % 2 else "sport") for i in range(1200)]
