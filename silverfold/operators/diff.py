@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silverfold.session import plain
+from silverfold.session import Stages
 
 #: Rows over whose keys the rolling hash runs, and rows per chunk on average.
 WINDOW, CHUNK_ROWS = 4, 16
@@ -53,11 +54,8 @@ def _chunks(key: np.ndarray, fp: np.ndarray, chunk_rows: int):
     return at, size, list(zip(key[at].tolist(), size.tolist(), sums.tolist(), xors.tolist(), strict=True))
 
 
-def _unmatched(block: pd.DataFrame, chunk_rows: int) -> pd.DataFrame:
-    """Rows of the chunks whose fingerprint the other side doesn't have."""
-    key = block["__k"].to_numpy().view(np.uint64)
-    fp = block["__f"].to_numpy().view(np.uint64)
-    side = block["__side"].to_numpy()
+def _unmatched(key: np.ndarray, fp: np.ndarray, side: np.ndarray, chunk_rows: int) -> np.ndarray:
+    """Keys of the chunks whose fingerprint the other side doesn't have."""
     rows = [np.flatnonzero(side == s) for s in (0, 1)]
     with np.errstate(over="ignore"):
         cut = [_chunks(key[r], fp[r], chunk_rows) if len(r) else (None, None, []) for r in rows]
@@ -65,36 +63,47 @@ def _unmatched(block: pd.DataFrame, chunk_rows: int) -> pd.DataFrame:
     for mine, other in ((0, 1), (1, 0)):
         have = set(cut[other][2])
         if len(rows[mine]):
-            keep.append(rows[mine][np.repeat([c not in have for c in cut[mine][2]], cut[mine][1])])
-    return block.iloc[np.sort(np.concatenate(keep))] if keep else block.iloc[:0]
+            keep.append(key[rows[mine][np.repeat([c not in have for c in cut[mine][2]], cut[mine][1])]])
+    return np.concatenate(keep) if keep else key[:0]
+
+
+def _once(key: np.ndarray, fp: np.ndarray, side: np.ndarray):
+    """Drops repeated rows: same key, side and fingerprint, next to each other."""
+    again = np.append(False, (key[1:] == key[:-1]) & (side[1:] == side[:-1]) & (fp[1:] == fp[:-1]))
+    return key[~again], fp[~again], side[~again]
 
 
 def _chunk_filter(chunk_rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+    def out(parts) -> pa.RecordBatch:
+        keys = _unmatched(*_once(*(np.concatenate(c) for c in zip(*parts, strict=True))), chunk_rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["__k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for batch in batches:
-            block = plain(batch) if held is None else pd.concat([held, plain(batch)], ignore_index=True)
-            if not len(block):
+            if not batch.num_rows:
                 continue
-            # the last key may go on in the next batch; a block always ends between keys,
-            # at the same key for both sides
-            last = block["__k"].to_numpy()
-            same = last != last[-1]
-            end = int(np.flatnonzero(same)[-1]) + 1 if same.any() else 0
-            held = block.iloc[end:]
-            if end:
-                yield _unmatched(_once(block.iloc[:end]), chunk_rows)
-        if held is not None and len(held):
-            yield _unmatched(_once(held), chunk_rows)
+            k, f, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            k, f = k.view(np.uint64), f.view(np.uint64)
+            # the last key may go on in the next batch; a block always ends between keys, at the same key for both
+            # sides. A key that goes on through whole batches is held in parts, each without its repeats
+            other = np.flatnonzero(k != k[-1])
+            end = int(other[-1]) + 1 if len(other) else (0 if not held or held[-1][0][-1] == k[-1] else -1)
+            if end == -1:
+                yield out(held)
+                held, end = [], 0
+            elif end:
+                yield out([*held, (k[:end], f[:end], s[:end])])
+                held = []
+            held.append(_once(k[end:], f[end:], s[end:]))
+        if held:
+            yield out(held)
 
     return run
 
 
-def _once(block: pd.DataFrame) -> pd.DataFrame:
-    """Drops repeated rows: same key, side and fingerprint, next to each other."""
-    k, s, f = (block[c].to_numpy() for c in ("__k", "__side", "__f"))
-    again = np.append(False, (k[1:] == k[:-1]) & (s[1:] == s[:-1]) & (f[1:] == f[:-1]))
-    return block[~again].reset_index(drop=True)
+#: Bits of the filter that tells the keys of unmatched chunks; at most 2^18 words of it are broadcast.
+FILTER_BITS = 24
 
 
 def diff_copies(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -103,12 +112,13 @@ def diff_copies(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str],
     field is ``only_a`` or ``only_b`` for a key on one side only, else the name of each
     of ``fields`` whose values differ, null being equal to null only.
 
-    Both copies are put into key order by one range exchange (a hot leading key is
+    First only keys and a hash of each row move: both copies are put into key order by one range exchange (a hot leading key is
     spread like any other, as all keys take part in the range). There each side is cut into
     chunks where the hash rolling over its keys says so, and chunks whose fingerprint
     (first key, rows, sum and xor of row hashes) the other side has as well are dropped:
-    the anti-join needs no exchange, since both sides have the same key ranges. Only rows
-    of the other chunks are matched by key and compared field by field.
+    the anti-join needs no exchange, since both sides have the same key ranges. The keys of the
+    other chunks become a filter of fixed size, by which the rows to compare are read from both copies; its
+    few false hits are rows that do not differ. Only those rows move, to be matched by key and compared field by field.
 
     Null keys match null keys. Repeated rows count once. Where one side has several
     different rows of one key, the smallest of each field stands for them, null last. Empty copies
@@ -122,11 +132,18 @@ def diff_copies(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str],
 
     rows = one(a, 0).unionByName(one(b, 1))
     nulls = [F.col(c).isNull() for c in (*ks, *fs)]
-    rows = rows.withColumn("__k", F.xxhash64(*ks, *nulls[: len(ks)])).withColumn("__f", F.xxhash64(*ks, *fs, *nulls))
-    ordered = rows.repartitionByRange(*ks).sortWithinPartitions(*ks, "__side", "__f")
-    odd = ordered.mapInPandas(_chunk_filter(chunk_rows), ordered.schema)
+    rows = rows.withColumn("__k", F.xxhash64(*ks, *nulls[: len(ks)]))
+    stages = Stages(a.sparkSession, "diff")
+    # written once, so that the ranges are sampled from this and not from the copies
+    slim = stages.save(rows.select("__k", F.xxhash64(*ks, *fs, *nulls).alias("__f"), "__side", *ks))
+    ordered = slim.repartitionByRange(*ks).sortWithinPartitions(*ks, "__side", "__f").select("__k", "__f", "__side")
+    odd = ordered.mapInArrow(_chunk_filter(chunk_rows), "__k long")
+    at = F.col("__k").bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.expr("shiftleft(1L, cast(__k & 63 as int))")
+    words = odd.groupBy(F.shiftright(at, 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    met = rows.withColumn("__w", F.shiftright(at, 6)).join(F.broadcast(words), "__w").where(F.col("__bits").bitwiseAND(bit) != 0)
     on = [F.col("__side") == s for s in (0, 1)]
-    met = odd.groupBy(*ks).agg(
+    met = met.groupBy(*ks).agg(
         *(F.max(x).alias(f"__on{s}") for s, x in enumerate(on)),
         *(F.min(F.when(on[s], F.struct(F.col(f).isNull().alias("n"), F.col(f).alias("v")))).alias(f"{f}_{s}") for f in fs for s in (0, 1)),
     )

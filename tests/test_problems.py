@@ -234,3 +234,16 @@ def test_hot_spot_is_tiled_and_streamed(spark):
     tile = pd.DataFrame({"kind": HOME, "id": np.arange(n), "x": 1.0, "y": 1.0, "lon": 1.0, "pop": 0, "code": None, "polys": None})
     sizes = [len(part) for part, _ in zip(_probe(0.1, 20.0, True)(iter([tile])), range(20), strict=False)]
     assert len(sizes) == 20 and max(sizes) <= MOST_PAIRS * 1.1
+
+
+def test_diff_of_a_key_over_many_batches(spark):
+    # one key with many different rows, repeats included, beside others; small batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        a = [(1, i % 23) for i in range(200)] + [(k, k) for k in range(2, 40)]
+        b = [(1, i % 23) for i in range(60)] + [(k, k if k % 9 else -k) for k in range(2, 38)] + [(50, 1)] * 30
+        da, db = (spark.createDataFrame(x, "k long, v long") for x in (a, b))
+        got = sorted(tuple(r) for r in diff_copies(da, db, ["k"], ["v"]).collect())
+        assert got == [(9, "v"), (18, "v"), (27, "v"), (36, "v"), (38, "only_a"), (39, "only_a"), (50, "only_b")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
