@@ -132,6 +132,21 @@ def histogram(rgb: np.ndarray) -> dict:
     return {"counts": counts, "peak": int(counts[:, 1:255].max(initial=1)), "shadows": float((bright <= 2).all(axis=1).sum() / n), "lights": float((bright >= 253).all(axis=1).sum() / n)}
 
 
+@F.pandas_udf(T.StructType([T.StructField("peak", T.LongType()), T.StructField("shadows", T.DoubleType()), T.StructField("lights", T.DoubleType()), T.StructField("counts", T.ArrayType(T.ArrayType(T.LongType())))]))
+def histogram_of(rgb: pd.Series) -> pd.DataFrame:
+    """:func:`histogram` of a column of pictures, three bytes a pixel; null for another length."""
+    rows = [histogram(np.frombuffer(b, np.uint8).reshape(-1, 3)) if b is not None and len(b) and len(b) % 3 == 0 else None for b in rgb]
+    col = lambda k: [r[k] if r else None for r in rows]
+    return pd.DataFrame({"peak": pd.array(col("peak"), "Int64"), "shadows": col("shadows"), "lights": col("lights"), "counts": [r["counts"].tolist() if r else None for r in rows]})
+
+
+@F.pandas_udf(T.BinaryType())
+def signature_of(gray: pd.Series, rgb: pd.Series) -> pd.Series:
+    """:func:`signature` of 32 x 32 gray and 8 x 8 colour bytes; null for other lengths."""
+    ok = lambda g, c: g is not None and c is not None and len(g) == 1024 and len(c) == 192
+    return pd.Series([signature(np.frombuffer(g, np.uint8).reshape(32, 32), np.frombuffer(c, np.uint8).reshape(8, 8, 3)) if ok(g, c) else None for g, c in zip(gray, rgb, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def quick_hash_of(content: pd.Series) -> pd.Series:
     return content.map(quick_hash, na_action="ignore")

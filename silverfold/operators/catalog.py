@@ -237,6 +237,32 @@ def page(c: Catalog, f: Filter, limit: int, cursor: tuple | None = None, group:
     return out.withColumn("sort_key", k).withColumn("header", group_value(group)).orderBy(*order).limit(min(max(limit, 1), 500) + 1)
 
 
+def page_rows(c: Catalog, f: Filter, limit: int, cursor: tuple | None = None) -> DataFrame:
+    """A page with each row's folder (name, path, area) and whether a thumbnail is there; files without a folder are not listed.
+
+    Folders and thumbnails are joined to the page's rows alone, at most 501 of them.
+    """
+    listed = Catalog(c.files.join(c.folders.select(F.col("id").alias("folder_id")).distinct(), "folder_id", "left_semi"), c.folders, c.thumbs, c.file_tags, c.nas_state, c.faces)
+    rows = F.broadcast(page(listed, f, limit, cursor))
+    fo = c.folders.select(F.col("id").alias("folder_id"), F.col("name").alias("folder"), "rel_path", "area")
+    shown = c.thumbs.where("state = 1").select(F.col("file_id").alias("id"), F.lit(True).alias("__t"))
+    with_thumb = shown.join(rows.select("id"), "id", "left_semi").distinct()
+    order = [F.desc("sort_key"), F.desc("id")] if f.descending else ["sort_key", "id"]
+    return rows.join(fo, "folder_id").join(with_thumb, "id", "left").withColumn("has_thumb", F.coalesce("__t", F.lit(False))).drop("__t").orderBy(*order)
+
+
+def library_stats(c: Catalog, libraries: DataFrame) -> DataFrame:
+    """Live files and bytes of each library, empty ones too, and how many have a thumbnail: ``library_id, files, bytes, thumbs_done, thumbs_pending``."""
+    done = c.thumbs.where("state = 1").select(F.col("file_id").alias("id"), F.lit(1).alias("__t")).distinct()
+    live = c.files.where("trashed_at is null").select("id", "folder_id", "size").join(done, "id", "left")
+    # a row a folder before the folders are joined, so a hot folder is one row
+    per = live.groupBy("folder_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count("__t").alias("thumbs_done"))
+    lib = per.join(c.folders.select(F.col("id").alias("folder_id"), "library_id"), "folder_id").groupBy("library_id").agg(*(F.sum(x).alias(x) for x in ("files", "bytes", "thumbs_done")))
+    got = libraries.select(F.col("id").alias("library_id")).distinct().join(lib, "library_id", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    return got.select("library_id", *(zero(x).alias(x) for x in ("files", "bytes", "thumbs_done")), (zero("files") - zero("thumbs_done")).alias("thumbs_pending"))
+
+
 def next_cursor(rows: list, limit: int) -> tuple | None:
     """The cursor of the next page, from collected rows of ``page``; None on the last one."""
     return (rows[limit - 1]["sort_key"], rows[limit - 1]["id"]) if len(rows) > limit else None

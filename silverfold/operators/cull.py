@@ -389,3 +389,74 @@ def apply_groups(m: DataFrame, skip_settled: bool) -> DataFrame:
 def set_best(m: DataFrame, chosen: DataFrame) -> DataFrame:
     """``is_best`` of the members after a choice ``group_id, file_id``; a choice outside its group is ignored."""
     return m.join(chosen.select("group_id", "file_id", F.lit(True).alias("b")).distinct(), ["group_id", "file_id"], "left").select("group_id", "file_id", F.coalesce("b", F.lit(False)).alias("is_best"))
+
+
+def list_groups(m: DataFrame, kind: int, done: bool, library_id: int | None, settled_only: bool, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the groups of a kind: ``group_id, n, size_bytes, cover``, by bytes, largest first.
+
+    Members have ``group_id, file_id, size, area, is_best, library_id, name, kind, state`` (0 open, 1 done). With
+    ``settled_only`` only groups that would drop a settled file; with a library only those of which it would lose
+    one (of kind 1, junk, any). ``limit`` is brought into 1 to 200. One pass of aggregates over the members.
+    """
+    best = F.coalesce("is_best", F.lit(False))
+    g = m.where((F.col("kind") == kind) & (F.col("state") == int(done))).groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size_bytes"), F.min(F.struct((~best).alias("a"), "file_id", "name")).alias("f"),
+        F.bool_or(~best & settled(F.col("area"))).alias("settled"), F.bool_or(F.coalesce(F.col("library_id") == library_id, F.lit(False)) & ((F.col("kind") == 1) | ~best)).alias("here"),
+    )
+    if settled_only:
+        g = g.where("settled")
+    if library_id is not None:
+        g = g.where("here")
+    return g.orderBy(F.desc("size_bytes"), "group_id").offset(offset).limit(min(max(limit, 1), 200)).select("group_id", "n", "size_bytes", F.col("f.name").alias("cover"))
+
+
+def _to_apply(m: DataFrame, kind: int, folder_id: int | None, library_id: int | None) -> DataFrame:
+    """Members of the open groups of a kind in scope, each with what its group would do to settled files."""
+    best = F.coalesce("is_best", F.lit(False))
+    here = F.lit(True)
+    for col, v in (("folder_id", folder_id), ("library_id", library_id)):
+        if v is not None:
+            here = here & F.coalesce(F.bool_or((F.col(col) == v) & ~best), F.lit(False))
+    open_ones = m.where((F.col("kind") == kind) & (F.col("state") == 0)).withColumns({"best": best, "settled": settled(F.col("area"))})
+    g = open_ones.groupBy("group_id").agg(here.alias("here"), F.bool_or(F.col("settled") & ~F.col("best")).alias("loses")).where("here").drop("here")
+    return skew_join(open_ones, g, "group_id", "inner")
+
+
+def apply_all(m: DataFrame, kind: int, folder_id: int | None = None, library_id: int | None = None, skip_settled: bool = False) -> DataFrame:
+    """The flags that change when all open groups of a kind are applied: ``group_id, file_id, old_flag, new_flag``.
+
+    In scope are groups that would drop a file of the folder or library. The marked best is kept, the others go, but
+    none that someone kept. With ``skip_settled`` groups that would drop a settled file are left alone. Junk (kind 1) has no best: all go,
+    but for settled files with ``skip_settled``.
+    """
+    t = _to_apply(m, kind, folder_id, library_id)
+    if skip_settled:
+        t = t.where("not settled" if kind == 1 else "not loses")
+    new = F.lit(2) if kind == 1 else F.when(F.col("best"), 1).otherwise(2)
+    changes = (F.col("culling_flag") != new) & ~((F.col("culling_flag") == 1) & (new == 2))
+    return t.where(changes).select("group_id", "file_id", F.col("culling_flag").alias("old_flag"), new.alias("new_flag"))
+
+
+def dry_run(m: DataFrame, kind: int, folder_id: int | None = None, library_id: int | None = None, skip_settled: bool = False) -> DataFrame:
+    """What ``apply_all`` would do, in one row: ``kind, groups, kept, rejected, skipped``; skipped are groups, of junk files."""
+    t = _to_apply(m, kind, folder_id, library_id)
+    left = F.lit(True) if not skip_settled else ~F.col("settled") if kind == 1 else ~F.col("loses")
+    group_stays = F.lit(True) if kind == 1 else left
+    files_of = lambda cond: F.countDistinct(F.when(cond, F.col("file_id")))
+    skipped = F.lit(0).cast("long") if not skip_settled else files_of(F.col("settled")) if kind == 1 else F.countDistinct(F.when(F.col("loses"), F.col("group_id")))
+    kept = F.lit(0).cast("long") if kind == 1 else files_of(left & F.col("best"))
+    rejected = files_of(left) if kind == 1 else files_of(left & ~F.col("best"))
+    return t.agg(F.countDistinct(F.when(group_stays, F.col("group_id"))).alias("groups"), kept.alias("kept"), rejected.alias("rejected"), skipped.alias("skipped")).select(F.lit(kind).alias("kind"), "groups", "kept", "rejected", "skipped")
+
+
+def skip(groups: DataFrame, chosen: DataFrame) -> DataFrame:
+    """States of groups ``group_id, state`` when the open ones of ``chosen`` are put aside (2)."""
+    c = chosen.select("group_id", F.lit(True).alias("__c")).distinct()
+    return groups.join(c, "group_id", "left").select("group_id", F.when(F.col("__c") & (F.col("state") == 0), 2).otherwise(F.col("state")).alias("state"))
+
+
+def reopen(m: DataFrame, unmarked: DataFrame, kind: int) -> DataFrame:
+    """States of groups when files are unmarked: a closed group of the kind that has one of them is open again."""
+    u = unmarked.select("file_id", F.lit(True).alias("__u")).distinct()
+    g = m.join(u, "file_id", "left").groupBy("group_id").agg(F.max("state").alias("state"), F.max("kind").alias("kind"), F.bool_or(F.coalesce("__u", F.lit(False))).alias("u"))
+    return g.select("group_id", F.when((F.col("state") == 1) & (F.col("kind") == kind) & F.col("u"), 0).otherwise(F.col("state")).alias("state"))

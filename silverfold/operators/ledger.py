@@ -168,6 +168,14 @@ def pending_work(files: DataFrame, done: DataFrame, missing_value: Column, fresh
     return live.join(ready.select(F.col("file_id").alias("id")).distinct(), "id", "left_anti")
 
 
+def stale_thumbs(files: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """Live files without a finished thumbnail made of the file as it is: none, another state than 1, or another size or time."""
+    good = thumbs.where("state = 1").select(F.col("file_id").alias("id"), "size", F.col("modified_at").alias("__m"), F.col("size").alias("__s")).drop("size").distinct()
+    live = files.where("trashed_at is null")
+    on = (live["id"] == good["id"]) & live["size"].eqNullSafe(good["__s"]) & live["modified_at"].eqNullSafe(good["__m"])
+    return live.join(good, on, "left_anti")
+
+
 def import_look(found: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates of an import, each path once: ``path, day, size, is_dup``.
 

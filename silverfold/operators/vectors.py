@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,42 +83,101 @@ def mean_pool(tokens: np.ndarray, mask: np.ndarray, dense: np.ndarray) -> np.nda
     return out / n if n else out
 
 
+def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
+    """The mean vector of each key, of length 1: ``key, vector``. Sums are pre-aggregated by place, so a hot key costs no more than its places."""
+    at = vectors.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    v = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))  # as long as a vector
+    return v.select(key, normalize(F.col("v.m")).alias("vector"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def sentence_vector(tokens: pd.Series, mask: pd.Series, dense: pd.Series) -> pd.Series:
+    """:func:`mean_pool` over columns: token vectors (an array of arrays), their mask, and the rows of the projection."""
+    matrix: dict[int, np.ndarray] = {}
+
+    def one(t, m, d):
+        if t is None or m is None or d is None or not len(t):
+            return None
+        if id(d) not in matrix:
+            matrix.clear()
+            matrix[id(d)] = np.stack([np.asarray(r, float) for r in d])
+        return mean_pool(np.stack([np.asarray(r, float) for r in t]), np.asarray(m), matrix[id(d)])
+
+    return pd.Series([one(t, m, d) for t, m, d in zip(tokens, mask, dense, strict=True)])
+
+
+def people_list(faces: DataFrame, files: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """People with their faces and, as cover, the widest face (``bbox`` is JSON with ``w``) on a live file that has a thumbnail."""
+    live = files.where("trashed_at is null").select(F.col("id").alias("file_id"))
+    shown = live.join(thumbs.where("state = 1").select("file_id"), "file_id", "left_semi").select("file_id", F.lit(True).alias("shown")).distinct()
+    f = faces.where("person_id is not null").join(files.select(F.col("id").alias("file_id")).distinct(), "file_id", "left_semi").join(shown, "file_id", "left")
+    w = F.get_json_object("bbox", "$.w").cast("double")
+    cover = F.max(F.when(F.col("shown"), F.struct(w.alias("w"), (-F.col("face_id")).alias("f"))))
+    return f.groupBy("person_id").agg(F.count(F.lit(1)).alias("faces"), cover.alias("m")).select("person_id", "faces", (-F.col("m.f")).alias("cover"))
+
+
+def rename_people(people: DataFrame, names: DataFrame) -> DataFrame:
+    """People ``person_id, name`` after new names; a blank one is no name, one not named keeps its own."""
+    n = names.select("person_id", F.nullif(F.trim("name"), F.lit("")).alias("__n"), F.lit(True).alias("__there"))
+    return people.join(n, "person_id", "left").select("person_id", F.when(F.col("__there"), F.col("__n")).otherwise(F.col("name")).alias("name"))
+
+
+def merge_people(faces: DataFrame, merges: DataFrame) -> DataFrame:
+    """Faces after merges ``from_id, to_id``, one step each: the faces of one person go to the other."""
+    m = merges.select(F.col("from_id").alias("person_id"), F.col("to_id").alias("__to")).distinct()
+    return faces.join(m, "person_id", "left").withColumn("person_id", F.coalesce("__to", "person_id")).drop("__to")
+
+
+class _Centroids:
+    """Moving centroids of length 1, to which faces are added one after the other."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n, self.size, self.names = threshold, 0, [], {}
+        self.at = np.empty((64, 0))
+
+    def _found(self, v: np.ndarray) -> int:
+        if not self.n:
+            self.at = np.empty((64, len(v)))
+        elif self.n == len(self.at):
+            self.at = np.concatenate([self.at, np.empty_like(self.at)])
+        self.at[self.n] = v
+        self.size.append(1)
+        self.n += 1
+        return self.n - 1
+
+    def _join(self, c: int, v: np.ndarray) -> int:
+        x = self.at[c] * self.size[c] + v
+        n = np.linalg.norm(x)
+        self.at[c] = x / n if n else x
+        self.size[c] += 1
+        return c
+
+    def named(self, person, v: np.ndarray) -> int:
+        if person in self.names:
+            return self._join(self.names[person], v)
+        self.names[person] = self._found(v)
+        return self.names[person]
+
+    def loose(self, v: np.ndarray) -> int:
+        if self.n:
+            s = self.at[: self.n] @ v
+            c = int(s.argmax())
+            if s[c] >= self.threshold:
+                return self._join(c, v)
+        return self._found(v)
+
+
 def _people(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("id").reset_index(drop=True)
-        v = np.stack(p["embedding"].to_numpy()).astype(np.float64)
-        centers, sizes, who = np.empty((0, v.shape[1])), [], np.full(len(p), -1, np.int64)
-
-        def add(i, c):
-            nonlocal centers
-            x = centers[c] * sizes[c] + v[i]
-            n = np.linalg.norm(x)
-            centers[c] = x / n if n else x
-            sizes[c] += 1
-            who[i] = c
-
-        loose = []
-        names = {}
-        for i, person in enumerate(p["person_id"]):
-            if pd.isna(person):
-                loose.append(i)
-            elif person in names:
-                add(i, names[person])
-            else:
-                names[person] = len(sizes)
-                centers = np.vstack([centers, v[i]])
-                sizes.append(1)
-                who[i] = names[person]
-        for i in loose:
-            s = centers @ v[i] if len(sizes) else np.empty(0)
-            c = int(s.argmax()) if len(s) else -1
-            if c >= 0 and s[c] >= threshold:
-                add(i, c)
-            else:
-                centers = np.vstack([centers, v[i]])
-                sizes.append(1)
-                who[i] = len(sizes) - 1
-        return pd.DataFrame({"id": p["id"], "cluster": who})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, known = None, None
+        for pdf in batches:
+            who = np.empty(len(pdf), np.int64)
+            for i, (p, person, v) in enumerate(zip(pdf["__part"], pdf["person_id"], pdf["embedding"], strict=True)):
+                if known is None or p != part:
+                    part, known = p, _Centroids(threshold)
+                v = np.asarray(v, np.float64)
+                who[i] = known.loose(v) if pd.isna(person) else known.named(person, v)
+            yield pd.DataFrame({"id": pdf["id"], "cluster": who})
 
     return run
 
@@ -123,12 +185,15 @@ def _people(threshold: float):
 def people(faces: DataFrame, threshold: float = 0.5, key: str = "part") -> DataFrame:
     """Faces ``part, id, person_id (null if new), embedding`` to clusters ``id, cluster``, in the order of ids.
 
-    A loose face joins the nearest centroid of ``threshold`` or more, which moves towards it,
-    or founds one. What a face joins depends on all before it, so a part is one task: the
-    ceiling is the faces of one part in memory (about 100 million of 512 floats would not fit);
-    split by anything no person crosses, such as a library, before.
+    Named faces come first and form the persons' centroids. A loose face joins the nearest centroid of
+    ``threshold`` or more, which moves towards it, or founds one. What a face joins depends on all before it, so a part is one task, which
+    reads its faces in order and holds the centroids alone, not the faces; split by anything no
+    person crosses, such as a library, before. Faces without a vector are left out.
     """
-    return faces.groupBy(key).applyInPandas(_people(threshold), "id long, cluster long")
+    # an integer key in Spark's own hashing keeps each part whole and in order within one task
+    f = faces.where("embedding is not null").withColumnRenamed(key, "__part").select("__part", "id", "person_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    line = f.repartition("__part").sortWithinPartitions("__part", F.col("person_id").isNull(), "id")
+    return line.mapInPandas(_people(threshold), "id long, cluster long")
 
 
 def suppress(boxes: pd.DataFrame, least: float = 0.8, overlap: float = 0.3) -> pd.DataFrame:
@@ -136,19 +201,25 @@ def suppress(boxes: pd.DataFrame, least: float = 0.8, overlap: float = 0.3) -> p
     best first, without those overlapping a better one by more than ``overlap`` (intersection over union)."""
     b = boxes.assign(score=np.sqrt(boxes["cls"] * boxes["obj"]))
     b = b[b["score"] >= least].sort_values("score", ascending=False, kind="stable").reset_index(drop=True)
-    keep: list[int] = []
+    x, y, w, h = (b[c].to_numpy(float) for c in "xywh")
+    left, keep = np.ones(len(b), bool), []
     for i in range(len(b)):
-        r = b.iloc[i]
-        clear = True
-        for j in keep:
-            q = b.iloc[j]
-            iw = max(0.0, min(r.x + r.w, q.x + q.w) - max(r.x, q.x))
-            ih = max(0.0, min(r.y + r.h, q.y + q.h) - max(r.y, q.y))
-            inter = iw * ih
-            union = r.w * r.h + q.w * q.h - inter
-            if union > 0 and inter / union > overlap:
-                clear = False
-                break
-        if clear:
+        if left[i]:
             keep.append(i)
+            iw = np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)
+            ih = np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y)
+            inter = np.maximum(iw, 0) * np.maximum(ih, 0)
+            union = w[i] * h[i] + w * h - inter
+            left &= ~((union > 0) & (inter > overlap * union))
     return b.iloc[keep]
+
+
+def faces_of(detections: DataFrame, picture: str, least: float = 0.8, overlap: float = 0.3) -> DataFrame:
+    """:func:`suppress` for each picture of detections ``picture, x, y, w, h, cls, obj``; a picture's detections are bounded by the detector's grid."""
+    cols = [c for c in detections.columns if c != picture]
+    schema = f"{picture} {dict(detections.dtypes)[picture]}, " + ", ".join(f"{c} {t}" for c, t in detections.dtypes if c in cols) + ", score double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return suppress(pdf, least, overlap)[[picture, *cols, "score"]]
+
+    return detections.where((F.col("cls") >= 0) & (F.col("obj") >= 0)).groupBy(picture).applyInPandas(run, schema)

@@ -125,12 +125,6 @@ def video_time(spark, d):
     return f.select("id", x.alias("x")).where("x is not null").select("id", F.col("x.at").alias("taken_at"), F.col("x.clue").alias("clue"))
 
 
-@query("t03_name_times")
-def name_times(spark, d):
-    """Times written in file names."""
-    return files(spark, d, "name").select("id", dates.filename_time(F.col("name")).alias("t")).where("t is not null")
-
-
 @query("t05_exif_time", "WITH f AS (SELECT DISTINCT id, taken_at FROM files WHERE taken_at BETWEEN 946684800 AND 1798761599) SELECT id, taken_at AS t FROM f")
 def exif_time(spark, d):
     """Times written as EXIF does and read back."""
@@ -318,13 +312,6 @@ def city_names(spark, d):
     return media.preferred_names(n, "k")
 
 
-@query("q20_tags", "SELECT p_partkey AS tag_id, count(DISTINCT l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
-def tags(spark, d):
-    """Tags with the number of what they are on; parts of orders stand for tags of files."""
-    n = table(spark, d, "lineitem").select("l_partkey", "l_orderkey").distinct().groupBy(F.col("l_partkey").alias("tag_id")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("tag_id")).join(n, "tag_id", "left").select("tag_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-
-
 @query("q29_recent_runs", "WITH r AS (SELECT DISTINCT * FROM phash_runs) SELECT run_id, max(reported_at) AS at, count(*) AS reports, bool_or(phase = 'done') AS closed FROM r GROUP BY run_id")
 def recent(spark, d):
     """Runs, newest first, and whether they came to an end."""

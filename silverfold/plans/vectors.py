@@ -41,19 +41,6 @@ def people(spark, d):
     return v.people(_vectors(spark, d).select(F.lit(0).alias("part"), "id", named.alias("person_id"), "embedding"), 0.35)
 
 
-@query("v06_merge_people", "SELECT vec_id AS id, CASE WHEN label = 1 THEN 0 ELSE label END AS person_id FROM embeddings")
-def merge(spark, d):
-    """Person 1 is merged into person 0."""
-    return _vectors(spark, d).select("id", F.when(F.col("label") == 1, 0).otherwise(F.col("label")).alias("person_id"))
-
-
-@query("q22_people", "WITH e AS (SELECT label AS person_id, vec_id AS id, embedding[1] AS w FROM embeddings) SELECT person_id, count(*) AS faces, arg_max(id, (w, id)) AS cover FROM e GROUP BY person_id")
-def people_list(spark, d):
-    """People with their faces and, as cover, the largest face."""
-    e = _vectors(spark, d).select(F.col("label").alias("person_id"), "id", F.col("embedding")[0].alias("w"))
-    return e.groupBy("person_id").agg(F.count(F.lit(1)).alias("faces"), F.max(F.struct("w", "id")).alias("m")).select("person_id", "faces", F.col("m.id").alias("cover"))
-
-
 @query("q23_counts", "SELECT count(*) AS vectors, count(DISTINCT label) AS people, count(*) FILTER (label IS NULL) AS loose, (SELECT count(*) FROM (SELECT DISTINCT id, trashed_at, kind FROM files) WHERE trashed_at IS NULL AND kind <> 1) AS embeddable FROM embeddings")
 def counts(spark, d):
     from silverfold.plans.browse import files
