@@ -116,12 +116,32 @@ def alike_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(ok & (d[:, :LUMA].mean(axis=1) <= LUMA_LIMIT) & (d[:, LUMA:].mean(axis=1) <= CHROMA_LIMIT))
 
 
+#: FNV-1a of 64 bits (fixed values).
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def cache_keys(paths: list[bytes], size: np.ndarray, modified: np.ndarray) -> np.ndarray:
+    """FNV-1a, 64 bits, over each path and, as 8 little-endian bytes each, its size and time: all rows a byte at a time."""
+    length = np.array([len(p) for p in paths], np.int64)
+    tail = np.stack([size.astype("<i8"), modified.astype("<i8")], axis=1).view(np.uint8).reshape(len(paths), 16)
+    order = np.argsort(-length, kind="stable")  # longest first, so those with a byte left are the first rows
+    joined = np.frombuffer(b"".join(paths), np.uint8)
+    first = (np.cumsum(length) - length)[order]
+    h, left = np.full(len(paths), FNV_START, np.uint64), length[order]
+    with np.errstate(over="ignore"):
+        for at in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -at, side="left"))
+            h[:n] = (h[:n] ^ joined[first[:n] + at]) * np.uint64(FNV_PRIME)
+        for at in range(16):
+            h = (h ^ tail[order, at]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def cache_key(path: str, size: int, modified: int) -> str:
-    """FNV-1a, 64 bits, over path, size and time."""
-    h = 0xCBF29CE484222325
-    for byte in path.encode() + size.to_bytes(8, "little", signed=True) + modified.to_bytes(8, "little", signed=True):
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return f"{h:016x}"
+    """FNV-1a, 64 bits, over path, size and time, in hexadecimal."""
+    return f"{int(cache_keys([path.encode()], np.array([size]), np.array([modified]))[0]):016x}"
 
 
 def histogram(rgb: np.ndarray) -> dict:
@@ -171,4 +191,9 @@ def floats_of(blob: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def cache_key_of(path: pd.Series, size: pd.Series, modified: pd.Series) -> pd.Series:
-    return pd.Series([cache_key(p, int(s), int(m)) if p is not None else None for p, s, m in zip(path, size, modified, strict=True)], dtype=object)
+    """:func:`cache_key` of columns; null where any of the three is."""
+    ok = (path.notna() & size.notna() & modified.notna()).to_numpy()
+    out = np.full(len(path), None, object)
+    keys = cache_keys([p.encode() for p in path[ok]], size[ok].to_numpy(np.int64), modified[ok].to_numpy(np.int64))
+    out[ok] = [f"{k:016x}" for k in keys.tolist()]
+    return pd.Series(out, dtype=object)

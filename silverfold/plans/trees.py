@@ -103,15 +103,22 @@ def extensions(spark, d):
 _TF = "WITH r AS (SELECT DISTINCT row_id, pair_id, side, sub, name, full_hash AS hash FROM tree_files)"
 
 
+def _sets(trees):
+    """Sets named by their first tree, so that no way of signing them shows in the answer."""
+    first = trees.groupBy("signature").agg(F.min(F.concat_ws("/", "scope", "path")).alias("first_of_set"))
+    return trees.join(first, "signature").select("first_of_set", "scope", "path", "n")
+
+
 @query("e22_identical_trees", f"""{_TF}, r2 AS (SELECT pair_id || side AS scope, array_to_string(list_filter(string_split('root/' || nfc_normalize(sub), '/'), lambda x: x <> ''), '/') AS path, hash FROM r),
 u AS (SELECT scope, path, hash, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM r2), a AS (SELECT scope, array_to_string(string_split(path, '/')[1:i], '/') AS path, hash, count(*) AS k FROM u GROUP BY 1, 2, 3),
 s AS (SELECT scope, path, sum(k) AS n, sha256(array_to_string(list_sort(list(hash || ':' || k)), ',')) AS signature FROM a GROUP BY scope, path HAVING bool_and(hash IS NOT NULL)),
 m AS (SELECT * FROM s WHERE signature IN (SELECT signature FROM s GROUP BY signature HAVING count(*) > 1))
-SELECT signature, scope, path, CAST(n AS BIGINT) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m p WHERE p.scope = m.scope AND p.path = regexp_replace(m.path, '/?[^/]*$', ''))""")
+, o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m p WHERE p.scope = m.scope AND p.path = regexp_replace(m.path, '/?[^/]*$', '')))
+SELECT min(scope || '/' || path) OVER (PARTITION BY signature) AS first_of_set, scope, path, CAST(n AS BIGINT) AS n FROM o""")
 def identical(spark, d):
     """Equal trees among the sides of all compared pairs."""
     r = table(spark, d, "tree_files").select("row_id", "pair_id", "side", nfc(F.col("sub")).alias("sub"), F.col("full_hash").alias("hash")).distinct()
-    return t.identical_trees(r.select(F.concat(F.col("pair_id").cast("string"), "side").alias("scope"), F.concat(F.lit("root/"), "sub").alias("path"), "hash"))
+    return _sets(t.identical_trees(r.select(F.concat(F.col("pair_id").cast("string"), "side").alias("scope"), F.concat(F.lit("root/"), "sub").alias("path"), "hash")))
 
 
 @query("e22_identical_sets", f"""{_TF}, r2 AS (SELECT pair_id || side AS scope, array_to_string(list_filter(string_split('root/' || nfc_normalize(sub), '/'), lambda x: x <> ''), '/') AS path, hash FROM r),
@@ -120,11 +127,11 @@ s AS (SELECT scope, path, sum(k) AS n, sha256(array_to_string(list_sort(list(has
 t AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.signature = s.signature AND o.scope = s.scope AND starts_with(s.path, o.path || '/'))),
 m AS (SELECT * FROM t WHERE signature IN (SELECT signature FROM t GROUP BY signature HAVING count(*) > 1)),
 k AS (SELECT DISTINCT signature FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.scope = m.scope AND starts_with(m.path, o.path || '/')))
-SELECT signature, scope, path, CAST(n AS BIGINT) AS n FROM m WHERE signature IN (FROM k)""")
+SELECT min(scope || '/' || path) OVER (PARTITION BY signature) AS first_of_set, scope, path, CAST(n AS BIGINT) AS n FROM m WHERE signature IN (FROM k)""")
 def identical_sets(spark, d):
     """Sets of equal trees among the sides of all compared pairs."""
     r = table(spark, d, "tree_files").select("row_id", "pair_id", "side", nfc(F.col("sub")).alias("sub"), F.col("full_hash").alias("hash")).distinct()
-    return t.identical_sets(r.select(F.concat(F.col("pair_id").cast("string"), "side").alias("scope"), F.concat(F.lit("root/"), "sub").alias("path"), "hash"))
+    return _sets(t.identical_sets(r.select(F.concat(F.col("pair_id").cast("string"), "side").alias("scope"), F.concat(F.lit("root/"), "sub").alias("path"), "hash")))
 
 
 @query("e23_compare_trees", f"""{_TF}, p AS (SELECT pair_id, hash, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM r GROUP BY 1, 2),
