@@ -16,7 +16,8 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -73,17 +74,16 @@ def words_of(text: str, features: int, seen: dict):
     words = parts[1::2]
     if not words:
         return (), (), ()
-    for w in words:
-        if w not in seen:
-            if len(seen) > 500_000:
-                seen.clear()
-            seen[w] = (zlib.crc32(w.encode("utf-8", "surrogatepass")) % features, zlib.crc32(w[:4].encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, 4 * (len(w) <= 2))
     try:
-        feats, stems, short = zip(*[seen[w] for w in words], strict=True)
-    except KeyError:  # forgotten between two words of this text
-        return words_of(text, features, {})
-    get = _JOINS.get
-    joins = [short[0], *(s + get(gap, 0) for s, gap in zip(short[1:], parts[2:-1:2], strict=True))]
+        known = list(map(seen.__getitem__, words))
+    except KeyError:
+        if len(seen) > 500_000:
+            seen.clear()
+        for w in [w for w in set(words) if w not in seen]:
+            seen[w] = (zlib.crc32(w.encode("utf-8", "surrogatepass")) % features, zlib.crc32(w[:4].encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, 4 * (len(w) <= 2))
+        known = list(map(seen.__getitem__, words))
+    feats, stems, short = zip(*known, strict=True)
+    joins = list(map(add, short, chain((0,), map(_JOINS.get, parts[2:-1:2], repeat(0)))))
     return feats, stems, joins
 
 
@@ -164,15 +164,15 @@ def weights(start: np.ndarray, count: np.ndarray, h: np.ndarray, inner: int, flo
     ``h`` has the row of H of each entry. Also yields each entry's parts by component, which add up to its count.
     """
     size = np.diff(np.append(start, len(count)))
-    row = np.repeat(np.arange(len(start)), size)
-    w = np.ones((len(start), h.shape[1]), np.float32)
-    parts = h
+    # by component first, so every step runs along memory
+    ht = np.ascontiguousarray(h.T)
+    w, parts = np.ones((len(ht), len(start)), np.float32), ht.copy()
     for _ in range(inner):
-        parts = h * w[row]
-        parts *= (count / np.maximum(parts.sum(axis=1), 1e-30))[:, None]
-        w = np.add.reduceat(parts, start, axis=0)
+        np.multiply(ht, np.repeat(w, size, axis=1), out=parts)
+        parts *= count / np.maximum(parts.sum(axis=0), 1e-30)
+        w = np.add.reduceat(parts, start, axis=1)
         w += np.float32(floor)
-    return w, parts
+    return w.T, parts.T
 
 
 def _blocks(start: np.ndarray, n: int):
