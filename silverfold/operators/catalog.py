@@ -268,13 +268,43 @@ def next_cursor(rows: list, limit: int) -> tuple | None:
     return (rows[limit - 1]["sort_key"], rows[limit - 1]["id"]) if len(rows) > limit else None
 
 
-def cursor_at(c: Catalog, f: Filter, ordinal: int) -> DataFrame:
-    """The cursor after which row ``ordinal`` comes: one row ``sort_key, id``, or none at the ends."""
+#: Rows that are sorted to find a place among them; more are first narrowed down by counts.
+PLACE_ROWS, PLACE_BUCKETS = 200_000, 1024
+
+
+def cursor_at(c: Catalog, f: Filter, ordinal: int, most: int = PLACE_ROWS) -> DataFrame:
+    """The cursor after which row ``ordinal`` comes: one row ``sort_key, id``, or none at the ends.
+
+    Rows are counted by ranges of the sort key (by beginnings of a name), the range that holds the place is
+    counted again, and so on, by ids where a key repeats; only a range of ``most`` rows or fewer is ever sorted.
+    """
     got = apply(c, f).select(sort_key(f).alias("sort_key"), "id")
     if ordinal <= 0:
         return got.limit(0)
     order = ["sort_key", "id"] if not f.descending else [F.desc("sort_key"), F.desc("id")]
-    return got.orderBy(*order).offset(ordinal - 1).limit(1)
+    left, text, length = ordinal, f.sort == "name", 1
+    while True:
+        by, ends = ("sort_key", got.agg(F.count(F.lit(1)).alias("n"), F.min("sort_key").alias("lo"), F.max("sort_key").alias("hi")).first())
+        if ends.n < left:
+            return got.limit(0)
+        if ends.n <= most:
+            return got.orderBy(*order).offset(left - 1).limit(1)
+        if ends.lo == ends.hi:
+            by, ends = ("id", got.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first())
+            if ends.lo == ends.hi:
+                return got.offset(left - 1).limit(1)
+        if by == "sort_key" and text:
+            bucket = F.substring("sort_key", 1, length)
+            length += 1
+        else:
+            width = (int(ends.hi) - int(ends.lo)) // PLACE_BUCKETS + 1
+            bucket = F.floor((F.col(by) - F.lit(ends.lo)) / width)
+        counts = sorted(((r.b, r["count"]) for r in got.groupBy(bucket.alias("b")).count().collect()), reverse=f.descending)
+        for b, n in counts:
+            if left <= n:
+                break
+            left -= n
+        got = got.where(bucket == b)
 
 
 def by_ids(c: Catalog, ids: list[int]) -> DataFrame:

@@ -59,6 +59,16 @@ def staged_groups(rows: DataFrame, size: str, content_hash: Column, row_id: str)
     return hashed.groupBy(size, "hash").agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("best_id")).where("n > 1")
 
 
+def confirmed_groups(rows: DataFrame, quick: str, full: Column, online: Column) -> DataFrame:
+    """Exact groups by the full hash, ``size, full, n, best_id, gain, closed``: only rows that share size and quick hash with another are hashed in full.
+
+    Rows that aren't ``online`` take no part, as they can't be read.
+    """
+    r = rows.where(online & F.col(quick).isNotNull() & (F.col("size") > 0))
+    shared = r.groupBy("size", quick).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("size", quick)
+    return exact_groups(r.join(shared, ["size", quick], "left_semi").withColumn("full", full), "full")
+
+
 def twins(rows: DataFrame, keys: list[str], size: str, slack: float) -> DataFrame:
     """Rows for which another of equal ``keys`` has a different size at most ``slack`` away.
 

@@ -32,44 +32,65 @@ def similar(vectors: DataFrame, query_id: int, k: int) -> DataFrame:
     return got.select("id", dot(F.col("embedding"), F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(min(max(k, 1), 200))
 
 
+#: Vectors of a tile.
+TILE_ROWS = 32_768
+
+
+def _best(qi: np.ndarray, qm: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int):
+    """The k best of ``ids`` for each query, a few hundred queries at a time; of equal scores the smaller ids."""
+    by = np.argsort(ids, kind="stable")
+    ids, m = ids[by], m[by]
+    for lo in range(0, len(qi), 256):
+        q = qi[lo : lo + 256]
+        s = qm[lo : lo + 256] @ m.T
+        s[q[:, None] == ids[None, :]] = -np.inf
+        least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+        above, level = s > least[:, None], s == least[:, None]
+        # of those level with the last place as many as are wanted, by id
+        take = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        r, c = np.nonzero(take & np.isfinite(s))
+        yield pd.DataFrame({"q_id": q[r], "id": ids[c], "score": s[r, c].astype(np.float64)})
+
+
 def nearest_of_set(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """The k nearest of each query over all vectors: ``q_id, id, score``, exact.
 
-    Queries are cut into blocks of a fixed size by id, so what a task holds beside its rows has a
-    bound; every block meets every partition of the vectors as a matrix product, of which
-    only each partition's best k a query move on.
+    Up to ``block`` queries are sent to all tasks, and meet every partition of the vectors as a matrix product. More are
+    cut into blocks, and so are the vectors; each pair of blocks is a tile of its own on some executor, so nothing but the number of
+    queries reaches the driver. Only each tile's best k a query move on.
     """
+    from pyspark.sql import Window
+
+    schema = "q_id long, id long, score double"
     n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").alias("q_id"), F.col("embedding").alias("q"))
-    out = None
-    for b in range(blocks):
-        part = q.where(F.col("block") == b).drop("block").toPandas()  # about `block` rows
+    v = vectors.select("id", "embedding")
+    if n <= block:
+        part = queries.select(F.col("id").alias("q_id"), F.col("embedding").alias("q")).toPandas()
         if not len(part):
-            continue
-        ids, m = part["q_id"].to_numpy(), np.stack(part["q"].to_numpy()).astype(np.float32)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, m))
+            return vectors.sparkSession.createDataFrame([], schema)
+        sent = vectors.sparkSession.sparkContext.broadcast((part["q_id"].to_numpy(), np.stack(part["q"].to_numpy()).astype(np.float32)))
 
-        def run(batches, sent=sent):
-            qi, qm = sent.value
+        def run(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                s = qm @ np.stack(pdf["embedding"].to_numpy()).astype(np.float32).T
-                own = pdf["id"].to_numpy()
-                s[qi[:, None] == own[None, :]] = -np.inf
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(qi)), top.shape[1])
-                c = top.ravel()
-                ok = np.isfinite(s[r, c])
-                yield pd.DataFrame({"q_id": qi[r][ok], "id": own[c][ok], "score": s[r, c][ok].astype(np.float64)})
-
-        got = vectors.select("id", "embedding").mapInPandas(run, "q_id long, id long, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "q_id long, id long, score double")
-    from pyspark.sql import Window
-
+                if len(pdf):
+                    yield from _best(*sent.value, pdf["id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(np.float32), k)
+
+        out = v.mapInPandas(run, schema)
+    else:
+        rows, columns = -(-n // block), max(1, -(-v.count() // TILE_ROWS))
+        own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        q = queries.select(F.lit(True).alias("asks"), own(rows).alias("i"), every(columns).alias("j"), "id", "embedding")
+        t = q.unionByName(v.select(F.lit(False).alias("asks"), every(rows).alias("i"), own(columns).alias("j"), "id", "embedding"))
+
+        def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+            asks = pdf["asks"].to_numpy()
+            if asks.all() or not asks.any():
+                return pd.DataFrame({"q_id": [], "id": [], "score": []}).astype({"q_id": "int64", "id": "int64", "score": "float64"})
+            m, ids = np.stack(pdf["embedding"].to_numpy()).astype(np.float32), pdf["id"].to_numpy()
+            return pd.concat(list(_best(ids[asks], m[asks], ids[~asks], m[~asks], k)))
+
+        out = t.groupBy("i", "j").applyInPandas(tile, schema)
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
     return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 

@@ -383,3 +383,14 @@ def faces(spark, d):
     kept = vectors.faces_of(boxes, "pic").groupBy("pic").agg(F.max("score").alias("best"))
     n = boxes.where("sqrt(cls * obj) >= 0.8").groupBy("pic").agg(F.count(F.lit(1)).alias("candidates"))
     return n.join(kept, "pic")
+
+
+@query("e01_confirmed", f"""{BASE}, m AS (SELECT live.*, fo.area, sha256(quick_hash || '/' || coalesce(width, 0)) AS full_hash FROM live JOIN fo ON fo.id = live.folder_id WHERE size > 0 AND quick_hash IS NOT NULL AND right(fo.volume_uuid, 1) <> '1'),
+r AS (SELECT *, row_number() OVER (PARTITION BY size, full_hash ORDER BY culling_flag <> 1, area NOT IN (1, 2), taken_at NULLS LAST, id) AS k FROM m)
+SELECT size, full_hash, count(*) AS n, max(CASE WHEN k = 1 THEN id END) AS best_id, CAST(size * (count(*) - 1) AS BIGINT) AS gain, bool_and(culling_flag > 0) AND count(*) FILTER (culling_flag = 1) = 1 AS closed FROM r GROUP BY size, full_hash HAVING count(*) > 1""")
+def confirmed(spark, d):
+    """Duplicates confirmed by a full hash, here of the quick one and the width; volumes that end in 1 are away."""
+    fo = folders(spark, d, "area", "volume_uuid").withColumnRenamed("id", "folder_id")
+    m = files(spark, d, "folder_id", "size", "quick_hash", "width", "culling_flag", "taken_at").where("trashed_at is null").join(fo, "folder_id")
+    full = F.sha2(F.concat_ws("/", "quick_hash", F.coalesce("width", F.lit(0)).cast("string")), 256)
+    return cull.confirmed_groups(m, "quick_hash", full, F.substring("volume_uuid", -1, 1) != "1").withColumnRenamed("full", "full_hash")

@@ -28,13 +28,14 @@ def debounce(spark, d):
 
 @query("s2_debounce_stream", BURSTS)
 def debounce_stream(spark, d):
-    """The same over the table read as a stream."""
+    """The same over the table read as a stream, in append mode."""
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     # a pattern, as a stream's plain path must be a folder and the table may be one file
     src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    got = watch.debounce(src, ["user_id"], quiet="1 hour", late="1 day")
-    return _out(watch.run_to_end(got, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"))
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    got = watch.debounce(watch.with_end(src, "ts", at), ["user_id"], quiet="1 hour", late="1 day")
+    return _out(watch.run_to_end(got, at).where("user_id is not null"))
 
 
 @query("s2_sliding_rate", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done FROM events),

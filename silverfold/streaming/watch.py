@@ -31,13 +31,21 @@ def sliding_rate(samples: DataFrame, keys: list[str], ts: str, done: str, span_s
     return s.withColumn("rate", F.when(took >= least_s, (F.col(done) - F.col("__f.d")) / took)).drop("__us", "__f")
 
 
-def run_to_end(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is, into a table of the folder, and reads that."""
+def with_end(stream: DataFrame, ts: str, folder: str) -> DataFrame:
+    """A stream over a table that ends: after its rows a tick of the far future, with null in all other columns, lets the watermark pass them all."""
     spark = stream.sparkSession
+    tick = spark.range(1).select(*(F.lit("2200-01-01").cast("timestamp").alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema))
+    tick.write.parquet(f"{folder}/tick")
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/tick"))
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
 
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(write).start()
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over all there is, adding what is closed to a table of the folder, and reads that.
+
+    In append mode a burst leaves the state once the watermark has passed it, so the state holds open
+    bursts alone and nothing is written twice; what is still open at the end of a stream stays in the state.
+    """
+    spark = stream.sparkSession
+    q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").format("parquet").start(f"{folder}/out")
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -425,7 +425,8 @@ def test_debounce_on_a_table_and_a_stream(spark, tmp_path):
     assert rows(watch.debounce(df, ["k"]).select("k", "n")) == want
     df.write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    assert rows(watch.run_to_end(watch.debounce(src, ["k"]), str(tmp_path / "w")).select("k", "n")) == want
+    at = str(tmp_path / "w")
+    assert rows(watch.run_to_end(watch.debounce(watch.with_end(src, "ts", at), ["k"]), at).where("k is not null").select("k", "n")) == want
 
 
 def test_rate(spark):
@@ -433,3 +434,79 @@ def test_rate(spark):
     assert [r.rate for r in watch.sliding_rate(df, ["k"], "ts", "done").orderBy("ts").collect()] == [None, None, 10.0, None]
     p = spark.createDataFrame([("a/b.jpg",), ("a/.x/b.jpg",), ("@eaDir/x",)], "p string").select(watch.interesting(F.col("p"), ["@eaDir"]).alias("i")).collect()
     assert [r.i for r in p] == [True, False, False]
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_nearest_of_set_is_exact_with_ties(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "TILE_ROWS", 40)
+    rng = np.random.default_rng(2)
+    m = rng.integers(-2, 3, (130, 4)).astype(float)  # many equal scores
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(500)[:130], m, strict=True)], "id long, embedding array<double>")
+    data = {r.id: np.array(r.embedding) for r in df.collect()}
+    q = df.where("id % 5 = 0")
+    got = sorted((r.q_id, r.id, r.score) for r in vectors.nearest_of_set(df, q, 6, block=block).collect())
+    want = []
+    for a in data:
+        if a % 5 == 0:
+            want += [(a, b, float(data[a] @ data[b])) for b in sorted((x for x in data if x != a), key=lambda x: (-float(data[a] @ data[x]), x))[:6]]
+    assert got == sorted(want)
+    assert vectors.nearest_of_set(df, q.limit(0), 3).count() == 0
+
+
+def test_faces_of_pictures(spark):
+    d = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0, 0.9, 0.9), (1, 1.0, 1.0, 10.0, 10.0, 0.95, 0.95), (1, 50.0, 0.0, 10.0, 10.0, 0.9, 0.9), (2, 0.0, 0.0, 5.0, 5.0, 0.5, 0.5), (3, 0.0, 0.0, 5.0, 5.0, None, 0.9)], "pic long, x double, y double, w double, h double, cls double, obj double")
+    assert [(r.pic, r.x) for r in vectors.faces_of(d, "pic").orderBy("x").collect()] == [(1, 1.0), (1, 50.0)]
+
+
+def test_sentence_vectors(spark):
+    df = spark.createDataFrame([(1, [[1.0, 0.0], [3.0, 0.0], [9.0, 9.0]], [1, 1, 0], [[2.0, 0.0], [0.0, 1.0]]), (2, None, [1], [[1.0]])], "id long, t array<array<double>>, m array<int>, d array<array<double>>")
+    got = {r.id: r.v for r in df.select("id", vectors.sentence_vector("t", "m", "d").alias("v")).collect()}
+    assert got == {1: [1.0, 0.0], 2: None}
+
+
+def test_pictures_in_columns(spark):
+    rgb = bytes([0, 1, 2] * 32 + [255, 254, 253] * 32)
+    df = spark.createDataFrame([(1, rgb), (2, b"xx"), (3, None)], "id long, rgb binary")
+    got = {r.id: r.h for r in df.select("id", content.histogram_of("rgb").alias("h")).collect()}
+    assert (got[1].peak, got[1].shadows, got[1].lights) == (32, 0.5, 0.5) and got[2].peak is None and got[3].peak is None
+    flat = spark.createDataFrame([(bytes([7] * 1024), bytes([9] * 192)), (b"", None)], "g binary, c binary")
+    a, b = (r.s for r in flat.select(content.signature_of("g", "c").alias("s")).collect())
+    assert len(a) == 385 and a[0] == 1 and set(a[1:257]) == {7} and b is None
+    assert content.cache_keys([], np.array([], np.int64), np.array([], np.int64)).tolist() == []
+
+
+def test_snapshots_are_kept_and_restored(spark, tmp_path):
+    at = str(tmp_path / "snaps")
+    with pytest.raises(ValueError):
+        media.restore(spark, at)
+    for v in ("100", "90", "300"):
+        media.snapshot(spark.range(int(v) // 10), at, v)
+    assert media.versions(spark, at) == ["100", "300", "90"]
+    assert media.restore(spark, at, "300").count() == 30
+    assert media.snapshot_due([], 5) and media.snapshot_due(["100"], 100 + 86400) and not media.snapshot_due(["100", "90"], 86399)
+    assert media.prune_snapshots(spark, at, 2) == ["100"] and len(media.versions(spark, at)) == 2
+
+
+def test_broken_media_give_nothing(spark):
+    assert media.container_seconds(None) is None and media.container_seconds(b"") is None and media.container_seconds(bytes(40)) is None
+    assert media.container_seconds(bytes.fromhex("000000206D6F6F76" "000000186D766864" "00000000" "00000000")) is None
+    none = dict.fromkeys(("make", "model", "taken", "iso", "lens", "lat", "lon", "alt"))
+    for data in (None, b"", b"\xff\xd8\xff", b"\xff\xd8\xff\xe1\x00\x10Exif\0\0II*\0\xff\xff\xff\x7f", b"plain"):
+        assert media.exif_fields(data) == none
+    line = spark.range(1).select(media.transfer_progress(F.lit(" 1,234  56%   7.89MB/s    0:00:10")).alias("a"), media.transfer_progress(F.lit("x")).alias("b")).first()
+    assert tuple(line.a) == (1234, 56, "7.89MB/s") and line.b is None
+
+
+def test_cursor_by_counts_equals_sorting(spark):
+    from silverfold.operators import catalog as c
+
+    rng = random.Random(1)
+    data = [(i, None, rng.choice([None, 5, 5, 5, rng.randrange(10**9)]), rng.choice(["", "a", "ab", "Abc", "ab" * rng.randrange(4), None]), 1) for i in range(120)]
+    k = c.Catalog(spark.createDataFrame(data, "id long, trashed_at long, taken_at long, name string, folder_id long"), spark.createDataFrame([], "id long"))
+    for sort, descending in (("taken", True), ("taken", False), ("name", True), ("name", False)):
+        f = c.Filter(sort=sort, descending=descending)
+        key = (lambda r: (r[2] or 0, r[0])) if sort == "taken" else (lambda r: (r[3] or "", r[0]))
+        line = sorted(data, key=key, reverse=descending)
+        for at in (1, 37, 80, 120, 121):
+            got = c.cursor_at(k, f, at, most=3).collect()
+            assert [r.id for r in got] == [r[0] for r in line[at - 1 : at]], (sort, descending, at)
