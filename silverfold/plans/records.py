@@ -6,9 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from silverfold.functions import content, dates, names
-from silverfold.operators import ledger
-from silverfold.operators.places import haversine
-from silverfold.plans.browse import BASE, files, folders
+from silverfold.operators import ledger, naming
+from silverfold.plans.browse import BASE, GPS, files, folders
 from silverfold.plans.registry import query
 from silverfold.sources import media
 from silverfold.session import table
@@ -42,38 +41,22 @@ def words(spark, d):
     return _parsed(spark, d).select(F.explode(names.words(F.col("title"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("n04_suggest", f"""{_WORDS}, t AS (SELECT date AS day FROM p WHERE title <> '' AND date IS NOT NULL ORDER BY date, id LIMIT 1),
-c AS (SELECT title, 100 AS score FROM p, t WHERE title <> '' AND substr(date, 6) = substr(day, 6) AND date <> day
-  UNION ALL SELECT title || ' 2일차', 120 FROM p, t WHERE title <> '' AND NOT regexp_matches(title, '[0-9]일차$') AND try_cast(date AS DATE) = CAST(day AS DATE) - 1
-  UNION ALL SELECT word, 10 FROM (SELECT word, count(*) AS n FROM w WHERE date IS NOT NULL GROUP BY word HAVING count(*) >= 3 ORDER BY n DESC, word LIMIT 8))
-SELECT title, max(score) AS score FROM c GROUP BY title""")
+@query("n04_suggest", f"""{_WORDS}, g AS (SELECT folder_id, strftime(make_timestamp(min(taken_at) * 1000000), '%Y-%m-%d') AS day, avg(gps_lat) FILTER ({GPS}) AS lat, avg(gps_lon) FILTER ({GPS}) AS lon FROM live GROUP BY folder_id),
+k AS (SELECT g.*, p.date, p.title FROM g JOIN p ON p.id = g.folder_id), s AS (SELECT folder_id AS sel, day, lat, lon FROM k WHERE day IS NOT NULL),
+c AS (SELECT sel, title, 100 AS score FROM s JOIN k ON substr(k.date, 6) = substr(s.day, 6) WHERE title <> '' AND k.date <> s.day
+  UNION ALL SELECT sel, CASE WHEN regexp_matches(title, '[0-9]일차$') THEN regexp_replace(title, '[0-9]+일차$', '') || (CAST(regexp_extract(title, '([0-9]+)일차$', 1) AS INT) + 1) || '일차' ELSE title || ' 2일차' END, 120 FROM s JOIN k ON try_cast(k.date AS DATE) = CAST(s.day AS DATE) - 1 WHERE title <> ''
+  UNION ALL SELECT sel, title, 90 - CAST(trunc(km * 10) AS INT) FROM (SELECT sel, title, 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(k.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(k.lat)) * pow(sin(radians(k.lon - s.lon) / 2), 2)))) AS km FROM s, k WHERE title <> '') WHERE km < 3
+  UNION ALL SELECT sel, word, 10 FROM s, (SELECT word, count(*) AS n FROM w WHERE date IS NOT NULL AND id IN (SELECT folder_id FROM g) GROUP BY word HAVING count(*) >= 3 ORDER BY n DESC, word LIMIT 8)),
+b AS (SELECT sel, title, max(score) AS score FROM c GROUP BY sel, title), r AS (SELECT *, row_number() OVER (PARTITION BY sel ORDER BY score DESC, title) AS r FROM b)
+SELECT sel, title, score FROM r WHERE r <= 5""")
 def suggest(spark, d):
-    """Names for an event on the day of the first dated folder: yesterday's, other years', frequent words."""
-    p = _parsed(spark, d)
-    day = p.where("title <> '' and date is not null").orderBy("date", "id").select("date").first()
-    if day is None:
-        return spark.createDataFrame([], "title string, score int")
-    t = F.lit(day[0])
-    named = p.where("title <> ''")
-    again = named.where((F.substring("date", 6, 5) == F.substring(t, 6, 5)) & (F.col("date") != t)).select("title", F.lit(100).alias("score"))
-    before = named.where(F.expr("try_cast(date as date)") == F.date_sub(F.to_date(t), 1)).select(names.next_day(F.col("title")).alias("title"), F.lit(120).alias("score"))
-    often = p.where("date is not null").select(F.explode(names.words(F.col("title"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(8).select(F.col("w").alias("title"), F.lit(10).alias("score"))
-    return again.unionByName(before).unionByName(often).groupBy("title").agg(F.max("score").alias("score"))
-
-
-@query("n04_near_titles", f"""{_PARSED}, g AS (SELECT folder_id, avg(gps_lat) AS lat, avg(gps_lon) AS lon FROM live WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT (gps_lat = 0 AND gps_lon = 0) GROUP BY folder_id),
-k AS (SELECT g.*, p.title FROM g JOIN p ON p.id = g.folder_id), q AS (SELECT lat AS qa, lon AS qo, folder_id AS me FROM k ORDER BY folder_id LIMIT 1),
-x AS (SELECT title, 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(lat - qa) / 2), 2) + cos(radians(qa)) * cos(radians(lat)) * pow(sin(radians(lon - qo) / 2), 2)))) AS km FROM k, q WHERE folder_id <> me AND title <> '')
-SELECT title, CAST(90 - CAST(trunc(min(km) * 10) AS INT) AS INT) AS score FROM x WHERE km < 300 GROUP BY title""")
-def near_titles(spark, d):
-    """Titles of folders near the first one's pictures, better the nearer (here within 300 km)."""
+    """Five names for the pictures of each folder in use: yesterday's, other years', nearby ones, frequent words."""
     from silverfold.operators.catalog import valid_gps
 
-    g = files(spark, d, "folder_id", "gps_lat", "gps_lon").where("trashed_at is null").where(valid_gps()).groupBy("folder_id").agg(F.avg("gps_lat").alias("lat"), F.avg("gps_lon").alias("lon"))
-    k = g.join(_parsed(spark, d).select(F.col("id").alias("folder_id"), "title"), "folder_id")
-    q = k.orderBy("folder_id").first()
-    km = haversine(F.lit(q.lat), F.lit(q.lon), F.col("lat"), F.col("lon"), 6371.0)
-    return k.where((F.col("folder_id") != q.folder_id) & (F.col("title") != "")).withColumn("km", km).where("km < 300").groupBy("title").agg((90 - (F.min("km") * 10).cast("int")).alias("score"))
+    at = lambda c: F.avg(F.when(valid_gps(), F.col(c)))
+    g = files(spark, d, "folder_id", "taken_at", "gps_lat", "gps_lon").where("trashed_at is null").groupBy("folder_id").agg(F.date_format(F.timestamp_seconds(F.min("taken_at")), "yyyy-MM-dd").alias("day"), at("gps_lat").alias("lat"), at("gps_lon").alias("lon"))
+    k = g.join(_parsed(spark, d).select(F.col("id").alias("folder_id"), "date", "title"), "folder_id")
+    return naming.suggest(k.where("day is not null").select(F.col("folder_id").alias("sel"), "day", "lat", "lon"), k)
 
 
 @query("n05_audit", f"""{_PARSED}, m AS (SELECT folder_id, strftime(make_timestamp(min(taken_at) * 1000000), '%Y-%m-%d') AS day FROM live WHERE taken_at IS NOT NULL GROUP BY folder_id),
@@ -88,18 +71,30 @@ def audit(spark, d):
     return a.select("id", "proposed", (n > 1).alias("conflict"))
 
 
-@query("n06_event_candidates", f"""{BASE}, e AS (SELECT live.id, fo.library_id, live.taken_at AS t, live.taken_at // 86400 AS day FROM live JOIN fo ON fo.id = live.folder_id JOIN libraries l ON l.id = fo.library_id WHERE l.area = 0 AND live.taken_at IS NOT NULL),
-m AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 10800 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY library_id, day ORDER BY t, id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY library_id, day ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS no FROM m)
-SELECT library_id, min(t) AS start_at, max(t) AS end_at, count(*) AS n FROM s GROUP BY library_id, day, no HAVING count(*) >= 5""")
-def candidates(spark, d):
-    """Events of desk libraries: three hours' quiet or a new day ends one, five pictures make one."""
-    from silverfold.operators.sessions import sessionize
+_EVENTS = f"""{BASE}, e AS (SELECT live.id, fo.library_id, live.taken_at AS t, live.taken_at // 86400 AS day FROM live JOIN fo ON fo.id = live.folder_id JOIN libraries l ON l.id = fo.library_id WHERE l.area = 0 AND live.taken_at IS NOT NULL),
+m AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {{gap}} THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY library_id, day ORDER BY t, id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY library_id, day ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS no FROM m),
+c AS (SELECT library_id, day, no, min(t) AS start_at, max(t) AS end_at, count(*) AS n FROM s GROUP BY library_id, day, no HAVING count(*) >= {{least}})"""
+
 
+def _desk(spark, d):
+    """Live timed files of desk libraries."""
     desk = table(spark, d, "libraries").where("area = 0").select(F.col("id").alias("library_id"))
     fo = folders(spark, d, "library_id").join(desk, "library_id").select(F.col("id").alias("folder_id"), "library_id")
-    e = files(spark, d, "folder_id", "taken_at").where("trashed_at is null and taken_at is not null").groupBy("folder_id", "taken_at").agg(F.count(F.lit(1)).alias("n")).join(fo, "folder_id")
-    return sessionize(e, "library_id", "taken_at", 10800, weight="n").where("n_events >= 5").select("library_id", "start_at", "end_at", F.col("n_events").alias("n"))
+    return files(spark, d, "folder_id", "taken_at").where("trashed_at is null and taken_at is not null").join(fo, "folder_id").select("library_id", "id", "taken_at")
+
+
+@query("n06_event_candidates", _EVENTS.format(gap=10800, least=5) + " SELECT library_id, library_id || ':' || start_at || ':' || end_at AS cand_key, start_at, end_at, n FROM c")
+def candidates(spark, d):
+    """Events of desk libraries: three hours' quiet or a new day ends one, five pictures make one."""
+    return naming.event_candidates(_desk(spark, d), 180, 5).select("library_id", "cand_key", "start_at", "end_at", "n")
+
+
+@query("n06_event_items", _EVENTS.format(gap=1800, least=2) + " SELECT s.library_id || ':' || start_at || ':' || end_at AS cand_key, id, row_number() OVER (PARTITION BY s.library_id, s.day, s.no ORDER BY t, id) AS seq FROM s JOIN c USING (library_id, day, no)")
+def items(spark, d):
+    """The pictures of events under the least pause and number that may be asked for."""
+    f = _desk(spark, d)
+    return naming.event_items(f, naming.event_candidates(f, 1, 1))
 
 
 @query("n07_event_dirs", f"{_PARSED} SELECT p.id, CASE WHEN fo.area = 1 THEN x ELSE substr(date, 1, 4) || '/' || x END AS dir FROM (SELECT *, date || CASE WHEN title = '' THEN '' ELSE ' ' || trim(translate(title, '/\\:', '---'), ' ') END AS x FROM p WHERE date IS NOT NULL) p JOIN fo ON fo.id = p.id")

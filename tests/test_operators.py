@@ -510,3 +510,35 @@ def test_cursor_by_counts_equals_sorting(spark):
         for at in (1, 37, 80, 120, 121):
             got = c.cursor_at(k, f, at, most=3).collect()
             assert [r.id for r in got] == [r[0] for r in line[at - 1 : at]], (sort, descending, at)
+
+
+def test_suggested_names_near_and_far(spark):
+    from silverfold.operators import naming
+
+    rng = random.Random(3)
+    places = [(37.5, 127.0), (0.0, 180.0), (89.99, 10.0), (-89.99, -170.0), (60.0, -180.0), (37.51, 127.02)]
+    at = lambda: (lambda p: (max(-90.0, min(90.0, p[0] + rng.uniform(-0.04, 0.04))), (p[1] + rng.uniform(-0.06, 0.06) + 180) % 360 - 180))(rng.choice(places))
+    folders = [(i, None, f"t{i}", *at()) for i in range(150)] + [(900, None, "", 37.5, 127.0), (901, None, "no place", None, None)]
+    sels = [(i, None, *at()) for i in range(40)] + [(99, None, None, None)]
+    f = spark.createDataFrame(folders, "folder_id long, date string, title string, lat double, lon double")
+    got = naming.suggest(spark.createDataFrame(sels, "sel long, day string, lat double, lon double"), f, limit=1000)
+
+    def km(a, o, b, p):
+        x = np.sin(np.radians(b - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(b)) * np.sin(np.radians(p - o) / 2) ** 2
+        return 2 * 6371.0 * np.arcsin(min(1.0, np.sqrt(x)))
+
+    want = sorted((s[0], k[2], 90 - int(km(s[2], s[3], k[3], k[4]) * 10)) for s in sels if s[2] is not None for k in folders if k[2] and k[3] is not None and km(s[2], s[3], k[3], k[4]) < 3)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 50
+    dated = spark.createDataFrame([(1, "2020-05-04", "Lake 2일차", None, None), (2, "2019-05-05", "Birthday", None, None), (3, "2020-05-05", "Today", None, None)], f.schema)
+    one = spark.createDataFrame([(7, "2020-05-05", None, None)], "sel long, day string, lat double, lon double")
+    assert [tuple(r) for r in naming.suggest(one, dated, 5).orderBy(F.desc("score")).collect()] == [(7, "Lake 3일차", 120), (7, "Birthday", 100)]
+    assert naming.suggest(one, dated.limit(0)).count() == 0
+
+
+def test_event_limits(spark):
+    from silverfold.operators import naming
+
+    df = spark.createDataFrame([(1, i, 86400 * 400 + t) for i, t in enumerate((0, 100, 1900, 3701, 9000))] + [(1, 9, 86400 * 401), (1, 10, 86400 * 401 + 5)], "library_id long, id long, taken_at long")
+    e = naming.event_candidates(df, 1, 0)
+    assert [(r.n, r.end_at - r.start_at) for r in e.orderBy("start_at").collect()] == [(3, 1900), (2, 5)]
+    assert [tuple(r)[1:] for r in naming.event_items(df, e).orderBy("cand_key", "seq").collect()] == [(0, 1), (1, 2), (2, 3), (9, 1), (10, 2)]
