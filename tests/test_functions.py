@@ -48,7 +48,7 @@ def test_titles(spark):
     w = spark.createDataFrame([("Big trip-to (Jeju) 2024 a 2일차",)], "t string").select(names.words(F.col("t")).alias("w")).first().w
     assert w == ["Big", "trip", "to", "Jeju"]
     n = spark.createDataFrame([("a.jpg", 1), ("a.jpg", 2), ("a", 3), (".x", 2)], "n string, k int").select(names.numbered(F.col("n"), F.col("k")).alias("x")).collect()
-    assert [r.x for r in n] == ["a.jpg", "a (1).jpg", "a (2)", ".x (1)"]
+    assert [r.x for r in n] == ["a.jpg", "a (2).jpg", "a (3)", ".x (2)"]
     d = spark.createDataFrame([(["a/b/c", "a/b/d/e", "a/bb"],), (["x"],), (["p/q", "p/q"],), (["m", "n"],)], "p array<string>").select(names.common_dir(F.col("p")).alias("d")).collect()
     assert [r.d for r in d] == ["a", "x", "p/q", ""]
 
