@@ -81,6 +81,38 @@ def twins(rows: DataFrame, keys: list[str], size: str, slack: float) -> DataFram
     return rows.join(sizes.withColumn("__near", near).where("__near").drop("__near"), [*keys, size], "left_semi")
 
 
+def twin_groups(rows: DataFrame, keys: list[str], size: str, slack: float, image_hash: Column) -> DataFrame:
+    """Copies that differ in their metadata alone: twins by ``keys`` and size whose pictures are one: rows with their ``image`` hash.
+
+    Only twins are hashed; a hash one row alone has is no group.
+    """
+    t = twins(rows, keys, size, slack).withColumn("image", image_hash).where("image is not null")
+    many = t.groupBy("image").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("image")
+    return t.join(many, "image", "left_semi")
+
+
+def duplicate_families(rows: DataFrame, groups: list[tuple[DataFrame, list[str]]], full: str) -> DataFrame:
+    """Duplicates of several kinds as one: ``family, n, best_id, gain, closed, reason``.
+
+    ``groups`` holds members (with ``id``) and the columns that tell their group; groups that share a member are one family. Best, of the rows ``id, size, area, culling_flag, taken_at``: kept,
+    settled, earliest, smallest id. A family is closed when all are decided and one is kept; its reason is exact if all full hashes are there and
+    equal, else metadata. The gain is all bytes but the best's. A row of a group is linked to the group's first alone.
+    """
+    links = None
+    for members, keys in groups:
+        first = members.groupBy(*keys).agg(F.min("id").alias("a"))
+        e = members.join(first, keys).select("a", F.col("id").alias("b"))
+        links = e if links is None else links.unionByName(e)
+    member = labels(links).select(F.col("v").alias("id"), F.col("root").alias("family"))
+    m = rows.join(member, "id")
+    best = F.struct((F.col("culling_flag") != 1).alias("a"), (~settled(F.col("area"))).alias("b"), F.col("taken_at").isNull().alias("c"), F.col("taken_at").alias("d"), "id", "size")
+    g = m.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"), F.min(best).alias("b"), F.sum("size").alias("t"), F.bool_and(F.col("culling_flag") > 0).alias("all"), F.count_if(F.col("culling_flag") == 1).alias("kept"),
+        ((F.count(full) == F.count(F.lit(1))) & (F.min(full) == F.max(full))).alias("same"),
+    )
+    return g.where("n > 1").select("family", "n", F.col("b.id").alias("best_id"), (F.col("t") - F.col("b.size")).alias("gain"), (F.col("all") & (F.col("kept") == 1)).alias("closed"), F.when(F.col("same"), "exact").otherwise("metadata").alias("reason"))
+
+
 def neighbour_links(rows: DataFrame, keys: list[str], size: str, row_id: str, slack: float) -> DataFrame:
     """Links ``a, b`` between rows of equal ``keys`` next to each other by size and at most ``slack`` apart.
 

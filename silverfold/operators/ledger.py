@@ -50,6 +50,29 @@ def missing(known: DataFrame, seen: DataFrame, key: str, least: int = 100, share
     return gone.crossJoin(F.broadcast(n.select((~refuse).alias("allowed"))))
 
 
+def prune_folders(known: DataFrame, seen: DataFrame, rescanned: DataFrame, key: str, folder: str) -> DataFrame:
+    """Known rows of the folders scanned again that were not seen there: ``folder, key``; other folders are left as they are."""
+    k = known.select(folder, key).distinct().join(rescanned.select(folder).distinct(), folder, "left_semi")
+    return k.join(seen.select(key).distinct(), key, "left_anti").select(folder, key)
+
+
+def recent_batches(batches: DataFrame, journal: DataFrame, files: DataFrame, children: DataFrame, limit: int) -> DataFrame:
+    """The newest batches (1 to 200) as they stand: ``batch_id, kind, item_count, undone``, those of other batches hidden.
+
+    ``batches`` has ``batch_id, kind, item_count, undone``, ``journal`` ``batch_id, file_id, ok``, ``files`` ``id, trashed_at``. A batch
+    left open gets the number of its journal's good rows; one without items isn't listed. A trash batch none of whose files is in the trash
+    any more, and a restore batch all of whose files are, was undone elsewhere.
+    """
+    j = journal.where("ok").select("batch_id", F.col("file_id").alias("id")).join(files.select("id", F.col("trashed_at").isNotNull().alias("gone")).distinct(), "id", "left")
+    n = j.groupBy("batch_id").agg(F.count(F.lit(1)).alias("good"), F.bool_or(F.col("gone")).alias("some_gone"), F.bool_or(~F.col("gone")).alias("some_live"))
+    b = batches.join(children.select("batch_id").distinct(), "batch_id", "left_anti").join(n, "batch_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    elsewhere = (F.col("item_count") > 0) & (((F.col("kind") == "trash") & ~yes("some_gone")) | ((F.col("kind") == "restore") & ~yes("some_live")))
+    count = F.when((F.col("item_count") == 0) & ~F.col("undone"), F.coalesce("good", F.lit(0))).otherwise(F.col("item_count"))
+    got = b.select("batch_id", "kind", count.cast("long").alias("item_count"), (F.col("undone") | elsewhere).alias("undone")).where("item_count > 0")
+    return got.orderBy(F.desc("batch_id")).limit(min(max(limit, 1), 200))
+
+
 def verify(known: DataFrame, present: DataFrame, key: str, scope: str, share: float = 0.9) -> DataFrame:
     """Known rows another store lacks, by scope: ``scope, key, allowed``.
 

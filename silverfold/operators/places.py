@@ -90,6 +90,20 @@ def region_matches(name: Column, here: Column, all_names: Column) -> Column:
     return F.when(here.isNull(), F.lit(None)).when(n == plain_region(here), True).when(F.array_contains(F.transform(all_names, plain_region), n), False)
 
 
+def match_regions(asked: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Whether names mean the region they are asked of: ``id, matches``, true, false if they mean another known region, else null.
+
+    ``asked`` has ``id, name, here`` (a region's code, or null), ``aliases`` has ``code, alias``, every way a region is called.
+    Compared are plain names; an empty one means nothing. A name both of the region and of another is the region's.
+    """
+    a = asked.select("id", "here", plain_region(F.col("name")).alias("plain"))
+    known = aliases.where("code is not null").select("code", plain_region(F.col("alias")).alias("plain")).where("plain <> ''").distinct()
+    mine = known.select(F.col("code").alias("here"), "plain", F.lit(True).alias("__mine"))
+    any_one = known.select("plain", F.lit(True).alias("__any")).distinct()
+    j = a.join(mine, ["here", "plain"], "left").join(any_one, "plain", "left")
+    return j.select("id", F.when(F.col("here").isNotNull() & F.col("__mine"), True).when(F.col("here").isNotNull() & F.col("__any"), False).alias("matches"))
+
+
 def spread(files: DataFrame, named: DataFrame) -> DataFrame:
     """Gives files without a place that of their cell: ``id, place``. ``named`` has ``cell, place``."""
     f = files.withColumn("cell", F.when(valid_gps(), cell_key(F.col("gps_lat"), F.col("gps_lon"))))

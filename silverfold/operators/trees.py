@@ -173,3 +173,9 @@ def husks(folders: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     top = empty.withColumn("up", parent_of(F.col("path"))).join(empty.select(*keys, F.col("path").alias("up")), [*keys, "up"], "left_anti").select(*keys, F.col("path").alias("top"))
     under = empty.select(*keys, F.explode(ancestors(F.col("path"))).alias("top"))
     return under.join(top, [*keys, "top"], "left_semi").groupBy(*keys, F.col("top").alias("path")).agg(F.count(F.lit(1)).alias("n_folders"))
+
+
+def done_side(same: Column, b_in_a: Column, a_in_b: Column, files_a: Column, files_b: Column, flagged_a: Column, flagged_b: Column) -> Column:
+    """The side of a pair all of whose files are marked to go already; null where neither is, or nothing could be dropped."""
+    full = lambda flagged, n: (n > 0) & (flagged >= n)
+    return F.when(same | b_in_a | a_in_b, F.when(full(flagged_a, files_a), "a").when(full(flagged_b, files_b), "b"))

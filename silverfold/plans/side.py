@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from silverfold.functions import content, dates
 from silverfold.operators import catalog as c
-from silverfold.operators import cull, ledger, vectors
+from silverfold.operators import cull, ledger, trees, vectors
 from silverfold.plans.browse import BASE, GPS, files, folders
 from silverfold.plans.registry import query
 from silverfold.session import shared_folder, table
@@ -394,3 +394,72 @@ def confirmed(spark, d):
     m = files(spark, d, "folder_id", "size", "quick_hash", "width", "culling_flag", "taken_at").where("trashed_at is null").join(fo, "folder_id")
     full = F.sha2(F.concat_ws("/", "quick_hash", F.coalesce("width", F.lit(0)).cast("string")), 256)
     return cull.confirmed_groups(m, "quick_hash", full, F.substring("volume_uuid", -1, 1) != "1").withColumnRenamed("full", "full_hash")
+
+
+@query("t01_taken_at_names", """WITH f AS (SELECT DISTINCT id, taken_at, modified_at, created_at FROM files), n AS (SELECT 1800000000 AS now),
+p AS (SELECT id, CASE WHEN taken_at BETWEEN 946598400 AND now + 86400 THEN taken_at END AS e, CASE WHEN id % 3 = 0 AND modified_at BETWEEN 1000000000 AND 1780000000 THEN modified_at - 86400 END AS s,
+  CASE WHEN modified_at BETWEEN 946598400 AND now + 86400 THEN modified_at END AS m, CASE WHEN created_at BETWEEN 946598400 AND now + 86400 THEN created_at END AS c, now FROM f, n)
+SELECT id, coalesce(e, s, least(m, c), now) AS taken_at, CASE WHEN e IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 WHEN m IS NOT NULL OR c IS NOT NULL THEN 2 ELSE 3 END AS source FROM p""")
+def taken_names(spark, d):
+    """The time of each file with its source; every third has a name that tells the day before it was changed."""
+    f = table(spark, d, "files").select("id", "taken_at", "modified_at", "created_at").distinct()
+    tells = (F.col("id") % 3 == 0) & F.col("modified_at").between(1000000000, 1780000000)
+    name = F.when(tells, F.date_format(F.timestamp_seconds(F.col("modified_at") - 86400), "'IMG_'yyyyMMdd_HHmmss'.jpg'")).otherwise(F.lit("DSC_0042.JPG"))
+    x = dates.taken_at(F.col("taken_at"), dates.filename_time(name), F.col("modified_at"), F.col("created_at"), 1800000000)
+    return f.select("id", x.alias("x")).select("id", "x.taken_at", "x.source")
+
+
+@query("s08_prune_folders", f"{BASE} SELECT folder_id, id FROM live WHERE folder_id % 2 = 0 AND id % 13 = 0")
+def prune_folders(spark, d):
+    """Half of the folders scanned again, where every thirteenth file is gone."""
+    f = files(spark, d, "folder_id").where("trashed_at is null")
+    return ledger.prune_folders(f, f.where("id % 13 <> 0"), f.where("folder_id % 2 = 0"), "id", "folder_id")
+
+
+@query("q29_recent_batches", f"""{BASE}, j AS (SELECT folder_id AS batch_id, id AS file_id, id % 4 <> 0 AS ok FROM f WHERE folder_id IS NOT NULL),
+b AS (SELECT batch_id, CASE batch_id % 3 WHEN 0 THEN 'trash' WHEN 1 THEN 'restore' ELSE 'move' END AS kind, CASE WHEN batch_id % 5 = 0 THEN 0 ELSE count(*) END AS item_count, batch_id % 11 = 0 AS undone FROM j GROUP BY batch_id),
+n AS (SELECT batch_id, count(*) AS good, count(*) FILTER (trashed_at IS NOT NULL) AS gone, count(*) FILTER (trashed_at IS NULL) AS live FROM j JOIN f ON f.id = file_id WHERE ok GROUP BY batch_id),
+r AS (SELECT b.batch_id, kind, CASE WHEN item_count = 0 AND NOT undone THEN coalesce(good, 0) ELSE item_count END AS item_count,
+  undone OR (item_count > 0 AND ((kind = 'trash' AND coalesce(gone, 0) = 0) OR (kind = 'restore' AND coalesce(live, 0) = 0))) AS undone FROM b LEFT JOIN n USING (batch_id) WHERE b.batch_id % 7 <> 0)
+SELECT * FROM r WHERE item_count > 0 ORDER BY batch_id DESC LIMIT 50""")
+def recent_batches(spark, d):
+    """The newest batches, one a folder; every fifth was left open, every seventh belongs to another."""
+    f = files(spark, d, "folder_id")
+    j = f.where("folder_id is not null").select(F.col("folder_id").alias("batch_id"), F.col("id").alias("file_id"), (F.col("id") % 4 != 0).alias("ok"))
+    kind = F.element_at(F.array(F.lit("trash"), F.lit("restore"), F.lit("move")), (F.col("batch_id") % 3 + 1).cast("int"))
+    b = j.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).select("batch_id", kind.alias("kind"), F.when(F.col("batch_id") % 5 == 0, 0).otherwise(F.col("n")).alias("item_count"), (F.col("batch_id") % 11 == 0).alias("undone"))
+    return ledger.recent_batches(b, j, f, b.where("batch_id % 7 = 0"), 50)
+
+
+@query("e25_done_side", """WITH r AS (SELECT DISTINCT row_id, pair_id, side FROM tree_files), p AS (SELECT pair_id, count(*) FILTER (side = 'a') AS files_a, count(*) FILTER (side = 'b') AS files_b,
+  count(*) FILTER (side = 'a' AND (pair_id % 3 = 0 OR row_id % 2 = 0)) AS flagged_a, count(*) FILTER (side = 'b' AND pair_id % 3 = 1) AS flagged_b FROM r GROUP BY pair_id)
+SELECT pair_id, CASE WHEN pair_id % 4 = 3 THEN NULL WHEN files_a > 0 AND flagged_a >= files_a THEN 'a' WHEN files_b > 0 AND flagged_b >= files_b THEN 'b' END AS side FROM p""")
+def done_side(spark, d):
+    """Pairs of which one side is marked to go already; every fourth pair shares nothing that could be dropped."""
+    r = table(spark, d, "tree_files").select("row_id", "pair_id", "side").distinct()
+    a, b = F.col("side") == "a", F.col("side") == "b"
+    n = r.groupBy("pair_id").agg(F.count_if(a).alias("files_a"), F.count_if(b).alias("files_b"), F.count_if(a & ((F.col("pair_id") % 3 == 0) | (F.col("row_id") % 2 == 0))).alias("flagged_a"), F.count_if(b & (F.col("pair_id") % 3 == 1)).alias("flagged_b"))
+    k = F.col("pair_id") % 4
+    return n.select("pair_id", trees.done_side(k == 0, k == 1, k == 2, *(F.col(c) for c in ("files_a", "files_b", "flagged_a", "flagged_b"))).alias("side"))
+
+
+_FAMILY = f"""{BASE.replace("WITH f AS", "WITH RECURSIVE f AS")}, m AS (SELECT live.id, live.size, live.culling_flag, live.taken_at, fo.area, lower(live.cam_model) AS cam, live.width, live.height, live.kind, live.quick_hash, CASE WHEN quick_hash IS NOT NULL AND live.id % 10 <> 9 THEN sha256(quick_hash || '/' || live.size) END AS full_hash
+  FROM live JOIN fo ON fo.id = live.folder_id WHERE live.size > 0),
+x AS (SELECT id, full_hash AS k FROM m WHERE full_hash IS NOT NULL),
+t AS (SELECT id, 'i' || cam || width || '/' || size // 65536 AS k FROM m WHERE kind = 0 AND EXISTS (SELECT 1 FROM m y WHERE y.kind = 0 AND y.cam = m.cam AND y.width = m.width AND y.height = m.height AND y.size <> m.size AND abs(y.size - m.size) <= 65536)),
+l AS (SELECT min(id) OVER (PARTITION BY k) AS a, id AS b FROM x UNION SELECT min(id) OVER (PARTITION BY k) AS a, id AS b FROM t),
+u AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), w AS (SELECT DISTINCT a AS v, a AS far FROM u UNION SELECT w.v, u.b FROM w JOIN u ON u.a = w.far),
+r AS (SELECT v AS id, min(far) AS family FROM w GROUP BY v), p AS (SELECT m.*, family, row_number() OVER (PARTITION BY family ORDER BY culling_flag <> 1, area NOT IN (1, 2), taken_at NULLS LAST, id) AS k FROM m JOIN r USING (id))"""
+
+
+@query("e04_families", f"""{_FAMILY} SELECT family, count(*) AS n, max(CASE WHEN k = 1 THEN id END) AS best_id, CAST(sum(size) - max(CASE WHEN k = 1 THEN size END) AS BIGINT) AS gain, bool_and(culling_flag > 0) AND count(*) FILTER (culling_flag = 1) = 1 AS closed,
+CASE WHEN count(full_hash) = count(*) AND min(full_hash) = max(full_hash) THEN 'exact' ELSE 'metadata' END AS reason FROM p GROUP BY family""")
+def duplicate_families(spark, d):
+    """Equal files and files that differ in their metadata alone, merged to families; camera and width stand for the picture, and every tenth file has not been read in full."""
+    fo = folders(spark, d, "area").withColumnRenamed("id", "folder_id")
+    m = files(spark, d, "folder_id", "size", "quick_hash", "width", "height", "kind", "cam_model", "culling_flag", "taken_at").where("trashed_at is null and size > 0").join(fo, "folder_id")
+    full = F.when(F.col("quick_hash").isNotNull() & (F.col("id") % 10 != 9), F.sha2(F.concat_ws("/", "quick_hash", F.col("size").cast("string")), 256))
+    m = m.withColumns({"full_hash": full, "cam": F.lower("cam_model")})
+    image = F.concat(F.lit("i"), "cam", F.col("width").cast("string"), F.lit("/"), F.floor(F.col("size") / 65536).cast("string"))
+    twins = cull.twin_groups(m.where("kind = 0 and cam is not null and width is not null and height is not null"), ["cam", "width", "height"], "size", 65536, image)
+    return cull.duplicate_families(m, [(m.where("full_hash is not null"), ["full_hash"]), (twins, ["image"])], "full_hash")

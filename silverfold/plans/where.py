@@ -79,13 +79,34 @@ def policy(spark, d):
     return good.where(g.policy_zone(F.col("lat"), F.col("lon"), (at.lat, at.lon))).select(F.col("id").alias("cell_id"))
 
 
-@query("g08_region_names", """WITH c AS (SELECT city_id, admin1_name, cc FROM geo_cities WHERE admin1_name IS NOT NULL), p AS (SELECT parent_code AS cc, list(lower(replace(name, ' ', ''))) AS names FROM geo_regions WHERE level = 2 GROUP BY 1)
-SELECT city_id, CASE WHEN list_contains(names, lower(replace(admin1_name, ' ', ''))) THEN true END AS known FROM c JOIN p USING (cc)""")
+_PLAIN = "regexp_replace(regexp_replace(lower({}), '[\\s_-]', '', 'g'), '^(.+?)(특별자치도|특별자치시|특별시|광역시|자치도|자치시|teukbyeoljachido|teukbyeolsi|gwangyeoksi|do|si|도|시)$', '\\1')"
+#: Provinces under three spellings; cities ask, each third in another spelling, of a province of their country.
+_ALIASES = f"""WITH g AS (SELECT DISTINCT code, name, parent_code FROM geo_regions WHERE level = 2), a AS (SELECT DISTINCT code, {_PLAIN.format("alias")} AS plain FROM (SELECT code, unnest([name, upper(name) || '-do', replace(name, ' ', '_')]) AS alias FROM g)),
+h AS (SELECT parent_code, list(code ORDER BY code) AS codes FROM g GROUP BY parent_code), c AS (SELECT DISTINCT city_id, cc, admin1_name FROM geo_cities),
+q AS (SELECT city_id, codes[CAST(city_id % len(codes) AS INT) + 1] AS here, {_PLAIN.format("CASE WHEN city_id % 3 = 0 THEN admin1_name || ' Do' ELSE admin1_name END")} AS plain FROM c LEFT JOIN h ON parent_code = cc),
+v AS (SELECT city_id, here, CASE WHEN here IS NOT NULL AND plain <> '' AND EXISTS (SELECT 1 FROM a WHERE a.code = here AND a.plain = q.plain) THEN true WHEN here IS NOT NULL AND plain <> '' AND EXISTS (SELECT 1 FROM a WHERE a.plain = q.plain) THEN false END AS matches FROM q)"""
+
+
+def _province_matches(spark, d):
+    p = table(spark, d, "geo_regions").where("level = 2").select("code", "name", "parent_code").distinct()
+    aliases = p.select("code", F.explode(F.array("name", F.concat(F.upper("name"), F.lit("-do")), F.replace("name", F.lit(" "), F.lit("_")))).alias("alias"))
+    codes = p.groupBy(F.col("parent_code").alias("cc")).agg(F.array_sort(F.collect_list("code")).alias("codes"))  # a fixed table of provinces
+    c = table(spark, d, "geo_cities").select("city_id", "cc", "admin1_name").distinct().join(codes, "cc", "left")
+    name = F.when(F.col("city_id") % 3 == 0, F.concat("admin1_name", F.lit(" Do"))).otherwise(F.col("admin1_name"))
+    return g.match_regions(c.select(F.col("city_id").alias("id"), name.alias("name"), F.get("codes", (F.col("city_id") % F.size("codes")).cast("int")).alias("here")), aliases)
+
+
+@query("g08_region_names", f"{_ALIASES} SELECT city_id, matches FROM v")
 def region_names(spark, d):
-    """Whether a city's province is a known one of its country; null where it can't be told."""
-    p = table(spark, d, "geo_regions").where("level = 2").groupBy(F.col("parent_code").alias("cc")).agg(F.collect_list(g.plain_region(F.col("name"))).alias("names"))
-    c = table(spark, d, "geo_cities").where("admin1_name is not null").join(p, "cc")
-    return c.select("city_id", F.when(F.array_contains("names", g.plain_region(F.col("admin1_name"))), True).alias("known"))
+    """Whether the province a city names is the one asked of: yes, another known one, or not to be told."""
+    return _province_matches(spark, d).withColumnRenamed("id", "city_id")
+
+
+@query("g11_judge_provinces", f"{_ALIASES} SELECT city_id, CASE WHEN coalesce(NOT matches, false) THEN 'conflict' WHEN city_id % 4 < 2 THEN 'shallow' ELSE 'accept' END AS verdict FROM v")
+def judge_provinces(spark, d):
+    """Answers judged by their province; of four one in two is shallower than what is known."""
+    m = _province_matches(spark, d)
+    return m.select(F.col("id").alias("city_id"), g.judge(F.lit("XX"), F.lit("xx"), F.col("matches"), F.col("id") % 4, F.lit(2)).alias("verdict"))
 
 
 _NAMED = f"""{MEDOID}, place AS (SELECT cell, min(cell || '*') AS place FROM r WHERE n >= 2 GROUP BY cell)"""

@@ -247,3 +247,15 @@ def test_diff_of_a_key_over_many_batches(spark):
         assert got == [(9, "v"), (18, "v"), (27, "v"), (36, "v"), (38, "only_a"), (39, "only_a"), (50, "only_b")]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_results_are_dropped_when_used(spark):
+    import os
+
+    from silverfold.session import drop_results
+
+    h = hierarchy(spark.createDataFrame([(1, None, "a"), (2, 1, "b")], "id long, parent_id long, name string"))
+    job = os.path.dirname(os.path.dirname(h.inputFiles()[0].split(":", 1)[-1].replace("///", "/")))
+    assert h.count() == 2 and len(os.listdir(job)) == 1  # the rounds' tables are gone already
+    drop_results(h)
+    assert not os.path.exists(job)
