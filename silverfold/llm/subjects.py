@@ -154,6 +154,8 @@ def anchors(df: np.ndarray, by_lang: np.ndarray, n_lang: np.ndarray, nws: np.nda
     return h / np.maximum(h.sum(axis=0), 1e-9)
 
 
+#: Documents of a task of the updates at least, once there are more than tasks at a time.
+TASK_DOCS = 1_000_000
 #: Entries worked on together; few enough to stay in a processor's cache.
 BLOCK = 6_000
 
@@ -308,14 +310,15 @@ def fit(words: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], s:
     h = anchors(df["n"].to_numpy(float), in_langs, n_lang, hits[cols].to_numpy(float), hits["n"].to_numpy(float), np.array([heads[c] for c in cols], float), heads["n"], s)
     share = lambda x: x[:, :k] / (x.sum(axis=1, keepdims=True) + s.doubt)
     index = spark.sparkContext.broadcast(Factors(s.features, kept, np.zeros((len(kept), 0))))
-    entries = stages.save(words.select("doc_id", "f").mapInArrow(_count(index), "doc_id long, w array<int>, n array<float>"))
+    entries = stages.save(words.select("doc_id", "f").mapInArrow(_count(index), "doc_id long, w array<int>, n array<float>"), n=F.count(F.lit(1)))
+    # a task puts out one table of sums, as large as the kept features at most; with so many documents a task, what moves stays a small part of what is read
+    tasks = max(spark.sparkContext.defaultParallelism, -(-entries.seen["n"] // TASK_DOCS))
     wide = T.StructType([T.StructField("w", T.IntegerType()), *(T.StructField(f"k{i}", T.DoubleType()) for i in range(h.shape[1]))])
     ks = [f"k{i}" for i in range(h.shape[1])]
     total = np.zeros(h.shape)
     for _ in range(s.rounds):
         sent = spark.sparkContext.broadcast(Factors(s.features, kept, h))
-        # tables of sums are added up in few tasks, which have the features as their bound, before they are met
-        sums = entries.select("w", "n").mapInArrow(_update(sent, s.inner), wide).groupBy("w").agg(*(F.sum(c).alias(c) for c in ks)).toPandas().sort_values("w")
+        sums = entries.select("w", "n").coalesce(tasks).mapInArrow(_update(sent, s.inner), wide).groupBy("w").agg(*(F.sum(c).alias(c) for c in ks)).toPandas().sort_values("w")
         old, total = share(total), np.zeros(h.shape)
         total[sums["w"].to_numpy()] = sums[ks].to_numpy()
         h = total / np.maximum(total.sum(axis=0), 1e-9)

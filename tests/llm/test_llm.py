@@ -185,6 +185,42 @@ def test_mix_with_a_set_size_and_empty_tables(spark):
     assert M.mix(members, goals.limit(0)).count() == 0
 
 
+def test_flow_is_largest_and_cheapest():
+    from itertools import product
+
+    rng = random.Random(12)
+    for _ in range(40):
+        n = rng.randrange(1, 4)
+        goals = [M.Target(str(i), rng.choice([0.2, 0.5, 1.0]), rng.randrange(1, 4)) for i in range(n)]
+        patterns = {tuple(sorted(rng.sample(range(n), rng.randrange(1, n + 1)))): rng.randrange(1, 7) for _ in range(2)}
+        there = {s for p in patterns for s in p}
+        share = [g.share if i in there else 0.0 for i, g in enumerate(goals)]
+        layers = [(p, k, s) for p in patterns for k in range(1, 4) for s in p if goals[s].repeats >= k]
+
+        def best(quotas, layers=layers, patterns=patterns, n=n):
+            """The most tokens and their least cost, trying every way to fill the layers."""
+            top = (0, 0)
+            for f in product(*(range(patterns[p] + 1) for p, _, _ in layers)) if len(layers) <= 5 else ():
+                used: dict = {}
+                for (p, k, _), x in zip(layers, f, strict=True):
+                    used[p, k] = used.get((p, k), 0) + x
+                got = [sum(x for (_, _, t), x in zip(layers, f, strict=True) if t == s) for s in range(n)]
+                if all(v <= patterns[p] for (p, _), v in used.items()) and all(a <= b for a, b in zip(got, quotas, strict=True)):
+                    top = max(top, (sum(f), -sum((k - 1) * x for (_, k, _), x in zip(layers, f, strict=True))))
+            return top
+
+        total = M.largest_total(patterns, goals, share)
+        quotas = M.quotas_of(total, share)
+        routed, all_of_it = M.route(patterns, goals, quotas)
+        assert all_of_it == sum(quotas)
+        more = M.quotas_of(total + 1, share)
+        assert M.route(patterns, goals, more)[1] < sum(more) or total == sum(c * max(goals[s].repeats for s in p) for p, c in patterns.items())
+        if len(layers) <= 5:
+            over = [q + 1 for q in quotas]
+            routed, most = M.route(patterns, goals, over)
+            assert (most, -sum((k - 1) * f for (_, k), parts in routed.items() for _, f in parts)) == best(over)
+
+
 # subjects
 
 
