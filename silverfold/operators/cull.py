@@ -369,7 +369,7 @@ def scenes(rows: DataFrame, threshold: float = 0.95, span: int = 3600, ahead: in
     """
     spark = rows.sparkSession
     stages = Stages(spark, "scenes")
-    r = rows.where("id is not null and taken_at is not null and embedding is not null").select("id", F.col("taken_at").cast("long").alias("taken_at"), F.col("embedding").cast("array<double>").alias("embedding"))
+    r = rows.where("id is not null and taken_at is not null and embedding is not null").select("id", F.col("taken_at").cast("long").alias("taken_at"), "embedding")
     first = r.agg(F.min(F.struct("taken_at", "id", F.size("embedding").alias("dim"))).alias("f")).select(F.col("f.dim").alias("dim"))
     r = r.join(F.broadcast(first), F.size("embedding") == F.col("dim")).drop("dim")
     # numbered by time: ranges in order, and in each the place within it
