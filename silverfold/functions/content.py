@@ -100,10 +100,10 @@ def signature_rows(signatures: pd.Series) -> np.ndarray:
     return out
 
 
-def alike_rows(rows: np.ndarray, i: int) -> np.ndarray:
-    """Which rows are alike to row ``i``, as :func:`alike` has it."""
-    d = np.abs(rows - rows[i])
-    ok = (rows[:, 0] >= 0) & (rows[i, 0] >= 0)
+def alike_rows(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which rows of numbers are alike to ``row``, as :func:`alike` has it."""
+    d = np.abs(rows - row)
+    ok = (rows[:, 0] >= 0) & (row[0] >= 0)
     return ok & (d[:, :LUMA].mean(axis=1) <= LUMA_LIMIT) & (d[:, LUMA:].mean(axis=1) <= CHROMA_LIMIT)
 
 

@@ -195,12 +195,16 @@ def hamming_pairs(rows: DataFrame, hash_col: str, distance: int) -> DataFrame:
     agree = next((k for k in range(1, MOST_AGREE) if n <= 2 ** (64 * k // (distance + k) + 1)), MOST_AGREE)
     while True:
         keyed = h.select("h", F.explode(F.array(*map(F.lit, _masks(distance, agree)))).alias("mask")).withColumn("key", F.col("h").bitwiseAND(F.col("mask")))
-        # most keys are of one hash, which end here; counts are pre-aggregated
-        shared = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        met = stages.save(keyed.join(shared, ["mask", "key"]), crowded=F.count_if(F.col("k") > KEY_HASHES))
+        # most keys are of one hash, which end here, or of two, which are the least and the largest; counts are pre-aggregated
+        keys = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("a"), F.max("h").alias("b")).where("k > 1")
+        keys = stages.save(keys, more=F.count_if(F.col("k") > 2), crowded=F.count_if(F.col("k") > KEY_HASHES))
+        found.append(keys.where("k = 2").select("a", "b").where(near(F.col("a"), F.col("b"))))
+        if not keys.seen["more"]:
+            break
+        met = stages.save(keyed.join(keys.where("k > 2").select("mask", "key", "k"), ["mask", "key"]))
         hs = met.where(F.col("k") <= KEY_HASHES).groupBy("mask", "key").agg(F.collect_list("h").alias("hs"))
         found.append(hs.select(F.explode("hs").alias("a"), "hs").select("a", F.explode(F.filter("hs", lambda y: near(F.col("a"), y))).alias("b")))
-        if not met.seen["crowded"]:
+        if not keys.seen["crowded"]:
             break
         crowd = met.where(F.col("k") > KEY_HASHES)
         if agree == MOST_AGREE:
@@ -261,25 +265,30 @@ def _seeds(aspect: float, limit: int):
         seeds = np.empty(len(p), np.int64)
         for rows in _parts(p["root"].to_numpy()):
             ar, h, ids, n = shape[rows], hashes[rows], files[rows], rows.stop - rows.start
-            near = lambda i: np.bitwise_count(h ^ h[i]) <= limit  # noqa: B023, E731
             sig = sigs[rows] if signed else None
-            alike = (lambda i: content.alike_rows(sig, i)) if signed else near  # noqa: B023, E731
-            part, parts = np.full(n, -1), 0
-            for i in range(n):
-                if part[i] < 0:
-                    part[i], todo = parts, [i]
-                    while todo and (part < 0).any():
-                        j = todo.pop()
-                        new = np.flatnonzero((part < 0) & near(j) & alike(j))
-                        part[new] = parts
-                        todo += new.tolist()
-                    parts += 1
+
+            def alike(i, of, h=h, sig=sig):
+                """Of the pictures ``of`` those alike to i; the costly test is made of few."""
+                return of[content.alike_rows(sig[of], sig[i])] if signed else of[np.bitwise_count(h[of] ^ h[i]) <= limit]
+
+            # what is linked to the first picture, to what is linked to it, and so on
+            part, parts, left = np.full(n, -1), 0, np.arange(n)
+            while len(left):
+                todo = [left[0]]
+                part[left[0]], left = parts, left[1:]
+                while todo and len(left):
+                    j = todo.pop()
+                    new = alike(j, left[np.bitwise_count(h[left] ^ h[j]) <= limit])
+                    part[new] = parts
+                    left = left[part[left] < 0]
+                    todo += new.tolist()
+                parts += 1
             free, group = np.ones(n, bool), ids.copy()
             for i in range(n):
                 if free[i] and parts < n:
-                    mine = free & (part == part[i]) & (np.abs(ar - ar[i]) <= aspect * ar[i]) & alike(i)
-                    mine[:i] = False
-                    mine[i] = True
+                    # the largest first, so all that it may take come later
+                    of = np.flatnonzero(free[i + 1 :] & (part[i + 1 :] == part[i]) & (np.abs(ar[i + 1 :] - ar[i]) <= aspect * ar[i])) + i + 1
+                    mine = alike(i, of)
                     free[mine] = False
                     group[mine] = ids[i]
             seeds[rows] = group
