@@ -100,8 +100,9 @@ def duplicate_families(rows: DataFrame, groups: list[tuple[DataFrame, list[str]]
     """
     links = None
     for members, keys in groups:
-        first = members.groupBy(*keys).agg(F.min("id").alias("a"))
-        e = members.join(first, keys).select("a", F.col("id").alias("b"))
+        # a key of one row alone links nothing
+        first = members.groupBy(*keys).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*keys, "a")
+        e = members.select("id", *keys).join(first, keys).select("a", F.col("id").alias("b"))
         links = e if links is None else links.unionByName(e)
     member = labels(links).select(F.col("v").alias("id"), F.col("root").alias("family"))
     m = rows.join(member, "id")

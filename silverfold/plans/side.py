@@ -15,7 +15,7 @@ from silverfold.operators import catalog as c
 from silverfold.operators import cull, ledger, trees, vectors
 from silverfold.plans.browse import BASE, GPS, files, folders
 from silverfold.plans.registry import query
-from silverfold.session import shared_folder, table
+from silverfold.session import Stages, shared_folder, table
 from silverfold.sources import media
 
 _GPS = f"coalesce({GPS}, false)"
@@ -458,8 +458,9 @@ def duplicate_families(spark, d):
     """Equal files and files that differ in their metadata alone, merged to families; camera and width stand for the picture, and every tenth file has not been read in full."""
     fo = folders(spark, d, "area").withColumnRenamed("id", "folder_id")
     m = files(spark, d, "folder_id", "size", "quick_hash", "width", "height", "kind", "cam_model", "culling_flag", "taken_at").where("trashed_at is null and size > 0").join(fo, "folder_id")
-    full = F.when(F.col("quick_hash").isNotNull() & (F.col("id") % 10 != 9), F.sha2(F.concat_ws("/", "quick_hash", F.col("size").cast("string")), 256))
-    m = m.withColumns({"full_hash": full, "cam": F.lower("cam_model")})
+    full = F.when(F.col("quick_hash").isNotNull() & (F.col("id") % 10 != 9), F.unhex(F.sha2(F.concat_ws("/", "quick_hash", F.col("size").cast("string")), 256)))
+    # read by three steps, so it is written once
+    m = Stages(spark, "families").save(m.select("id", "size", "area", "culling_flag", "taken_at", "kind", "width", "height", F.lower("cam_model").alias("cam"), full.alias("full_hash")))
     image = F.concat(F.lit("i"), "cam", F.col("width").cast("string"), F.lit("/"), F.floor(F.col("size") / 65536).cast("string"))
     twins = cull.twin_groups(m.where("kind = 0 and cam is not null and width is not null and height is not null"), ["cam", "width", "height"], "size", 65536, image)
     return cull.duplicate_families(m, [(m.where("full_hash is not null"), ["full_hash"]), (twins, ["image"])], "full_hash")
