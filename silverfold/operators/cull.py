@@ -162,6 +162,8 @@ def bursts(rows: DataFrame, gap: int = 10, least: int = 3, most: int = 60) -> Da
 
 #: Hashes of one key compared in one piece; a key of more is compared piece by piece.
 KEY_HASHES = 500
+#: Hashes that may share a key by chance; comparing so many costs less than moving the keys of more blocks.
+PARTNERS = 32
 #: Most blocks two hashes are asked to agree on.
 MOST_AGREE = 4
 
@@ -181,7 +183,7 @@ def hamming_pairs(rows: DataFrame, hash_col: str, distance: int) -> DataFrame:
     """Pairs of different 64-bit hashes at most ``distance`` (1 to 8) bits apart: ``a < b, distance``. Exact.
 
     Cut into distance + k blocks, two such hashes agree on k blocks, so each hash has a key for every k blocks. k
-    grows with the number of hashes, so that few share a key by chance and the candidates stay in
+    grows with the number of hashes, so that no more than PARTNERS share a key by chance and the candidates stay in
     proportion to the hashes. Hashes of crowded keys (flat pictures) get the keys of the largest k, and those of keys crowded even
     then, which agree on half of their bits, are compared piece by piece: each key's hashes are cut into
     pieces of KEY_HASHES, and every two pieces are a row of their own, so nothing is dropped and no task holds a whole key.
@@ -193,7 +195,7 @@ def hamming_pairs(rows: DataFrame, hash_col: str, distance: int) -> DataFrame:
     n = h.seen["n"]
     near = lambda x, y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= distance)
     found = []
-    agree = next((k for k in range(1, MOST_AGREE) if n <= 2 ** (64 * k // (distance + k) + 1)), MOST_AGREE)
+    agree = next((k for k in range(1, MOST_AGREE) if n <= PARTNERS * 2 ** (64 * k / (distance + k))), MOST_AGREE)
     while True:
         keyed = h.select("h", F.explode(F.array(*map(F.lit, _masks(distance, agree)))).alias("mask")).withColumn("key", F.col("h").bitwiseAND(F.col("mask")))
         # most keys are of one hash, which end here, or of two, which are the least and the largest; counts are pre-aggregated
