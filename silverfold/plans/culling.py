@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from silverfold.operators import cull
 from silverfold.plans.browse import BASE, files, folders
 from silverfold.plans.registry import query
-from silverfold.session import table
+from silverfold.session import Stages, table
 
 
 def _members(spark, d, *cols):
@@ -93,9 +93,10 @@ def near_pairs(spark, d):
 
 def _lesser_copies(spark, d):
     """Copies other than the best of the exact groups that are still open."""
-    rows = _members(spark, d, "quick_hash", "culling_flag", "taken_at")
+    # written once, as the groups and their members are read from it
+    rows = Stages(spark, "copies").save(_members(spark, d, "quick_hash", "culling_flag", "taken_at"))
     g = cull.exact_groups(rows, "quick_hash").where("not closed").select("size", "quick_hash", "best_id")
-    return rows.join(g, ["size", "quick_hash"]).where("id <> best_id").select(F.col("id").alias("file_id"))
+    return rows.select("id", "size", "quick_hash").join(g, ["size", "quick_hash"]).where("id <> best_id").select(F.col("id").alias("file_id"))
 
 
 def picture_signature(hash_col):
