@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from silverfold.llm import components as C
 from silverfold.llm import mix as M
+from silverfold.llm import queries as Q
 from silverfold.llm import subjects as S
 from silverfold.llm import survivor as V
 from silverfold.llm import tokens as K
@@ -107,6 +108,52 @@ def test_survivor_by_a_partial_order(spark):
     assert got == want
 
 
+def test_stated_steps_are_closed(spark):
+    assert V.closed({"a": {"b"}, "b": {"c"}}) == {"a": {"b", "c"}, "b": {"c"}, "c": set()}
+    with pytest.raises(ValueError):
+        V.closed({"a": {"b"}, "b": {"c"}, "c": {"b"}})
+    # b is left out of the group, c comes after a all the same
+    df = spark.createDataFrame([(1, 1, "a", 9), (1, 2, "c", 1)], "g long, id long, s string, size long")
+    got = V.survivors(df, "g", "id", [-F.col("size")], {}, state=F.col("s"), later={"a": {"b"}, "b": {"c"}})
+    assert rows(got) == [(1, 2)]
+
+
+def member_rows(spark, tmp_path, data):
+    spark.createDataFrame(data, "group_id long, file_id long, area int, size long, taken_at long, width long").write.parquet(str(tmp_path / "member_rows.parquet"))
+    return str(tmp_path)
+
+
+def test_p5_learns_the_order_of_areas(spark, tmp_path):
+    t = 1_000_000_000
+    # in groups 1 and 2 area 2 is seen before area 1, and 3 before 0; in group 5 the other way round, once against twice
+    timed = [(g, 10 * g + i, a, 5, t + s * i, 1) for g, s in ((1, 1), (2, 1), (5, -1)) for i, a in enumerate((2, 1))]
+    timed += [(g, 10 * g + i, a, 5, t + i, 1) for g in (6, 7) for i, a in enumerate((3, 0))]
+    # file 31 twice, alike by all stated criteria: the width of its later area; a null area is before all; area 9 is unordered
+    open_ties = [(3, 31, 2, 8, None, 100), (3, 31, 1, 8, None, 900), (3, 32, 1, 7, t, 5), (4, 41, 0, 8, None, 70), (4, 41, 3, 8, None, 60), (4, 41, None, 8, None, 50), (4, 42, 1, 1, None, None)]
+    open_ties += [(8, 81, None, 8, t, 1), (8, 81, 9, 8, t, 3), (8, 82, None, 1, t, 2)]
+    d = member_rows(spark, tmp_path, timed + open_ties)
+    got = {r.group_id: (r.file_id, r.taken_at, r.width) for r in Q.p5_found(spark, d).collect()}
+    assert [got[g] for g in (3, 4, 8)] == [(31, t, 900), (42, -1, 70), (81, t, 3)]
+    assert [got[g] for g in (1, 5)] == [(10, t, 1), (51, t - 1, 1)]
+
+
+def test_p5_equals_its_sql_on_odd_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(8)
+    sizes, times = [None, -1, -7, 0, 3, -(2**63), 2**63 - 1], [None, -5, 0, 946684799, 946684800, 1300000000, 1798761599, 1798761600]
+    data = [(rng.choice([1, 1, rng.randrange(2, 90)]), i, rng.choice([None, -1, 0, 1, 2, 3]), rng.choice(sizes), rng.choice(times), rng.choice([None, i])) for i in range(900)]
+    d = member_rows(spark, tmp_path, data + data[:50])
+    con = duckdb.connect()
+    con.execute(f"create view member_rows as select * from read_parquet('{d}/member_rows.parquet/*.parquet')")
+    assert rows(Q.p5_found(spark, d).select("group_id", "file_id", "taken_at", "width")) == sorted(con.execute(Q.P5_SQL).fetchall())
+
+
+def test_p5_keeps_all_rows_where_areas_are_too_many_to_order(spark, tmp_path):
+    n = V.MAX_VALUES + 1
+    d = member_rows(spark, tmp_path, [(i // 2, i, i, i, None, i) for i in range(n)])
+    assert Q.p5_found(spark, d).count() == n // 2
+
+
 def test_current_values_without_times(spark):
     data = [(1, "new", 1), (1, "kept", 2), (2, "new", 4), (2, "kept", 9), (3, "kept", None), (3, "new", None), (3, "new", None), (4, None, 3), (5, "odd", None), (6, "new", 8), (6, "kept", 8)]
     df = spark.createDataFrame(data, "g long, v string, t long")
